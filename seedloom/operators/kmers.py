@@ -146,14 +146,16 @@ class PieceLayout:
 
 
 def query_pieces(queries: DataFrame, layout: PieceLayout) -> DataFrame:
-    """``(seq_id, piece, n_pieces, qlen, pstart, pseq)``; short queries stay whole."""
-    base = queries.select("seq_id", F.length("seq").alias("qlen"), F.col("seq").cast("binary").alias("_b"))
+    """``(seq_id[, name], piece, n_pieces, qlen, pstart, pseq)``; short queries stay whole."""
+    names = [c for c in ("name",) if c in queries.columns]
+    base = queries.select("seq_id", *names, F.length("seq").alias("qlen"), F.col("seq").cast("binary").alias("_b"))
     n = F.greatest(F.lit(1), F.ceil(F.col("qlen") / layout.core).cast("int"))
-    cut = base.select("seq_id", "qlen", "_b", n.alias("n_pieces"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
+    cut = base.select("seq_id", *names, "qlen", "_b", n.alias("n_pieces"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
     start = F.greatest(F.lit(0), F.col("piece") * layout.core - layout.behind)
     stop = F.least(F.col("qlen"), (F.col("piece") + 1) * layout.core + layout.ahead)
     return cut.withColumn("pstart", start).select(
         "seq_id",
+        *names,
         "piece",
         "n_pieces",
         "qlen",
