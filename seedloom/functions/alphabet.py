@@ -112,5 +112,5 @@ def split_header(h: Column | str) -> tuple[Column, Column]:
     """(name, comment) of a record header; only the ASCII space separates them."""
     trimmed = F.trim(_as_col(h))
     name = F.regexp_extract(trimmed, r"^([^ ]*)", 1)
-    comment = F.regexp_extract(trimmed, r"^[^ ]* (.*)$", 1)
+    comment = F.regexp_extract(trimmed, r"(?s)^[^ ]* (.*)$", 1)
     return name, comment
