@@ -46,10 +46,10 @@ from .operators.kmers import (
     reference_kmers,
 )
 from .operators.masking import merge_intervals
-from .operators.seeds import diagonal_histogram
+from .operators.seeds import diagonal_histogram, seeds
 from .plans.index import Index, assign_profiles, build_index
 from .plans.mask import mask
-from .plans.scan import chain_stage, extend_stage, layout_for, scan, seed_stage, window_stage
+from .plans.scan import chain_stage, extend_stage, layout_for, scan, window_stage
 from .profile import DEFAULT_PROFILE
 from .session import read_table
 from .sources.fasta import parse_fasta_text, record_text
@@ -154,30 +154,18 @@ SPANS_CTE = f"""{SEED_CTE},
         FROM spans)"""
 
 
-def seed_rows(spark: SparkSession, d: str, squash: bool) -> DataFrame:
-    """Seeds of documents against the benchmark texts, squashed or not."""
-    index = index_of(spark, d)
-    if squash:
-        return seed_stage(doc_sequences(spark, d), index, 0, layout_for(index, 0))
-    return _plain_seeds(doc_sequences(spark, d), index)
-
-
-def _plain_seeds(docs: DataFrame, index: Index) -> DataFrame:
-    from .operators.seeds import seeds
-
-    kmers = query_kmers(query_pieces(docs, _whole(index)), K)
-    return seeds(kmers, index.kmers.drop("pid"), K, 1, index.stats[0]["max_kmers"], squash=False)
-
-
-def _whole(index: Index) -> PieceLayout:
-    """A layout whose pieces are longer than any document, so no k-mer is seen twice."""
-    return PieceLayout.of(index.stats[0]["max_rlen"], PROFILE, core=1 << 28)
+def seed_rows(docs: DataFrame, index: Index, squash: bool) -> DataFrame:
+    """Seeds of documents against the benchmark texts, each once, squashed or not."""
+    layout = layout_for(index, 0)
+    kmers = query_kmers(query_pieces(docs, layout), K, owned=layout)
+    rows = index.stats[0]["max_kmers"]
+    return seeds(kmers, index.kmers.drop("pid"), K, PROFILE.squash_interval, rows, squash=squash)
 
 
 def diagonal_spans(spark: SparkSession, d: str) -> DataFrame:
     """Alignment-shaped rows of the diagonals with at least five seeds."""
     index = index_of(spark, d)
-    hits = _plain_seeds(doc_sequences(spark, d), index)
+    hits = seed_rows(doc_sequences(spark, d), index, squash=False)
     q, r = F.col("qpos").cast("long"), F.col("rpos").cast("long")
     spans = (
         hits.groupBy("seq_id", "qlen", "rid", "strand", (q - r).alias("_d"))
@@ -503,9 +491,8 @@ def reference_kmer_counts(spark, d):
     SELECT kmer, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum, count(DISTINCT nxt) AS n_next FROM qk GROUP BY ALL""",
 )
 def query_kmer_counts(spark, d):
-    # an index-free layout: pieces longer than any document
-    pieces = query_pieces(doc_sequences(spark, d), PieceLayout.of(1, PROFILE, core=1 << 28))
-    t = query_kmers(pieces, K)
+    layout = PieceLayout.of(1, PROFILE)
+    t = query_kmers(query_pieces(doc_sequences(spark, d), layout), K, owned=layout)
     nexts = F.size(F.collect_set("q_next"))
     return t.groupBy("kmer").agg(F.count("*").alias("n"), F.sum("qpos").alias("pos_sum"), nexts.cast("long").alias("n_next"))
 
@@ -528,7 +515,7 @@ def _seed_summary(s: DataFrame) -> DataFrame:
 
 @_register("seed_join", f"{SEED_CTE} SELECT doc_id, rid, strand, {_SEED_AGG} FROM hits GROUP BY ALL")
 def seed_join(spark, d):
-    return _seed_summary(seed_rows(spark, d, squash=False))
+    return _seed_summary(seed_rows(doc_sequences(spark, d), index_of(spark, d), squash=False))
 
 
 @_register(
@@ -536,12 +523,7 @@ def seed_join(spark, d):
     f"{SEED_CTE} SELECT doc_id, rid, strand, {_SEED_AGG} FROM hits WHERE NOT again OR phase = 0 GROUP BY ALL",
 )
 def seed_squash(spark, d):
-    index = index_of(spark, d)
-    kmers = query_kmers(query_pieces(doc_sequences(spark, d), _whole(index)), K)
-    from .operators.seeds import seeds
-
-    s = seeds(kmers, index.kmers.drop("pid"), K, PROFILE.squash_interval, index.stats[0]["max_kmers"])
-    return _seed_summary(s)
+    return _seed_summary(seed_rows(doc_sequences(spark, d), index_of(spark, d), squash=True))
 
 
 @_register(
@@ -550,7 +532,7 @@ def seed_squash(spark, d):
     GROUP BY ALL HAVING count(*) >= 3""",
 )
 def seed_diagonals(spark, d):
-    h = diagonal_histogram(seed_rows(spark, d, squash=False)).filter("n_seeds >= 3")
+    h = diagonal_histogram(seed_rows(doc_sequences(spark, d), index_of(spark, d), squash=False)).filter("n_seeds >= 3")
     return h.withColumnRenamed("seq_id", "doc_id")
 
 
@@ -659,7 +641,7 @@ def xdrop_extend(spark, d):
 
 @_register("scan_alignments")
 def scan_alignments(spark, d):
-    return scan(doc_sequences(spark, d), index_of(spark, d))
+    return scan(doc_sequences(spark, d), index_of(spark, d), ambiguous=None)
 
 
 @_register("scan_paf")
@@ -670,4 +652,4 @@ def scan_paf(spark, d):
 @_register("scan_mask")
 def scan_mask(spark, d):
     docs = doc_sequences(spark, d)
-    return mask(docs, scan(docs, index_of(spark, d)), GAP, MARGIN)
+    return mask(docs, scan(docs, index_of(spark, d), ambiguous=None), GAP, MARGIN)

@@ -164,17 +164,23 @@ def query_pieces(queries: DataFrame, layout: PieceLayout) -> DataFrame:
     )
 
 
-def query_kmers(pieces: DataFrame, k: int) -> DataFrame:
+def query_kmers(pieces: DataFrame, k: int, owned: PieceLayout | None = None) -> DataFrame:
     """``(seq_id, piece, n_pieces, qlen, kmer, qpos, q_next)`` for every k-mer of a piece.
 
     The last k-mer of a piece is left to the next piece unless the query ends there, so
-    ``q_next`` is empty only at the true end.
+    ``q_next`` is empty only at the true end.  Neighbouring pieces overlap; with ``owned``
+    (their layout) each piece lists only the k-mers of its own core, so that every k-mer
+    of the query appears once.
     """
     plen = F.length("pseq")
     at_end = F.col("pstart") + plen == F.col("qlen")
+    first = F.lit(0)
     last = plen - k - F.when(at_end, 0).otherwise(1)
+    if owned is not None:
+        core_start = F.col("piece") * owned.core - F.col("pstart")
+        first, last = core_start, F.least(last, core_start + owned.core - 1)
     # a NULL array explodes to nothing; a filter here would be pushed below the text work and repeat it
-    offsets = F.when(last >= 0, F.sequence(F.lit(0), last))
+    offsets = F.when(last >= first, F.sequence(first, last))
     pos = pieces.select("seq_id", "piece", "n_pieces", "qlen", "pstart", "pseq", F.explode(offsets).alias("_i"))
     return pos.select(
         "seq_id",

@@ -28,8 +28,13 @@ BYTES_PER_CHAIN = 128
 BYTES_PER_REF = 128
 
 
-def prepare_queries(queries: DataFrame, ambiguous: str = "A") -> DataFrame:
-    """``(seq_id, name, seq)`` with plain bases; records that cannot be read are left out."""
+def prepare_queries(queries: DataFrame, ambiguous: str | None = "A") -> DataFrame:
+    """``(seq_id, name, seq)`` with plain bases; records that cannot be read are left out.
+
+    ``ambiguous=None`` says that ``seq`` holds nothing but ACGT already.
+    """
+    if ambiguous is None:
+        return queries.select("seq_id", "name", "seq")
     ok = queries.filter(is_valid_query("seq")).select(
         "seq_id", "name", normalize_query("seq", ambiguous).alias("seq")
     )
@@ -133,7 +138,7 @@ def extend_stage(windows: DataFrame, profile: Profile, legacy_ops: bool = False)
 def scan(
     queries: DataFrame,
     index: Index,
-    ambiguous: str = "A",
+    ambiguous: str | None = "A",
     across_references: bool = False,
     legacy_ops: bool = False,
     limit: int = BROADCAST_LIMIT,

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str | int = 8, memory: str = "12g", app: str = "seedloom") -> SparkSession:
+def local_session(cores: str | int = 8, memory: str = "16g", app: str = "seedloom") -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
