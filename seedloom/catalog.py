@@ -90,6 +90,7 @@ def doc_sequences(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("seq_id"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"),
         text_as_sequence("text").alias("seq"),
+        F.length("text").alias("len_bound"),
     )
 
 
@@ -652,4 +653,4 @@ def scan_paf(spark, d):
 @_register("scan_mask")
 def scan_mask(spark, d):
     docs = doc_sequences(spark, d)
-    return mask(docs, scan(docs, index_of(spark, d), ambiguous=None), GAP, MARGIN)
+    return mask(docs.drop("len_bound"), scan(docs, index_of(spark, d), ambiguous=None), GAP, MARGIN)

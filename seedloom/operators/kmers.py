@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import AMBIGUOUS_CLASS, expand_ambiguous, reverse_complement
 from ..profile import MAX_REF_LEN, Profile
+from ..session import checkpointed
 
 
 # --------------------------------------------------------------------------- references
@@ -31,13 +32,14 @@ def dense_reference_ids(refs: DataFrame, order: list[str]) -> DataFrame:
 
     Rows are range-partitioned by the order key; each partition numbers its own rows
     and adds the row count of the partitions before it (one tiny row per partition).
+    The numbered table is checkpointed, so both uses see the same partitions.
     """
-    from pyspark.sql import Window
-
-    ranged = refs.repartitionByRange(*order).sortWithinPartitions(*order)
+    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = refs.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tagged = ranged.withColumn("_p", F.spark_partition_id()).withColumn(
         "_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     )
+    tagged = checkpointed(tagged)
     counts = tagged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -145,12 +147,28 @@ class PieceLayout:
         )
 
 
-def query_pieces(queries: DataFrame, layout: PieceLayout) -> DataFrame:
-    """``(seq_id[, name], piece, n_pieces, qlen, pstart, pseq)``; short queries stay whole."""
+def query_pieces(queries: DataFrame, layout: PieceLayout, spread: bool = False) -> DataFrame:
+    """``(seq_id[, name], piece, n_pieces, qlen, pstart, pseq)``; short queries stay whole.
+
+    With ``spread`` the pieces of long queries are shuffled over the cluster, so that no
+    task keeps a whole chromosome.  Short queries, the bulk, are not moved; the price is
+    a second look at the input for the long ones.  A column ``len_bound``, if there is
+    one, is an upper bound of the length that costs less to compute.
+    """
+    if not spread:
+        return _cut(queries, layout)
+    size = F.col("len_bound") if "len_bound" in queries.columns else F.length("seq")
+    long = size > layout.core
+    moved = _cut(queries.filter(long), layout).repartition("seq_id", "piece")
+    return _cut(queries.filter(~long), layout).unionByName(moved)
+
+
+def _cut(queries: DataFrame, layout: PieceLayout) -> DataFrame:
     names = [c for c in ("name",) if c in queries.columns]
     base = queries.select("seq_id", *names, F.length("seq").alias("qlen"), F.col("seq").cast("binary").alias("_b"))
     n = F.greatest(F.lit(1), F.ceil(F.col("qlen") / layout.core).cast("int"))
-    cut = base.select("seq_id", *names, "qlen", "_b", n.alias("n_pieces"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
+    number = F.explode(F.sequence(F.lit(0), n - 1)).alias("piece")
+    cut = base.select("seq_id", *names, "qlen", "_b", n.alias("n_pieces"), number)
     start = F.greatest(F.lit(0), F.col("piece") * layout.core - layout.behind)
     stop = F.least(F.col("qlen"), (F.col("piece") + 1) * layout.core + layout.ahead)
     return cut.withColumn("pstart", start).select(

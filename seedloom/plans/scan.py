@@ -25,6 +25,7 @@ from .index import Index
 
 # What a broadcast row of a chain, and of a reference beside its bases, costs about.
 BYTES_PER_CHAIN = 128
+CHAIN_BROADCAST_LIMIT = 64 << 20
 BYTES_PER_REF = 128
 
 
@@ -34,7 +35,7 @@ def prepare_queries(queries: DataFrame, ambiguous: str | None = "A") -> DataFram
     ``ambiguous=None`` says that ``seq`` holds nothing but ACGT already.
     """
     if ambiguous is None:
-        return queries.select("seq_id", "name", "seq")
+        return queries.select("seq_id", "name", "seq", *[c for c in ("len_bound",) if c in queries.columns])
     ok = queries.filter(is_valid_query("seq")).select(
         "seq_id", "name", normalize_query("seq", ambiguous).alias("seq")
     )
@@ -56,7 +57,7 @@ def layout_for(index: Index, pid: int, core: int | None = None, warm: int | None
 def seed_stage(queries: DataFrame, index: Index, pid: int, layout: PieceLayout, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Squashed seeds of one profile's references."""
     profile = index.profiles[pid]
-    kmers = query_kmers(query_pieces(queries, layout), profile.k)
+    kmers = query_kmers(query_pieces(queries, layout, spread=True), profile.k)
     table = index.kmers.filter(F.col("pid") == pid).drop("pid")
     return seeds(kmers, table, profile.k, profile.squash_interval, index.stats[pid]["max_kmers"], limit=limit)
 
@@ -77,7 +78,7 @@ def window_stage(
     two meet by (query, piece), and pieces without chains are dropped before the shuffle.
     """
     pieces = query_pieces(queries, layout).drop("n_pieces")
-    if chains.count() * BYTES_PER_CHAIN <= limit:
+    if chains.count() * BYTES_PER_CHAIN <= min(limit, CHAIN_BROADCAST_LIMIT):
         met = pieces.join(F.broadcast(chains), ["seq_id", "piece"])
     else:
         wanted = chains.select("seq_id", "piece").distinct()
