@@ -98,7 +98,8 @@ def linked(points, window, min_seeds, k=4):
     uv = sorted((2 * q - r, 2 * r - q) for q, r in points)
     u, v = [x for x, _ in uv], [y for _, y in uv]
     out = []
-    for a, b, n in C.link_seeds(u, v, window, min_seeds):
+    ahead = C.nearest_ahead(np.array(u), np.array(v), np.zeros(len(u), int), window).tolist()
+    for a, b, n in C.link_seeds(u, v, ahead, window, min_seeds):
         q0, r0 = (2 * u[a] + v[a]) // 3, (2 * v[a] + u[a]) // 3
         q1, r1 = (2 * u[b] + v[b]) // 3, (2 * v[b] + u[b]) // 3
         out.append((q0, r0, q1 - q0 + k + 1, r1 - r0 + k + 1, n))
