@@ -21,6 +21,7 @@ from ..operators.flanks import FLANK, filter_flanks, padded
 from ..operators.kmers import PieceLayout, both_strands, query_kmers, query_pieces
 from ..operators.seeds import BROADCAST_LIMIT, BYTES_PER_INDEX_ROW, seeds
 from ..profile import Profile
+from ..session import bound_arrow_batches
 from .index import Index
 
 # What a broadcast row of a chain, and of a reference beside its bases, costs about.
@@ -152,6 +153,7 @@ def scan(
     ``warm`` set the piece length and warm-up (see ``PieceLayout``), ``limit`` the
     broadcast bound in bytes.
     """
+    bound_arrow_batches(queries.sparkSession)
     ready = prepare_queries(queries, ambiguous)
     parts = []
     for pid in sorted(index.stats):

@@ -39,6 +39,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_arrow_batches(spark: SparkSession, limit: int = 64 << 20) -> None:
+    """Bound Arrow batches by bytes too: extension rows carry stretches of sequence."""
+    now = spark.conf.get(ARROW_BYTES) or ""
+    # a value in plain bytes that is small enough, or one the user wrote with a unit, stays
+    plain = now.removesuffix("b")
+    if not now or (plain.isdigit() and int(plain) > limit):
+        spark.conf.set(ARROW_BYTES, str(limit))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet scan; a table that arrives in too few splits is spread over the cores.
 
