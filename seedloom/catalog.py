@@ -37,6 +37,7 @@ from .functions.scoring import (
 from .operators.alignments import best_per_start, in_output_order
 from .operators.kmers import (
     PieceLayout,
+    coded_kmers,
     dedup_kmers,
     dense_reference_ids,
     filter_reference_length,
@@ -158,9 +159,9 @@ SPANS_CTE = f"""{SEED_CTE},
 def seed_rows(docs: DataFrame, index: Index, squash: bool) -> DataFrame:
     """Seeds of documents against the benchmark texts, each once, squashed or not."""
     layout = layout_for(index, 0)
-    kmers = query_kmers(query_pieces(docs, layout), K, owned=layout)
+    kmers = query_kmers(query_pieces(docs, layout), K, owned=layout, coded=True)
     rows = index.stats[0]["max_kmers"]
-    return seeds(kmers, index.kmers.drop("pid"), K, PROFILE.squash_interval, rows, squash=squash)
+    return seeds(kmers, coded_kmers(index.kmers.drop("pid")), K, PROFILE.squash_interval, rows, squash=squash)
 
 
 def diagonal_spans(spark: SparkSession, d: str) -> DataFrame:

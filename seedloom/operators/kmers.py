@@ -182,13 +182,27 @@ def _cut(queries: DataFrame, layout: PieceLayout) -> DataFrame:
     )
 
 
-def query_kmers(pieces: DataFrame, k: int, owned: PieceLayout | None = None) -> DataFrame:
+# Base codes of the numeric k-mer form: one decimal digit per base, zero past the end.
+_DIGITS = ("ACGTN", "12349")
+
+
+def coded_kmers(kmers: DataFrame) -> DataFrame:
+    """A reference k-mer table with ``kmer`` as BIGINT and ``r_next`` as INT."""
+
+    def digits(c: str) -> Column:
+        return F.translate(F.col(c), *_DIGITS)
+
+    return kmers.withColumn("kmer", digits("kmer").cast("long")).withColumn("r_next", digits("r_next").cast("int"))
+
+
+def query_kmers(pieces: DataFrame, k: int, owned: PieceLayout | None = None, coded: bool = False) -> DataFrame:
     """``(seq_id, piece, n_pieces, qlen, kmer, qpos, q_next)`` for every k-mer of a piece.
 
     The last k-mer of a piece is left to the next piece unless the query ends there, so
     ``q_next`` is empty only at the true end.  Neighbouring pieces overlap; with ``owned``
     (their layout) each piece lists only the k-mers of its own core, so that every k-mer
-    of the query appears once.
+    of the query appears once.  ``coded`` gives numbers instead of text (a k-mer and its
+    following base come from one slice, and a join on a number probes faster).
     """
     plen = F.length("pseq")
     at_end = F.col("pstart") + plen == F.col("qlen")
@@ -199,13 +213,27 @@ def query_kmers(pieces: DataFrame, k: int, owned: PieceLayout | None = None) ->
         first, last = core_start, F.least(last, core_start + owned.core - 1)
     # a NULL array explodes to nothing; a filter here would be pushed below the text work and repeat it
     offsets = F.when(last >= first, F.sequence(first, last))
-    pos = pieces.select("seq_id", "piece", "n_pieces", "qlen", "pstart", "pseq", F.explode(offsets).alias("_i"))
+    text = F.col("pseq")
+    if coded:
+        text = F.translate(F.concat(text.cast("string"), F.lit("0")), *_DIGITS).cast("binary")
+    keep = ["seq_id", "piece", "n_pieces", "qlen", "pstart"]
+    # the text is prepared in a projection of its own, below the explode, once per piece
+    ready = pieces.select(*keep, text.alias("_t"), offsets.alias("_o"))
+    pos = ready.select(*keep, "_t", F.explode("_o").alias("_i"))
+    qpos = (F.col("pstart") + F.col("_i")).alias("qpos")
+    if coded:
+        both = F.substring(F.col("_t"), F.col("_i") + 1, F.lit(k + 1)).cast("string").try_cast("long")
+        one = pos.select("seq_id", "piece", "n_pieces", "qlen", qpos, both.alias("_c"))
+        return one.select(
+            "seq_id", "piece", "n_pieces", "qlen", F.expr("_c div 10").alias("kmer"), "qpos",
+            (F.col("_c") % 10).cast("int").alias("q_next"),
+        )
     return pos.select(
         "seq_id",
         "piece",
         "n_pieces",
         "qlen",
-        F.substring(F.col("pseq"), F.col("_i") + 1, F.lit(k)).cast("string").alias("kmer"),
-        (F.col("pstart") + F.col("_i")).alias("qpos"),
-        F.substring(F.col("pseq"), F.col("_i") + k + 1, F.lit(1)).cast("string").alias("q_next"),
+        F.substring(F.col("_t"), F.col("_i") + 1, F.lit(k)).cast("string").alias("kmer"),
+        qpos,
+        F.substring(F.col("_t"), F.col("_i") + k + 1, F.lit(1)).cast("string").alias("q_next"),
     )

@@ -2,16 +2,17 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seedloom import catalog, cli
+from seedloom.operators.extension import cigar
 from seedloom.plans.index import build_index
 from seedloom.profile import DEFAULT_PROFILE
 from seedloom.sources.fasta import read_fasta
 from seedloom.sources.paf import read_paf
 from seedloom.streaming.scan_files import query_stream, scan_stream
 
+from . import brute
 from .test_scan import dataset, expected, rows
 
 SF = "/root/testdata/sf0.001"
@@ -89,8 +90,6 @@ def test_scan_query_equals_restatement_on_whole_tables(spark):
     hit = sorted({g[0] for g in got})
     assert hit
     pairs = sorted({(g[0], g[4]) for g in got})
-    from .test_scan import expected as brute_rows
-
     def quick(q, r, k, interval, squash=True):
         at = {}
         for j in range(len(r) - k + 1):
@@ -103,18 +102,12 @@ def test_scan_query_equals_restatement_on_whole_tables(spark):
                     out.append((i, j))
         return out
 
-    from seedloom.operators.extension import cigar
-
-    from . import brute
-
     want = []
     for qn, rn in pairs:
         found = brute.scan([(qn, docs[qn])], [(rn, dict(refs)[rn])], catalog.PROFILE, quick)
         want += [(*x[:-1], cigar(x[-1])) for x in found]
     assert got == sorted(want)
-    del brute_rows
 
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert F is not None

@@ -11,6 +11,7 @@ from seedloom.operators.extension import Scores, cigar, extend_batch
 from seedloom.operators.flanks import band_scores
 from seedloom.operators.kmers import (
     PieceLayout,
+    coded_kmers,
     dedup_kmers,
     dense_reference_ids,
     filter_reference_length,
@@ -85,8 +86,10 @@ def test_seeds_and_salted_join(spark):
     rk = dedup_kmers(reference_kmers(refs, 4))
     layout = PieceLayout.of(60, DEFAULT_PROFILE)
     qk = query_kmers(query_pieces(spark.createDataFrame([(9, q)], "seq_id long, seq string"), layout), 4)
-    for limit in (1 << 30, 0):
-        got = seeds(qk, rk, 4, 16, 10**6, limit=limit).collect()
+    pieces = query_pieces(spark.createDataFrame([(9, q)], "seq_id long, seq string"), layout)
+    numeric = (query_kmers(pieces, 4, coded=True), coded_kmers(rk))
+    for limit, (left, right) in ((1 << 30, (qk, rk)), (0, (qk, rk)), (1 << 30, numeric), (0, numeric)):
+        got = seeds(left, right, 4, 16, 10**6, limit=limit).collect()
         for strand, oriented in (("+", r), ("-", brute.revcomp(r))):
             assert sorted((x.qpos, x.rpos) for x in got if x.strand == strand) == brute.seeds(q, oriented, 4, 16)
     plain = sorted(map(tuple, qk.join(rk, "kmer").collect()), key=str)
