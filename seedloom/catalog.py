@@ -495,7 +495,11 @@ def reference_kmer_counts(spark, d):
 def query_kmer_counts(spark, d):
     layout = PieceLayout.of(1, PROFILE)
     t = query_kmers(query_pieces(doc_sequences(spark, d), layout), K, owned=layout)
-    nexts = F.size(F.collect_set("q_next"))
+    # a bit per following base keeps the aggregate on fixed-width buffers
+    bit = F.lit(16)
+    for i, b in enumerate("ACGT"):
+        bit = F.when(F.col("q_next") == b, F.lit(1 << i)).otherwise(bit)
+    nexts = F.bit_count(F.bit_or(bit))
     return t.groupBy("kmer").agg(F.count("*").alias("n"), F.sum("qpos").alias("pos_sum"), nexts.cast("long").alias("n_next"))
 
 
