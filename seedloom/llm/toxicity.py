@@ -62,7 +62,7 @@ class OrdinalModel:
         self.features, self.weights, self.thresholds = features, weights, thresholds
 
     @classmethod
-    def fit(cls, features: list[str], rows: list[dict[int, float]], grades: np.ndarray, l2: float = 0.002, steps: int = 600) -> OrdinalModel:
+    def fit(cls, features: list[str], rows: list[dict[int, float]], grades: np.ndarray, l2: float = 0.0003, steps: int = 800) -> OrdinalModel:
         """Full-batch Adam on the mean log-likelihood; thresholds are kept in order by their gaps."""
         n, d, cuts = len(rows), len(features), GRADES - 1
         of = np.repeat(np.arange(n), [len(r) for r in rows])
