@@ -3,7 +3,9 @@
 P(grade > k) = sigmoid(w . x - t_k) with one weight vector for all thresholds t_0 < t_1 < ...
 The output is the expected grade, the sum of these probabilities.  Features are words and
 their beginnings; those whose document counts differ between toxic and clean labelled
-documents are chosen by a signed chi-square test.  Labels are binary; a toxic document's
+documents are chosen by a signed test.  Chosen words are also pooled by how much rarer they are
+in clean documents, so that one clear word tells even where it is seldom alone; all of
+them are evidence for toxicity, so no weight is negative.  Labels are binary; a toxic document's
 grade is 1 or 2, 2 if its share of chosen words is at least the median of toxic ones.
 """
 
@@ -23,6 +25,8 @@ from .common import Saved, hash_sample
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(4, 9)
 GRADES = 3
+#: Pools of words: at least so many times as frequent in toxic documents as in clean ones.
+POOLS = (3, 20, 60, 200)
 FIELDS = "severity double, grade int, toxic boolean, p_toxic double, n_words long"
 
 
@@ -31,7 +35,13 @@ def word_features(word: str) -> list[str]:
     return [word] + [word[:k] + "-" for k in BEGINNINGS if k < len(word)]
 
 
-def counted(text: str, chosen: dict[str, int], known: dict[str, list[int]]) -> tuple[Counter, int]:
+def evidence(word: str, chosen: dict[str, tuple[int, int]]) -> list[int]:
+    """Features of a word: the chosen ones, and the highest of their pools."""
+    hits = [chosen[f] for f in word_features(word) if f in chosen]
+    return [k for k, _ in hits] + [len(chosen) + max(pool for _, pool in hits)] if hits else []
+
+
+def counted(text: str, chosen: dict[str, tuple[int, int]], known: dict[str, list[int]]) -> tuple[Counter, int]:
     """How often each chosen feature occurs, and the number of words."""
     words = WORD.findall(text.lower())
     hits: Counter = Counter()
@@ -40,7 +50,7 @@ def counted(text: str, chosen: dict[str, int], known: dict[str, list[int]]) -> t
     for w in words:
         at = known.get(w)
         if at is None:
-            at = known[w] = [chosen[f] for f in word_features(w) if f in chosen]
+            at = known[w] = evidence(w, chosen)
         if at:
             hits.update(at)
     return hits, len(words)
@@ -56,15 +66,18 @@ def sigmoid(x):
 
 
 class OrdinalModel:
-    """Weights of the chosen features and the ordered thresholds."""
+    """Weights of the chosen features and their pools, and the ordered thresholds.
+
+    ``features`` maps a name to its place and its pool.
+    """
 
-    def __init__(self, features: list[str], weights: np.ndarray, thresholds: np.ndarray):
+    def __init__(self, features: dict[str, tuple[int, int]], weights: np.ndarray, thresholds: np.ndarray):
         self.features, self.weights, self.thresholds = features, weights, thresholds
 
     @classmethod
-    def fit(cls, features: list[str], rows: list[dict[int, float]], grades: np.ndarray, l2: float = 0.0003, steps: int = 800) -> OrdinalModel:
+    def fit(cls, features: dict[str, tuple[int, int]], rows: list[dict[int, float]], grades: np.ndarray, l2: float = 0.0003, steps: int = 800) -> OrdinalModel:
         """Full-batch Adam on the mean log-likelihood; thresholds are kept in order by their gaps."""
-        n, d, cuts = len(rows), len(features), GRADES - 1
+        n, d, cuts = len(rows), len(features) + len(POOLS), GRADES - 1
         of = np.repeat(np.arange(n), [len(r) for r in rows])
         col = np.array([f for r in rows for f in r], np.int64)
         val = np.array([v for r in rows for v in r.values()])
@@ -83,6 +96,7 @@ class OrdinalModel:
             g = np.concatenate([np.bincount(col, val * g_z[of], minlength=d) + l2 * p[:d], [g_cut.sum()], [g_cut[k:].sum() * np.exp(p[d + k]) for k in range(1, cuts)]])
             m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
             p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-9)
+            p[:d] = np.maximum(p[:d], 0)
         return cls(features, p[:d], np.cumsum(np.concatenate([p[d : d + 1], np.exp(p[d + 1 :])])))
 
     def above(self, row: dict[int, float]) -> np.ndarray:
@@ -123,13 +137,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sizes = {bool(r["_y"]): r["count"] for r in texts.groupBy((F.col("_y") > 0).alias("_y")).count().collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad or not good:
-        return OrdinalModel([], np.zeros(0), np.array([30.0, 31.0]))
+        return OrdinalModel({}, np.zeros(len(POOLS)), np.array([30.0, 31.0]))
     counts = texts.mapInPandas(document_counts, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     a, b = F.col("bad") / bad, F.col("good") / good
     pooled = (F.col("bad") + F.col("good")) / (bad + good)
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / bad + 1 / good) + F.lit(1e-9))
     top = counts.where((F.col("bad") >= least) & (a > 3 * b)).withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "feature").limit(features)
-    chosen = {r["feature"]: k for k, r in enumerate(top.select("feature").collect())}
+    ratio = a * good / (F.col("good") + 1)
+    chosen = {r["feature"]: (k, sum(r["ratio"] >= x for x in POOLS[1:])) for k, r in enumerate(top.select("feature", ratio.alias("ratio")).collect())}
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[int]] = {}
@@ -139,10 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     found = texts.mapInPandas(sparse, "y int, f array<int>, c array<int>, n int").collect()
     rows = [values(Counter(dict(zip(r["f"], r["c"]))), r["n"]) for r in found]
-    density = np.array([sum(r["c"]) / (r["n"] + 20) for r in found])
+    density = np.array([sum(c for f, c in zip(r["f"], r["c"]) if f >= len(chosen)) / (r["n"] + 20) for r in found])
     y = np.array([r["y"] for r in found])
     middle = np.median(density[y > 0])
-    return OrdinalModel.fit(list(chosen), rows, np.where(y > 0, 1 + (density >= middle), 0))
+    return OrdinalModel.fit(chosen, rows, np.where(y > 0, 1 + (density >= middle), 0))
 
 
 def toxicity(text: str, model: OrdinalModel) -> Column:
@@ -150,7 +165,7 @@ def toxicity(text: str, model: OrdinalModel) -> Column:
 
     @F.pandas_udf(FIELDS)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        chosen = {f: k for k, f in enumerate(model.features)}
+        chosen = model.features
         known: dict[str, list[int]] = {}
         names = [x.split()[0] for x in FIELDS.split(", ")]
         for texts in batches:
