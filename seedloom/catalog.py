@@ -180,7 +180,7 @@ def diagonal_spans(spark: SparkSession, d: str) -> DataFrame:
         )
         .filter("n >= 5")
     )
-    refs = F.broadcast(index.refs.select("block", "rid", "rname", "rlen"))  # 2 short columns of the small side
+    refs = index.refs.select("block", "rid", "rname", "rlen")
     span = F.col("qend") - F.col("qstart")
     minus = F.col("strand") == "-"
     return spans.join(refs, "rid").select(
@@ -376,12 +376,10 @@ _RECORD_SQL = f"""r AS (SELECT doc_id, 'doc' || doc_id AS name, source || ' ' ||
     FROM r""",
 )
 def fasta_fastq_format(spark, d):
-    r = _record_rows(spark, d)
-    plain = r.withColumn("qual", F.lit("")).select("doc_id", F.md5(record_text()).alias("fasta"))
-    with_qual = r.withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))).select(
-        "doc_id", F.md5(record_text()).alias("fastq")
-    )
-    return plain.join(with_qual, "doc_id")
+    r = _record_rows(spark, d).withColumn("qual", F.lit(""))
+    plain = r.withColumn("fasta", F.md5(record_text()))
+    with_qual = plain.withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    return with_qual.select("doc_id", "fasta", F.md5(record_text()).alias("fastq"))
 
 
 @_register("fasta_parse", f"WITH {_RECORD_SQL} SELECT doc_id, name, comment, md5(seq) AS digest FROM r")
@@ -436,7 +434,7 @@ _LOOKUP = [
     """WITH r AS (SELECT item_id AS rid, 'item' || item_id AS name, regexp_extract(text, '^([A-Za-z]*)', 1) AS comment
     FROM benchmark)
     SELECT rid, name, CASE WHEN regexp_matches(name, '^item[0-9]$') THEN 'first' WHEN regexp_matches(comment, '^[A-H]')
-    THEN 'second' WHEN regexp_matches(name, '[02468]$') AND regexp_matches(comment, '^[I-Z]') THEN 'third'
+    THEN 'second' WHEN regexp_matches(name, '[02468]$') OR regexp_matches(comment, '^[I-Z]') THEN 'third'
     ELSE 'default' END AS profile FROM r""",
 )
 def profile_lookup(spark, d):
@@ -584,8 +582,9 @@ def paf_parse(spark, d):
     ORDER BY qstart, rid, strand, rstart, qend, rend) AS place FROM alns""",
 )
 def output_order(spark, d):
-    w = Window.partitionBy("seq_id").orderBy("qstart", "rid", "strand", "rstart", "qend", "rend")
-    ordered = in_output_order(diagonal_spans(spark, d))
+    # the running number of the sorted rows, as they would be written
+    ordered = in_output_order(diagonal_spans(spark, d)).withColumn("_at", F.monotonically_increasing_id())
+    w = Window.partitionBy("seq_id").orderBy("_at")
     return ordered.select(
         F.col("seq_id").alias("doc_id"), "rid", "strand", "qstart", "qend", "rstart", "rend",
         F.row_number().over(w).cast("long").alias("place"),

@@ -60,8 +60,8 @@ def both_strands(refs: DataFrame, seq: str = "rseq") -> DataFrame:
 def _ambiguity_variants(kmer: Column, k: int, max_columns: int) -> Column:
     """All plain k-mers an ambiguous one stands for.
 
-    Only the leftmost ``max_columns`` ambiguous letters branch, so at most
-    ``2**max_columns`` variants arise; further ones take their first base.
+    The leftmost ``max_columns`` ambiguous letters branch.  The default is the longest k, so
+    that nothing is left out: 512 variants at most.
     """
 
     def step(acc, i):
@@ -74,7 +74,7 @@ def _ambiguity_variants(kmer: Column, k: int, max_columns: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array(F.lit("")), step)
 
 
-def reference_kmers(refs: DataFrame, k: int, max_amb_columns: int = 6, seq: str = "rseq") -> DataFrame:
+def reference_kmers(refs: DataFrame, k: int, max_amb_columns: int = 9, seq: str = "rseq") -> DataFrame:
     """``(rid, strand, kmer, rpos, r_next)``: every k-mer of both strands.
 
     ``r_next`` is the base after the k-mer on the walked strand, NULL at the end.  An

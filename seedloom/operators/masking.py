@@ -19,29 +19,29 @@ def _merge(intervals: DataFrame, keys: list[str], max_gap: int) -> DataFrame:
     return island.groupBy(*keys, "_isl").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_isl")
 
 
-def merge_intervals(alns: DataFrame, max_gap: int = 0, margin: int = 0) -> DataFrame:
-    """Disjoint ``(qname, start, end)``, padded by ``margin`` and joined over short gaps.
+def merge_intervals(alns: DataFrame, max_gap: int = 0, margin: int = 0, key: str = "qname") -> DataFrame:
+    """Disjoint ``(key, start, end)``, padded by ``margin`` and joined over short gaps.
 
     A read with very many hits is merged within stretches of it first, in parallel; only
     the few disjoint intervals that remain meet in one group.
     """
     padded = alns.select(
-        "qname",
+        key,
         F.greatest(F.lit(0), F.col("qstart") - margin).cast("long").alias("start"),
         F.least(F.col("qend") + margin, F.col("qlen")).cast("long").alias("end"),
     ).filter(F.col("end") > F.col("start"))
-    local = _merge(padded.withColumn("_bin", F.floor(F.col("start") / BIN)), ["qname", "_bin"], max_gap)
-    return _merge(local.drop("_bin"), ["qname"], max_gap)
+    local = _merge(padded.withColumn("_bin", F.floor(F.col("start") / BIN)), [key, "_bin"], max_gap)
+    return _merge(local.drop("_bin"), [key], max_gap)
 
 
-def lowercase_intervals(seqs: DataFrame, merged: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
+def lowercase_intervals(seqs: DataFrame, merged: DataFrame, name: str = "name", seq: str = "seq", key: str = "qname") -> DataFrame:
     """Lower-case the merged intervals of each read; reads without any stay as they are.
 
     The text is rebuilt from slices of a byte string, so the cost is linear in the read
     length plus the interval count.
     """
-    spans = merged.groupBy("qname").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = seqs.join(spans, seqs[name] == spans["qname"], "left").drop("qname")
+    spans = merged.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    joined = seqs.join(spans, seqs[name] == spans["_key"], "left").drop("_key")
     joined = joined.withColumn("_b", F.col(seq).cast("binary"))
 
     def cut(start, end):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import normalize_reference
-from ..operators.kmers import dedup_kmers, dense_reference_ids, filter_reference_length, reference_kmers
+from ..operators.kmers import dense_reference_ids, filter_reference_length, reference_kmers
 from ..profile import DEFAULT_PROFILE, Profile
 
 FORMAT_VERSION = 1
@@ -37,18 +37,22 @@ class Index:
 
 
 def assign_profiles(refs: DataFrame, profiles: list[Profile]) -> DataFrame:
-    """``pid`` of the first profile, in file order, whose patterns match; else the last.
+    """``pid`` of the first profile, in file order, with a matching pattern; else the last.
+
+    A profile with a name and a comment pattern is taken when either matches; one without
+    patterns takes every reference.
 
     One CASE expression over the few profiles, evaluated in the scan of the references.
     """
     choice = F.lit(len(profiles) - 1)
     for pid in reversed(range(len(profiles) - 1)):
         p = profiles[pid]
-        hit = F.lit(True)
+        hits = []
         if p.name_pattern is not None:
-            hit = hit & F.col("rname").rlike(p.name_pattern)
+            hits.append(F.col("rname").rlike(p.name_pattern))
         if p.comment_pattern is not None:
-            hit = hit & F.coalesce(F.col("rcomment"), F.lit("")).rlike(p.comment_pattern)
+            hits.append(F.coalesce(F.col("rcomment"), F.lit("")).rlike(p.comment_pattern))
+        hit = reduce(lambda a, b: a | b, hits) if hits else F.lit(True)
         choice = F.when(hit, F.lit(pid)).otherwise(choice)
     return refs.withColumn("pid", choice)
 
@@ -103,7 +107,7 @@ def build_index(
     if not stats:
         raise ValueError("no reference sequence is left")
     tables = [
-        dedup_kmers(reference_kmers(base.filter(F.col("pid") == pid), profiles[pid].k, profiles[pid].max_amb_columns))
+        reference_kmers(base.filter(F.col("pid") == pid), profiles[pid].k, profiles[pid].max_amb_columns)
         .withColumn("pid", F.lit(pid))
         for pid in sorted(stats)
     ]

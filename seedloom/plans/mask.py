@@ -12,7 +12,10 @@ def mask(reads: DataFrame, alns: DataFrame | str, max_gap: int = 0, margin: int
     """``reads(name, seq, ...)`` with aligned stretches in lower case.
 
     ``alns`` is an alignment table or the path of a PAF file.  Reads without alignments
-    pass unchanged; alignments without a read are ignored.
+    pass unchanged; alignments without a read are ignored.  Both sides meet by ``seq_id``
+    where they have it, so reads of one name are told apart; PAF text only has names.
     """
     table = read_paf(reads.sparkSession, alns) if isinstance(alns, str) else alns
+    if "seq_id" in table.columns and "seq_id" in reads.columns:
+        return lowercase_intervals(reads, merge_intervals(table, max_gap, margin, "seq_id"), "seq_id", key="seq_id")
     return lowercase_intervals(reads, merge_intervals(table, max_gap, margin))

@@ -36,7 +36,7 @@ class Profile:
     end_bonus: int = 10
     min_score: int = 30
     use_raw_score: bool = False
-    max_amb_columns: int = 6
+    max_amb_columns: int = 9
     name_pattern: str | None = None
     comment_pattern: str | None = None
     matrix: tuple | None = None  # ((query base, ref code), score) pairs, else match/mismatch

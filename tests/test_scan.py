@@ -3,7 +3,8 @@ import random
 import pytest
 
 from seedloom.operators.extension import cigar
-from seedloom.plans.index import build_index, load_index, save_index
+from seedloom.plans.index import assign_profiles, build_index, load_index, save_index
+from seedloom.plans.mask import mask
 from seedloom.plans.scan import prepare_queries, rejected_queries, scan
 from seedloom.profile import DEFAULT_PROFILE
 
@@ -137,3 +138,32 @@ def test_profiles_split_references(spark):
 
 def expected_for(refs, queries, p, names):
     return [x for x in expected(refs, queries, p) if x[4] in names]
+
+
+def test_profile_is_taken_when_either_pattern_matches(spark):
+    refs = spark.createDataFrame([("r1", "x"), ("q", "yes"), ("q", "x"), ("r1", "yes"), ("q", None)], "rname string, rcomment string")
+    profiles = [DEFAULT_PROFILE.replace(name_pattern="^r", comment_pattern="^y"), DEFAULT_PROFILE]
+    got = [r.pid for r in assign_profiles(refs, profiles).collect()]
+    assert got == [0, 0, 1, 0, 1]
+    assert {r.pid for r in assign_profiles(refs, [DEFAULT_PROFILE, DEFAULT_PROFILE]).collect()} == {0}
+
+
+def test_masking_tells_reads_of_one_name_apart(spark):
+    reads = spark.createDataFrame([(1, "dup", "ACGTACGT"), (2, "dup", "ACGTACGT")], "seq_id long, name string, seq string")
+    alns = spark.createDataFrame([(1, "dup", 2, 5, 8)], "seq_id long, qname string, qstart long, qend long, qlen long")
+    assert {r.seq_id: r.seq for r in mask(reads, alns).collect()} == {1: "ACgtaCGT", 2: "ACGTACGT"}
+
+
+def test_large_reference_numbers(spark):
+    """Numbers beyond 24 bits give the same hits as small ones."""
+    rng = random.Random(8)
+    ref = "".join(rng.choice("ACGT") for _ in range(200))
+    query = spark.createDataFrame([(0, "q", mutate(rng, ref))], "seq_id long, name string, seq string")
+    found = []
+    for rid in (3, (1 << 24) - 1, 1 << 24, (1 << 31) - 1):
+        refs = spark.createDataFrame([(rid, "r", ref)], "rid long, name string, seq string")
+        index = build_index(refs, DEFAULT_PROFILE)
+        rows = scan(query, index).collect()
+        assert {r.rid for r in rows} == {rid}
+        found.append(len(rows))
+    assert found[0] > 0 and len(set(found)) == 1
