@@ -117,7 +117,14 @@ def test_pieces_against_all_segmentations():
         got = pieces.Encoder(v, 5).n_best(t)
         assert all(v.decode(ids) == t for _, ids in got)
         if "▁" not in t and t:
-            assert [s for s, _ in got] == all_paths(v, "▁" + t.replace(" ", "▁"))[:5]
+            want = all_paths(v, "▁" + t.replace(" ", "▁"))
+            assert [s for s, _ in got] == want[:5]
+        for c in pieces.chunks_of(t):
+            if c is not None:
+                paths = all_paths(v, c)
+                score, loss, ids = v.best(c)
+                assert score == paths[0] and score - loss == (paths[1] if len(paths) > 1 else float("-inf"))
+                assert v.n_best(c, 1)[0][0] == score and v.decode(ids) == v.decode(v.n_best(c, 1)[0][1])
     with pytest.raises(ValueError):
         pieces.Vocabulary(pieces={"a▁b": -1})
 
