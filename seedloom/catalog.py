@@ -141,7 +141,7 @@ SEED_CTE = f"""WITH {DOCS_CTE}, {REFS_CTE}, {STRANDS_CTE},
     hits AS (
         SELECT doc_id, rid, strand, qk.n AS qlen, rk.n AS rlen, qk.pos AS qpos, rk.pos AS rpos,
                qk.nxt <> '' AND rk.nxt <> '' AND qk.nxt = rk.nxt AS again,
-               (qk.n - (qk.pos + {K})) % {PROFILE.squash_interval} AS phase
+               (qk.n - (qk.pos + {K})) % 16 AS phase
         FROM qk JOIN rk USING (kmer))"""
 SPANS_CTE = f"""{SEED_CTE},
     spans AS (
@@ -237,10 +237,18 @@ _TERMS = " + ".join(
 )
 
 
+# Score 2 for the 4 equal pairs of 16, -3 for the others; halved until the bracket is 1e-5 wide.
+_LAMBDA_CTE = """halves AS (SELECT 0.0::DOUBLE AS lo, 2.0::DOUBLE AS hi
+        UNION ALL SELECT CASE WHEN above THEN lo ELSE mid END, CASE WHEN above THEN mid ELSE hi END
+        FROM (SELECT *, 0.25 * exp(2 * mid) + 0.75 * exp(-3 * mid) > 1 AS above
+              FROM (SELECT *, (lo + hi) / 2 AS mid FROM halves) WHERE hi - lo > 0.00001)),
+    lam AS (SELECT (lo + hi) / 2 AS rate FROM halves ORDER BY hi - lo LIMIT 1)"""
+
+
 @_register(
     "complexity_adjust",
-    f"""WITH {DOCS_CTE}, counts AS (SELECT doc_id, length(seq) AS n, {_COUNTS} FROM docs),
-    adj AS (SELECT doc_id, n, CAST(trunc(-({_TERMS}) * {PROFILE.rlambda!r}::DOUBLE) AS BIGINT) AS adjustment FROM counts)
+    f"""WITH RECURSIVE {_LAMBDA_CTE}, {DOCS_CTE}, counts AS (SELECT doc_id, length(seq) AS n, {_COUNTS} FROM docs),
+    adj AS (SELECT doc_id, n, CAST(trunc(-({_TERMS}) * (1 / rate)) AS BIGINT) AS adjustment FROM counts, lam)
     SELECT doc_id, adjustment, greatest(0, 2 * n + adjustment) AS patched FROM adj""",
 )
 def complexity_adjust(spark, d):
@@ -338,10 +346,10 @@ def query_validation(spark, d):
 
 @_register(
     "regex_match",
-    "SELECT doc_id, regexp_matches(text, '^[A-M].*(tion|ing)[s.]?') AS hit FROM documents",
+    "SELECT doc_id, regexp_matches(text, '(?s)^[A-M].*(tion|ing)[s.]?') AS hit FROM documents",
 )
 def regex_match(spark, d):
-    return documents(spark, d).select("doc_id", F.col("text").rlike("^[A-M].*(tion|ing)[s.]?").alias("hit"))
+    return documents(spark, d).select("doc_id", F.col("text").rlike("(?s)^[A-M].*(tion|ing)[s.]?").alias("hit"))
 
 
 # ----------------------------------------------------------------------------- records
@@ -621,19 +629,116 @@ def mask_lowercase(spark, d):
     return masked.select(F.col("seq_id").alias("doc_id"), F.length("seq").cast("long").alias("slen"), F.md5("seq").alias("digest"))
 
 
-# ------------------------------------- ordered and iterative work that SQL cannot express
-@_register("chain_greedy")
+# --------------------------------------------------- ordered work, one step per seed or cell
+_CHAIN_CTE = f"""{SEED_CTE.replace("WITH ", "WITH RECURSIVE ", 1)},
+    pts AS (SELECT doc_id, rid, strand, 2 * qpos - rpos AS u, 2 * rpos - qpos AS v FROM hits WHERE NOT again OR phase = 0),
+    gaps AS (SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY doc_id, rid, strand ORDER BY u, v) <= 32 THEN 0 ELSE 1 END
+        AS fresh FROM pts),
+    numbered AS (SELECT doc_id, rid, strand, u, v, sum(fresh) OVER (PARTITION BY doc_id, rid, strand ORDER BY u, v
+        ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
+    runs AS (SELECT row_number() OVER () AS id, *, len(us) AS n FROM (
+        SELECT doc_id, rid, strand, run, list(u ORDER BY u, v) AS us, list(v ORDER BY u, v) AS vs
+        FROM numbered GROUP BY ALL HAVING count(*) >= 5)),
+    walk AS (
+        SELECT id, 1::BIGINT AS root, 1::BIGINT AS here, 0 AS links, []::BIGINT[] AS used, NULL::BIGINT AS head,
+               NULL::BIGINT AS last, NULL::INTEGER AS n_seeds
+        FROM runs
+        UNION ALL
+        SELECT id,
+            CASE WHEN nearest IS NULL THEN next_root ELSE root END,
+            CASE WHEN nearest IS NULL THEN next_root ELSE nearest.seed END,
+            CASE WHEN nearest IS NULL THEN 0 ELSE links + 1 END,
+            CASE WHEN nearest IS NULL THEN used ELSE list_append(used, nearest.seed) END,
+            CASE WHEN nearest IS NULL THEN root END,
+            CASE WHEN nearest IS NULL THEN here END,
+            CASE WHEN nearest IS NULL THEN links + 1 END
+        FROM (
+            SELECT *,
+                list_filter(range(root + 1, n + 2), lambda x: NOT list_contains(used, x))[1] AS next_root,
+                CASE WHEN ahead IS NOT NULL THEN list_reduce(
+                    list_transform(range(ahead, n + 1), lambda t: {{'seed': t, 'dist': vs[t] - vs[here],
+                        'box': us[t] + vs[t] - vs[here], 'u': us[t], 'going': true}}),
+                    lambda a, x: CASE
+                        WHEN NOT a.going OR x.u > a.box OR list_contains(used, x.seed)
+                            THEN {{'seed': a.seed, 'dist': a.dist, 'box': a.box, 'u': a.u, 'going': false}}
+                        WHEN x.dist NOT BETWEEN 0 AND a.dist THEN a
+                        WHEN x.box > a.box THEN {{'seed': a.seed, 'dist': a.dist, 'box': a.box, 'u': a.u, 'going': false}}
+                        ELSE x END) END AS nearest
+            FROM (
+                SELECT walk.*, us, vs, n, list_filter(
+                    range(here + 1, coalesce(list_min(list_filter(used, lambda x: x > here)), n + 1)),
+                    lambda t: us[t] - us[here] <= 32 AND vs[t] - vs[here] BETWEEN 0 AND 32)[1] AS ahead
+                FROM walk JOIN runs USING (id) WHERE root <= n))),
+    chains AS (
+        SELECT doc_id, rid, strand, q0 AS qpos, r0 AS rpos, q1 - q0 + {K} + 1 AS qspan, r1 - r0 + {K} + 1 AS rspan, n_seeds,
+               32 - length(bin(r1 - r0 + {K} + 1)) AS weight
+        FROM (SELECT doc_id, rid, strand, n_seeds, (2 * us[head] + vs[head]) // 3 AS q0, (2 * vs[head] + us[head]) // 3 AS r0,
+                     (2 * us[last] + vs[last]) // 3 AS q1, (2 * vs[last] + us[last]) // 3 AS r1
+              FROM walk JOIN runs USING (id) WHERE n_seeds >= 5))"""
+
+
+@_register(
+    "chain_greedy",
+    f"""{_CHAIN_CTE} SELECT doc_id, CAST(rid AS BIGINT) AS rid, strand, qpos, rpos, qspan, rspan,
+    CAST(n_seeds AS BIGINT) AS n_seeds, CAST(weight AS BIGINT) AS weight FROM chains""",
+)
 def chain_greedy(spark, d):
     index = index_of(spark, d)
-    return chain_stage(doc_sequences(spark, d), index, 0, layout_for(index, 0))
+    chains = chain_stage(doc_sequences(spark, d), index, 0, layout_for(index, 0))
+    numbers = ["qpos", "rpos", "qspan", "rspan", "n_seeds", "weight"]
+    return chains.select(
+        F.col("seq_id").alias("doc_id"), F.col("rid").cast("long").alias("rid"), "strand",
+        *[F.col(c).cast("long").alias(c) for c in numbers],
+    )
 
 
-@_register("flank_filter")
+# Anti-diagonal s holds the cells x + y = s, 16 of them around x = y: match 2, mismatch -3, gap -2, outside -128.
+_BAND_CTE = f"""{_CHAIN_CTE}, {_LAMBDA_CTE},
+    enough AS (SELECT greatest(0, CAST(trunc(16 * (2 * p - 3 * (1 - p))) AS INTEGER)) AS least_score
+        FROM (SELECT 0.25 * exp(2 * rate) * 0.85 AS p FROM lam)),
+    sides AS (
+        SELECT c.*, d.seq AS q, s.seq AS r FROM chains c JOIN docs d USING (doc_id)
+        JOIN strands s ON s.rid = c.rid AND s.strand = c.strand),
+    flanks AS (
+        SELECT doc_id, rid, strand, qpos, rpos, qspan, 1 AS side, substr(q, qpos + qspan + 1, 32) AS fq,
+               substr(r, rpos + rspan + 1, 32) AS fr FROM sides WHERE qspan < 65
+        UNION ALL
+        SELECT doc_id, rid, strand, qpos, rpos, qspan, 2, reverse(substr(q, greatest(0, qpos - 32) + 1, least(32, qpos))),
+               reverse(substr(r, greatest(0, rpos - 32) + 1, least(32, rpos))) FROM sides WHERE qspan < 65),
+    band AS (
+        SELECT *, 0 AS s, list_transform(range(0, 16), lambda l: -6 * abs(l - 8)) AS older,
+            list_transform(range(0, 16), lambda l: greatest(-6 * abs(l - 8) - 2, CASE WHEN l = 15 THEN -128 ELSE -6 * abs(l - 7) - 2 END)) AS newer,
+            0::BIGINT AS best
+        FROM flanks
+        UNION ALL
+        SELECT * EXCLUDE (older, newer, best, now), newer, now, greatest(best, list_max(now)) FROM (
+            SELECT doc_id, rid, strand, qpos, rpos, qspan, side, fq, fr, s + 1 AS s, older, newer, best,
+                list_transform(range(0, 16), lambda l: greatest(
+                    older[l + 1] + CASE WHEN 8 + s // 2 - l BETWEEN 0 AND length(fr) - 1
+                        AND s // 2 + l - 8 + s % 2 BETWEEN 0 AND length(fq) - 1
+                        AND fr[8 + s // 2 - l + 1] = fq[s // 2 + l - 8 + s % 2 + 1] THEN 2 ELSE -3 END,
+                    newer[l + 1] - 2,
+                    CASE WHEN s % 2 = 0 AND l > 0 THEN newer[l] - 2 WHEN s % 2 = 1 AND l < 15 THEN newer[l + 2] - 2 ELSE -128 END)) AS now
+            FROM band WHERE s < 32)),
+    weak AS (
+        SELECT doc_id, rid, strand, qpos, rpos, qspan FROM band, enough WHERE s = 32
+        GROUP BY ALL HAVING sum(best) < any_value(least_score)),
+    passed AS (SELECT * FROM sides ANTI JOIN weak USING (doc_id, rid, strand, qpos, rpos, qspan))"""
+
+
+@_register(
+    "flank_filter",
+    f"""{_BAND_CTE} SELECT doc_id, 'doc' || doc_id AS name, length(q) AS qlen, CAST(rid AS BIGINT) AS rid, 'item' || rid AS rname,
+    strand, length(r) AS rlen, qpos, rpos, qspan, CAST(weight AS BIGINT) AS weight FROM passed""",
+)
 def flank_filter(spark, d):
     index, docs = index_of(spark, d), doc_sequences(spark, d)
     layout = layout_for(index, 0)
-    chains = chain_stage(docs, index, 0, layout)
-    return window_stage(docs, chains, index, 0, layout).drop("q_window", "r_walked", "q_offset")
+    kept = window_stage(docs, chain_stage(docs, index, 0, layout), index, 0, layout)
+    numbers = ["qlen", "rid", "rlen", "qpos", "rpos", "qspan", "weight"]
+    return kept.select(
+        F.col("seq_id").alias("doc_id"), "name", "rname", "strand", *[F.col(c).cast("long").alias(c) for c in numbers]
+    )
 
 
 @_register("xdrop_extend")
