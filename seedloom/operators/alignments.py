@@ -103,8 +103,3 @@ def best_per_start(alignments: DataFrame, across_references: bool = False) -> Da
 def in_output_order(alignments: DataFrame) -> DataFrame:
     """Order of index block, query and query position, with ties resolved."""
     return alignments.orderBy(*OUTPUT_ORDER)
-
-
-def intervals_overlap(a_start, a_span, b_start, b_span):
-    """True when two query intervals share a position."""
-    return (a_start < b_start + b_span) & (b_start < a_start + a_span)

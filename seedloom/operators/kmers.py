@@ -52,9 +52,11 @@ def dense_reference_ids(refs: DataFrame, order: list[str]) -> DataFrame:
 
 def both_strands(refs: DataFrame, seq: str = "rseq") -> DataFrame:
     """One row per strand with ``sseq``, the sequence as walked on that strand."""
-    plus = refs.withColumn("strand", F.lit("+")).withColumn("sseq", F.col(seq))
-    minus = refs.withColumn("strand", F.lit("-")).withColumn("sseq", reverse_complement(seq))
-    return plus.unionByName(minus)
+    walked = F.array(
+        F.struct(F.lit("+").alias("strand"), F.col(seq).alias("sseq")),
+        F.struct(F.lit("-").alias("strand"), reverse_complement(seq).alias("sseq")),
+    )
+    return refs.withColumn("_w", F.explode(walked)).select(*refs.columns, "_w.strand", "_w.sseq")
 
 
 def _ambiguity_variants(kmer: Column, k: int, max_columns: int) -> Column:
