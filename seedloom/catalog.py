@@ -615,15 +615,15 @@ def mask_merge_intervals(spark, d):
     return merge_intervals(diagonal_spans(spark, d), GAP, MARGIN)
 
 
-@_register(
-    "mask_lowercase",
-    f"""{_MERGE_CTE},
+_MASKED_SQL = f"""{_MERGE_CTE},
     prev AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM merged),
     body AS (SELECT doc_id, string_agg(substr(seq, p + 1, s - p) || lower(substr(seq, s + 1, e - s)), '' ORDER BY s) AS b,
                     max(e) AS stop FROM prev JOIN docs USING (doc_id) GROUP BY doc_id)
     SELECT doc_id, length(seq) AS slen, md5(CASE WHEN b IS NULL THEN seq ELSE b || substr(seq, stop + 1) END) AS digest
-    FROM docs LEFT JOIN body USING (doc_id)""",
-)
+    FROM docs LEFT JOIN body USING (doc_id)"""
+
+
+@_register("mask_lowercase", _MASKED_SQL)
 def mask_lowercase(spark, d):
     masked = mask(doc_sequences(spark, d), diagonal_spans(spark, d), GAP, MARGIN)
     return masked.select(F.col("seq_id").alias("doc_id"), F.length("seq").cast("long").alias("slen"), F.md5("seq").alias("digest"))
@@ -741,25 +741,140 @@ def flank_filter(spark, d):
     )
 
 
-@_register("xdrop_extend")
+def _xdrop_sql(name: str, pairs: str) -> str:
+    """Extension of ``pairs(id, q, r)``, one column of the matrix a step, in blocks of eight query rows.
+
+    ``<name>`` has a row per column with the lists of that column, ``<name>_end`` the best cell.
+    """
+    outside = "-1000000"
+    return f"""
+    {name} AS (
+        SELECT id, -1 AS j, 0 AS first, 1 AS last, 0 AS best, 0 AS bi, 0 AS bj, []::INTEGER[] AS s, []::INTEGER[] AS d,
+               []::INTEGER[] AS e, []::INTEGER[] AS u, []::INTEGER[] AS f FROM {pairs}
+        UNION ALL
+        SELECT id, j, fresh AS first, stop AS last, greatest(best, top),
+            CASE WHEN top > best THEN fresh * 8 + list_position(body, top) - 1 ELSE bi END,
+            CASE WHEN top > best THEN j ELSE bj END,
+            s[1:(stop - fresh) * 8], d, e, u, f
+        FROM (SELECT *, CASE WHEN j > 0 THEN list_max(body) ELSE 0 END AS top FROM (
+            SELECT *, s[1:(least(last, stop) - fresh) * 8] AS body FROM (
+                SELECT *, coalesce(list_filter(range(fresh + 1, fresh + len(s) // 8), lambda b:
+                    list_max(s[(b - fresh) * 8 + 1:(b - fresh) * 8 + 8]) <= best - 21)[1], fresh + len(s) // 8) AS stop
+                FROM (SELECT *, list_transform(range(1, len(u) + 1), lambda k: greatest(u[k], f[k])) AS s FROM (
+                    SELECT *, list_transform(range(1, len(u) + 1), lambda k: CASE WHEN k = 1 THEN {outside} ELSE
+                        list_max(list_transform(range(1, k), lambda m: u[m] - 5 - (k - m))) END) AS f
+                    FROM (SELECT id, j, best, bi, bj, last, fresh, d[(fresh - first) * 8 + 1:] AS d,
+                            e[(fresh - first) * 8 + 1:] AS e, u[(fresh - first) * 8 + 1:] AS u
+                        FROM (SELECT *, list_filter(range(first, least(last, blocks)), lambda b:
+                                list_max(u[(b - first) * 8 + 1:(b - first) * 8 + 8]) > best - 21)[1] AS fresh
+                            FROM (SELECT *, list_transform(range(1, len(d) + 1), lambda k: greatest(d[k], e[k])) AS u FROM (
+                                SELECT id, x.j + 1 AS j, first, last, best, bi, bj, (length(q) + 8) // 8 AS blocks,
+                                    list_transform(range(first * 8, least((length(q) + 8) // 8, last + 5) * 8), lambda i:
+                                        CASE WHEN x.j < 0 THEN CASE WHEN i = 0 THEN 0 ELSE {outside} END
+                                        WHEN i BETWEEN 1 AND length(q) AND i - first * 8 BETWEEN 1 AND len(s)
+                                        THEN s[i - first * 8] + CASE WHEN q[i] = r[x.j + 1] THEN 2 ELSE -3 END
+                                            + CASE WHEN x.j + 1 = length(r) THEN 10 ELSE 0 END
+                                        ELSE {outside} END) AS d,
+                                    list_transform(range(first * 8, least((length(q) + 8) // 8, last + 5) * 8), lambda i:
+                                        CASE WHEN x.j >= 0 AND i - first * 8 < len(s)
+                                        THEN greatest(e[i - first * 8 + 1], u[i - first * 8 + 1] - 5) - 1 ELSE {outside} END) AS e
+                                FROM {name} x JOIN {pairs} USING (id) WHERE x.j < length(r))))
+                        WHERE fresh IS NOT NULL))))))),
+    {name}_end AS (
+        SELECT id, arg_max(best, j) AS score, arg_max(bi, j) AS qadv, arg_max(bj, j) AS radv FROM {name} GROUP BY id)"""
+
+
+_XDROP_CTE = f"""{_BAND_CTE},
+    ahead AS (
+        SELECT row_number() OVER () AS id, *, substr(pq, qpos + 1, 2 * (length(pr) - rpos)) AS q, substr(pr, rpos + 1) AS r
+        FROM (SELECT * EXCLUDE (q, r), q AS pq, r AS pr FROM passed)),
+    {_xdrop_sql('fore', 'ahead')},
+    ends AS (
+        SELECT row_number() OVER () AS id, *, {_revcomp_sql('substr(pq, greatest(0, eq - 2 * er) + 1, least(2 * er, eq))')} AS q,
+               {_revcomp_sql('substr(pr, 1, er)')} AS r
+        FROM (
+            SELECT doc_id, rid, strand, eq, er, any_value(pq) AS pq, any_value(pr) AS pr,
+                   min({{'weight': weight, 'qpos': qpos, 'rpos': rpos}}) AS chain
+            FROM (SELECT *, qpos + qadv AS eq, rpos + radv AS er FROM ahead JOIN fore_end USING (id))
+            WHERE score >= CASE WHEN er = length(pr) THEN 10 ELSE 0 END
+            GROUP BY doc_id, rid, strand, eq, er)),
+    {_xdrop_sql('back', 'ends')},
+    path AS (
+        SELECT id, 0 AS step, qadv AS i, radv AS j, 'S' AS state, '' AS op, false AS hit FROM back_end WHERE score > 0
+        UNION ALL
+        SELECT id, step + 1,
+            CASE WHEN move IN ('M', 'I') THEN i - 1 ELSE i END,
+            CASE WHEN move IN ('M', 'D') THEN j - 1 ELSE j END,
+            CASE move WHEN 'M' THEN 'S'
+                WHEN 'I' THEN CASE WHEN f[o - 1] >= u[o - 1] - 5 THEN 'F' ELSE 'S' END
+                ELSE CASE WHEN pe >= pu - 5 THEN 'E' ELSE 'U' END END,
+            move, move = 'M' AND q[i] = r[j]
+        FROM (
+            SELECT p.*, h.f, h.u, i - h.first * 8 + 1 AS o, g.e[i - g.first * 8 + 1] AS pe, g.u[i - g.first * 8 + 1] AS pu, q, r,
+                CASE WHEN state = 'F' OR state = 'S' AND h.f[i - h.first * 8 + 1] > h.u[i - h.first * 8 + 1] THEN 'I'
+                     WHEN state <> 'E' AND h.u[i - h.first * 8 + 1] = h.d[i - h.first * 8 + 1] THEN 'M' ELSE 'D' END AS move
+            FROM path p JOIN back h ON h.id = p.id AND h.j = p.j LEFT JOIN back g ON g.id = p.id AND g.j = p.j - 1
+            JOIN ends ON ends.id = p.id WHERE i > 0 OR p.j > 0)),
+    traced AS (
+        SELECT id, count(*) FILTER (hit) AS matches, array_to_string(list_transform(regexp_extract_all(
+            string_agg(op, '' ORDER BY step), 'M+|I+|D+'), lambda x: length(x) || x[1]), '') AS cigar FROM path GROUP BY id),
+    counted AS (
+        SELECT *, {', '.join(f"length(part) - length(replace(part, '{b}', '')) AS n_{b.lower()}" for b in 'ACGT')}, length(part) AS n
+        FROM (SELECT ends.*, b.score + CASE WHEN er = length(pr) THEN 10 ELSE 0 END AS raw, qadv, radv, matches, cigar,
+                     substr(pq, eq - qadv + 1, qadv) AS part
+              FROM ends JOIN back_end b USING (id) JOIN traced USING (id) WHERE b.score > 0)),
+    scored AS (
+        SELECT *, greatest(0, raw + CAST(trunc(-({_TERMS}) * (1 / rate)) AS BIGINT)) AS score FROM counted, lam),
+    extended AS (
+        SELECT doc_id, 'doc' || doc_id AS qname, length(pq) AS qlen, eq - qadv AS qstart, eq AS qend, strand,
+               CAST(rid AS BIGINT) AS rid, 'item' || rid AS rname, length(pr) AS rlen,
+               CASE WHEN strand = '-' THEN length(pr) - er ELSE er - radv END AS rstart,
+               CASE WHEN strand = '-' THEN length(pr) - er + radv ELSE er END AS rend, CAST(radv AS BIGINT) AS block_len,
+               score, CAST(raw AS BIGINT) AS raw_score, matches, matches / radv AS identity, cigar, chain
+        FROM scored WHERE score > 30),
+    alns AS (
+        SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rid, strand, qstart,
+            CASE WHEN strand = '-' THEN rend ELSE rstart END
+            ORDER BY raw_score DESC, chain.weight, chain.qpos, chain.rpos) AS place FROM extended) WHERE place = 1)"""
+_ALN_COLUMNS = [
+    "doc_id", "qname", "qlen", "qstart", "qend", "strand", "rid", "rname", "rlen", "rstart", "rend", "block_len", "score",
+    "raw_score", "matches", "identity", "cigar",
+]
+
+
+def _aln_rows(alns: DataFrame) -> DataFrame:
+    whole = {"rid", "score", "raw_score", "matches"}
+    named = alns.withColumnRenamed("seq_id", "doc_id")
+    return named.select(*[F.col(c).cast("long").alias(c) if c in whole else F.col(c) for c in _ALN_COLUMNS])
+
+
+@_register("xdrop_extend", f"{_XDROP_CTE} SELECT {', '.join(_ALN_COLUMNS)} FROM extended")
 def xdrop_extend(spark, d):
     index, docs = index_of(spark, d), doc_sequences(spark, d)
     layout = layout_for(index, 0)
     chains = chain_stage(docs, index, 0, layout)
-    return extend_stage(window_stage(docs, chains, index, 0, layout), PROFILE).drop("chain")
+    return _aln_rows(extend_stage(window_stage(docs, chains, index, 0, layout), PROFILE))
 
 
-@_register("scan_alignments")
-def scan_alignments(spark, d):
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
     return scan(doc_sequences(spark, d), index_of(spark, d), ambiguous=None)
 
 
-@_register("scan_paf")
+@_register("scan_alignments", f"{_XDROP_CTE} SELECT {', '.join(_ALN_COLUMNS)} FROM alns")
+def scan_alignments(spark, d):
+    return _aln_rows(_scanned(spark, d))
+
+
+_SCAN_PAF_SQL = _PAF_SQL.replace("block_len, n, 2 * block_len", "block_len, score, raw_score")
+
+
+@_register("scan_paf", f"{_XDROP_CTE} SELECT {_SCAN_PAF_SQL} AS line FROM alns")
 def scan_paf(spark, d):
-    return in_output_order(scan_alignments(spark, d)).select(paf_line().alias("line"))
+    return in_output_order(_scanned(spark, d)).select(paf_line().alias("line"))
 
 
-@_register("scan_mask")
+@_register("scan_mask", _MASKED_SQL.replace(SPANS_CTE, _XDROP_CTE))
 def scan_mask(spark, d):
     docs = doc_sequences(spark, d)
-    return mask(docs.drop("len_bound"), scan(docs, index_of(spark, d), ambiguous=None), GAP, MARGIN)
+    masked = mask(docs.drop("len_bound"), _scanned(spark, d), GAP, MARGIN)
+    return masked.select(F.col("seq_id").alias("doc_id"), F.length("seq").cast("long").alias("slen"), F.md5("seq").alias("digest"))
