@@ -3,42 +3,76 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.index import Index, build_index, load_index, save_index
 from .plans.mask import mask
-from .plans.scan import scan
+from .plans.scan import rejected_queries, scan
 from .profile import DEFAULT_PROFILE, OPTIONS, Profile, profile_from_file, profile_from_options, profiles_from_toml
-from .sources.fasta import read_fasta, read_records, write_records
+from .sources.fasta import RECORD_BITS, expanded, read_fasta, read_records, write_records
 from .sources.paf import write_paf
 
 _FASTA_SUFFIX = (".fa", ".fasta", ".fna", ".fa.gz", ".fasta.gz", ".fna.gz", ".fa.bz2", ".fasta.bz2", ".fna.bz2")
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet folders, FASTA by suffix through the splittable reader, the rest by content."""
-    if path.endswith(".parquet"):
-        return spark.read.parquet(path)
-    if path.endswith(_FASTA_SUFFIX):
-        return read_fasta(spark, path)
-    return read_records(spark, path)
+# File numbers set aside for a table whose ids are dense: 2^44 records.
+TABLE_FILES = 1 << 12
+
+
+def by_table(path: str) -> bool:
+    """Whether a path is read through Spark's readers; the others are streamed file by file."""
+    return path.endswith((".parquet", *_FASTA_SUFFIX))
+
+
+def read_table_path(spark: SparkSession, path: str, first_file: int) -> DataFrame:
+    """A Parquet folder with a ``seq_id``, or FASTA through the splittable reader; ids moved to their place."""
+    t = spark.read.parquet(path) if path.endswith(".parquet") else read_fasta(spark, path)
+    at = F.col("seq_id").cast("long")
+    outside = (at < 0) | (at >= TABLE_FILES << RECORD_BITS)
+    message = F.concat(F.lit(f"record number outside its range in {path}: "), at.cast("string"))
+    return t.withColumn("seq_id", F.when(outside, F.raise_error(message).cast("long")).otherwise(at + (first_file << RECORD_BITS)))
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several files one after the other; ``block`` is the place of the file."""
-    tables = []
-    for i, p in enumerate(paths):
-        t = read_any(spark, p).withColumn("block", F.lit(i))
-        # leave room in the id for the file, so that ids sort by (file, record)
-        tables.append(t.withColumn("seq_id", F.shiftleft(F.lit(i).cast("long"), 52) + F.col("seq_id")))
+    """Several files one after the other; ``block`` is the place of the path.
+
+    Ids sort by (path, file, record).  Files that are streamed one after the other
+    are one table, however many there are.
+    """
+    tables, first = [], 0
+    for tabular, run in groupby(enumerate(paths), lambda x: by_table(x[1])):
+        if tabular:
+            for i, p in run:
+                tables.append(read_table_path(spark, p, first).withColumn("block", F.lit(i)))
+                first += TABLE_FILES
+            continue
+        files = [(i, f) for i, p in run for f in expanded(p)]
+        blocks = spark.createDataFrame([(first + k, i) for k, (i, _) in enumerate(files)], "_file long, block int")
+        rows = read_records(spark, [f for _, f in files], first_file=first)
+        rows = rows.withColumn("_file", F.shiftright("seq_id", RECORD_BITS))
+        tables.append(rows.join(blocks, "_file") if len({i for i, _ in files}) > 1 else rows.withColumn("block", F.lit(files[0][0])))
+        tables[-1] = tables[-1].drop("_file")
+        first += len(files)
+    if first > 1 << 31:
+        raise ValueError("too many files for the record ids")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def write_rejected(queries: DataFrame, path: str) -> int:
+    """Names of the query records a scan leaves out, as text; nothing is written if there are none."""
+    rejected = rejected_queries(queries)
+    count = rejected.count()
+    if count:
+        rejected.orderBy("seq_id").select("name").write.text(path)
+        print(f"{count} query records cannot be read, see {path}", file=sys.stderr)
+    return count
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="seedloom", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
@@ -83,7 +117,8 @@ def profiles_of(args: argparse.Namespace) -> list[Profile]:
 
 
 def open_index(spark: SparkSession, path: str, args: argparse.Namespace) -> Index:
-    if os.path.isdir(os.path.join(path, "header")):
+    header = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
+    if header.getFileSystem(spark._jsc.hadoopConfiguration()).exists(header):
         given = {a: getattr(args, f"opt_{a}") for a, _ in OPTIONS.values() if getattr(args, f"opt_{a}")}
         return load_index(spark, path).with_parameters(**given)
     return build_index(read_files(spark, [path]), profiles_of(args), strict=not args.lenient)
@@ -95,7 +130,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "index":
         save_index(build_index(read_files(spark, args.references), profiles_of(args), not args.lenient), args.path)
     elif args.command == "scan":
-        found = scan(read_files(spark, args.queries), open_index(spark, args.reference, args))
+        queries = read_files(spark, args.queries)
+        write_rejected(queries, f"{args.out.rstrip('/')}.rejected")
+        found = scan(queries, open_index(spark, args.reference, args))
         write_paf(found, args.out, standard=args.standard_paf)
     else:
         write_records(mask(read_files(spark, args.reads), args.alns, args.max_gap, args.margin), args.out)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import split_header
 
 RECORD_SCHEMA = "seq_id long, name string, comment string, seq string, qual string"
+RECORD_BITS = 32  # of an id, for the record inside its file
 _RAW_SCHEMA = "file_ord int, rec int, header string, seq string, qual string"
 
 
@@ -142,21 +143,32 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=names)
 
 
-def read_records(spark: SparkSession, path: str | list[str], keep_comment: bool = True, keep_qual: bool = True) -> DataFrame:
-    """FASTA/FASTQ files of any supported compression, one streaming task per file.
-
-    Paths must be visible to every executor (a shared mount).
-    """
+def expanded(path: str | list[str]) -> list[str]:
+    """The files that paths and patterns stand for, in the order given."""
     given = [path] if isinstance(path, str) else list(path)
     if "-" in given:
         raise ValueError("standard input cannot be read by a cluster; give a file")
-    paths = [p for g in given for p in (sorted(glob.glob(g)) or [g])]
+    return [p for g in given for p in (sorted(glob.glob(g)) or [g])]
+
+
+def read_records(
+    spark: SparkSession, path: str | list[str], keep_comment: bool = True, keep_qual: bool = True, first_file: int = 0, tasks: int | None = None
+) -> DataFrame:
+    """FASTA/FASTQ files of any supported compression, one stream per file.
+
+    Paths must be visible to every executor (a shared mount).  ``first_file`` is the number of
+    the first file in the ids.  Files share at most ``tasks`` tasks; by default each has its own.
+    """
+    paths = expanded(path)
+    if first_file + len(paths) > 1 << 31:
+        raise ValueError("too many files for the record ids")
     files = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_ord int, path string")
-    files = files.repartitionByRange(len(paths), "file_ord")
+    files = files.repartitionByRange(min(len(paths), tasks or len(paths)), "file_ord")
     raw = files.mapInPandas(_read_files, _RAW_SCHEMA)
     name, comment = split_header("header")
-    # (file, record) packed: ordered as the input, unique, and free of a counting pass
-    seq_id = F.shiftleft(F.col("file_ord").cast("long"), 40) + F.col("rec")
+    # (file, record) packed: ordered as the input, unique, and free of a counting pass.  Both are
+    # 32-bit numbers that are not negative, so no file or record count runs into another's
+    seq_id = F.shiftleft((F.col("file_ord") + first_file).cast("long"), RECORD_BITS) + F.col("rec")
     return raw.select(
         seq_id.alias("seq_id"),
         name.alias("name"),
