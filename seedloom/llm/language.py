@@ -127,7 +127,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def language(text: str, model: LanguageModel, penalty: float = 1.0) -> Column:
-    """A struct column (``FIELDS``) for a text column."""
+    """A struct column (``FIELDS``) for a text column.
+
+    It is marked as not deterministic, although it is, so that a filter on it is not moved below
+    the projection that holds it, where Spark would run the model a second time.
+    """
 
     @F.pandas_udf(FIELDS)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -160,7 +164,7 @@ def language(text: str, model: LanguageModel, penalty: float = 1.0) -> Column:
             flush()
             yield pd.DataFrame({"lang_pred": pred, "score": score, "n_langs": size, "proportions": parts})
 
-    return apply(F.col(text))
+    return apply.asNondeterministic()(F.col(text))
 
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
