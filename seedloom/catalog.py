@@ -51,7 +51,7 @@ from .operators.seeds import diagonal_histogram, seeds
 from .plans.index import Index, assign_profiles, build_index
 from .plans.mask import mask
 from .plans.scan import chain_stage, extend_stage, layout_for, scan, window_stage
-from .profile import DEFAULT_PROFILE
+from .profile import DEFAULT_PROFILE, Profile
 from .session import read_table
 from .sources.fasta import parse_fasta_text, record_text
 from .sources.paf import paf_line, parse_paf
@@ -104,8 +104,8 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def index_of(spark: SparkSession, d: str) -> Index:
-    return build_index(references(spark, d), PROFILE)
+def index_of(spark: SparkSession, d: str, profile: Profile = PROFILE) -> Index:
+    return build_index(references(spark, d), profile)
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -135,14 +135,20 @@ def _kmers_cte(name: str, source: str, keys: str, k: int, step: int = 512) -> st
 STRANDS_CTE = f"""strands AS (
         SELECT rid, '+' AS strand, seq FROM refs
         UNION ALL SELECT rid, '-' AS strand, {_revcomp_sql('seq')} AS seq FROM refs)"""
-SEED_CTE = f"""WITH {DOCS_CTE}, {REFS_CTE}, {STRANDS_CTE},
-    {_kmers_cte('qk', 'docs', 'doc_id', K)},
-    {_kmers_cte('rk', 'strands', 'rid, strand', K)},
+
+
+def _seed_cte(k: int) -> str:
+    return f"""WITH {DOCS_CTE}, {REFS_CTE}, {STRANDS_CTE},
+    {_kmers_cte('qk', 'docs', 'doc_id', k)},
+    {_kmers_cte('rk', 'strands', 'rid, strand', k)},
     hits AS (
         SELECT doc_id, rid, strand, qk.n AS qlen, rk.n AS rlen, qk.pos AS qpos, rk.pos AS rpos,
                qk.nxt <> '' AND rk.nxt <> '' AND qk.nxt = rk.nxt AS again,
-               (qk.n - (qk.pos + {K})) % 16 AS phase
+               (qk.n - (qk.pos + {k})) % 16 AS phase
         FROM qk JOIN rk USING (kmer))"""
+
+
+SEED_CTE = _seed_cte(K)
 SPANS_CTE = f"""{SEED_CTE},
     spans AS (
         SELECT doc_id, rid, strand, max(qlen) AS qlen, max(rlen) AS rlen, min(qpos) AS qs, max(qpos) + {K} AS qe,
@@ -158,10 +164,10 @@ SPANS_CTE = f"""{SEED_CTE},
 
 def seed_rows(docs: DataFrame, index: Index, squash: bool) -> DataFrame:
     """Seeds of documents against the benchmark texts, each once, squashed or not."""
-    layout = layout_for(index, 0)
-    kmers = query_kmers(query_pieces(docs, layout), K, owned=layout, coded=True)
+    layout, profile = layout_for(index, 0), index.profiles[0]
+    kmers = query_kmers(query_pieces(docs, layout), profile.k, owned=layout, coded=True)
     rows = index.stats[0]["max_kmers"]
-    return seeds(kmers, coded_kmers(index.kmers.drop("pid")), K, PROFILE.squash_interval, rows, squash=squash)
+    return seeds(kmers, coded_kmers(index.kmers.drop("pid")), profile.k, profile.squash_interval, rows, squash=squash)
 
 
 def diagonal_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -530,14 +536,21 @@ def seed_join(spark, d):
     return _seed_summary(seed_rows(doc_sequences(spark, d), index_of(spark, d), squash=False))
 
 
-@_register(
-    "seed_squash",
-    f"{SEED_CTE} SELECT doc_id, rid, strand, {_SEED_AGG} FROM hits WHERE NOT again OR phase = 0 GROUP BY ALL",
-)
+def _squash_sql(k: int) -> str:
+    return f"{_seed_cte(k)} SELECT doc_id, rid, strand, {_SEED_AGG} FROM hits WHERE NOT again OR phase = 0 GROUP BY ALL"
+
+
+@_register("seed_squash", _squash_sql(K))
 def seed_squash(spark, d):
     return _seed_summary(seed_rows(doc_sequences(spark, d), index_of(spark, d), squash=True))
 
 
+@_register("seed_squash_default", _squash_sql(4))
+def seed_squash_default(spark, d):
+    """Seeds with the default k of 4: one for every 256 pairs of positions."""
+    return _seed_summary(seed_rows(doc_sequences(spark, d), index_of(spark, d, DEFAULT_PROFILE), squash=True))
+
+
 @_register(
     "seed_diagonals",
     f"""{SEED_CTE} SELECT doc_id, rid, strand, qpos - rpos AS diagonal, count(*) AS n_seeds FROM hits
@@ -630,7 +643,8 @@ def mask_lowercase(spark, d):
 
 
 # --------------------------------------------------- ordered work, one step per seed or cell
-_CHAIN_CTE = f"""{SEED_CTE.replace("WITH ", "WITH RECURSIVE ", 1)},
+def _chain_cte(k: int) -> str:
+    return f"""{_seed_cte(k).replace("WITH ", "WITH RECURSIVE ", 1)},
     pts AS (SELECT doc_id, rid, strand, 2 * qpos - rpos AS u, 2 * rpos - qpos AS v FROM hits WHERE NOT again OR phase = 0),
     gaps AS (SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY doc_id, rid, strand ORDER BY u, v) <= 32 THEN 0 ELSE 1 END
         AS fresh FROM pts),
@@ -670,20 +684,20 @@ _CHAIN_CTE = f"""{SEED_CTE.replace("WITH ", "WITH RECURSIVE ", 1)},
                     lambda t: us[t] - us[here] <= 32 AND vs[t] - vs[here] BETWEEN 0 AND 32)[1] AS ahead
                 FROM walk JOIN runs USING (id) WHERE root <= n))),
     chains AS (
-        SELECT doc_id, rid, strand, q0 AS qpos, r0 AS rpos, q1 - q0 + {K} + 1 AS qspan, r1 - r0 + {K} + 1 AS rspan, n_seeds,
-               32 - length(bin(r1 - r0 + {K} + 1)) AS weight
+        SELECT doc_id, rid, strand, q0 AS qpos, r0 AS rpos, q1 - q0 + {k} + 1 AS qspan, r1 - r0 + {k} + 1 AS rspan, n_seeds,
+               32 - length(bin(r1 - r0 + {k} + 1)) AS weight
         FROM (SELECT doc_id, rid, strand, n_seeds, (2 * us[head] + vs[head]) // 3 AS q0, (2 * vs[head] + us[head]) // 3 AS r0,
                      (2 * us[last] + vs[last]) // 3 AS q1, (2 * vs[last] + us[last]) // 3 AS r1
               FROM walk JOIN runs USING (id) WHERE n_seeds >= 5))"""
 
 
-@_register(
-    "chain_greedy",
-    f"""{_CHAIN_CTE} SELECT doc_id, CAST(rid AS BIGINT) AS rid, strand, qpos, rpos, qspan, rspan,
-    CAST(n_seeds AS BIGINT) AS n_seeds, CAST(weight AS BIGINT) AS weight FROM chains""",
-)
-def chain_greedy(spark, d):
-    index = index_of(spark, d)
+def _chain_sql(k: int) -> str:
+    return f"""{_chain_cte(k)} SELECT doc_id, CAST(rid AS BIGINT) AS rid, strand, qpos, rpos, qspan, rspan,
+    CAST(n_seeds AS BIGINT) AS n_seeds, CAST(weight AS BIGINT) AS weight FROM chains"""
+
+
+def _chain_rows(spark: SparkSession, d: str, profile: Profile) -> DataFrame:
+    index = index_of(spark, d, profile)
     chains = chain_stage(doc_sequences(spark, d), index, 0, layout_for(index, 0))
     numbers = ["qpos", "rpos", "qspan", "rspan", "n_seeds", "weight"]
     return chains.select(
@@ -692,6 +706,26 @@ def chain_greedy(spark, d):
     )
 
 
+_CHAIN_CTE = _chain_cte(K)
+
+
+@_register("chain_greedy", _chain_sql(K))
+def chain_greedy(spark, d):
+    return _chain_rows(spark, d, PROFILE)
+
+
+# no SQL: one step per link over millions of links; a test compares it on small tables
+@_register("chain_greedy_default")
+def chain_greedy_default(spark, d):
+    """Chains with the default k of 4, summed up by document, reference and strand."""
+    return _chain_summary(_chain_rows(spark, d, DEFAULT_PROFILE))
+
+
+def _chain_summary(chains: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(f"{c}_sum") for c in ("qpos", "rpos", "qspan", "rspan", "n_seeds")]
+    return chains.groupBy("doc_id", "rid", "strand").agg(F.count("*").alias("n_chains"), *sums)
+
+
 # Anti-diagonal s holds the cells x + y = s, 16 of them around x = y: match 2, mismatch -3, gap -2, outside -128.
 _BAND_CTE = f"""{_CHAIN_CTE}, {_LAMBDA_CTE},
     enough AS (SELECT greatest(0, CAST(trunc(16 * (2 * p - 3 * (1 - p))) AS INTEGER)) AS least_score

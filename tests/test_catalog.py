@@ -45,3 +45,16 @@ def test_scan_stages_equal_their_sql_on_gapped_copies(spark, gapped, name, least
     assert len(got) >= least
     if name == "scan_alignments":
         assert set(got["strand"]) == {"+", "-"} and got["cigar"].str.contains("I").any() and got["cigar"].str.contains("D").any()
+
+
+def test_default_k_chains_equal_their_sql(spark, gapped):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{gapped}/{table}.parquet'")
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}_sum" for c in ("qpos", "rpos", "qspan", "rspan", "n_seeds"))
+    want = con.execute(f"SELECT doc_id, rid, strand, count(*) AS n_chains, {sums} FROM ({catalog._chain_sql(4)}) GROUP BY ALL").df()
+    got = catalog.queries()["chain_greedy_default"](spark, str(gapped)).toPandas()
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    assert sorted(map(repr, got[order].itertuples(index=False, name=None))) == sorted(map(repr, want[order].itertuples(index=False, name=None)))
+    assert got["n_chains"].sum() > 500
