@@ -92,7 +92,8 @@ def window_stage(
         refs = F.broadcast(refs)
     met = met.join(refs, ["rid", "strand"])
 
-    reach = 2 * stat["max_rlen"] + FLANK
+    # an extension takes two query bases at most for each reference base that it can still reach
+    reach, room = 2 * F.col("rlen"), F.col("rlen") - F.col("rpos")
     rel = F.col("qpos") - F.col("pstart")
 
     def qcut(start, stop):
@@ -112,8 +113,8 @@ def window_stage(
         padded(rcut(r_end, r_end + FLANK)).alias("r_after"),
         padded(F.reverse(qcut(rel - FLANK, rel))).alias("q_before"),
         padded(F.reverse(rcut(F.col("rpos") - FLANK, F.col("rpos")))).alias("r_before"),
-        qcut(rel - reach, rel + 2 * F.col("rlen")).alias("q_window"),
-        F.least(rel, F.lit(reach)).cast("int").alias("q_offset"),
+        qcut(rel - reach, rel + 2 * room).alias("q_window"),
+        F.least(rel, reach).cast("int").alias("q_offset"),
         F.col("sseq").alias("r_walked"),
     )
     return filter_flanks(windows, index.profiles[pid])
