@@ -10,9 +10,9 @@ Occurrence vectors are never gathered: a vector is known by the exclusive-or of
 (page, count), which Spark adds up before and after the shuffle, so a host with a third of
 all pages costs its tasks no more than any other.
 
-Slots in an article or main element are the content; in a template without one, all slots are
-that are no navigation by name and have more text than links.  Hosts with too few pages
-use the slots deduced over all hosts.
+Slots in an article or main element are the content; on a page without one, all slots are
+that are no navigation by name and have more text than links.  What is on too few pages of
+its host is judged by the pages of all hosts.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def tokens(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
 
 
 def deduce(found: DataFrame, least_pages: int = 5, share: float = 0.8) -> DataFrame:
-    """host, slots (content slots), constants (template text in them); host null: all hosts.
+    """host, refused (fit slots that are mostly links), constants (template text); hosts with either.
 
     A text block is part of the template if its class covers ``share`` of the host's pages with
     that slot, unless such blocks are nearly all that the slot holds (pages that are copies).
@@ -176,54 +176,50 @@ def deduce(found: DataFrame, least_pages: int = 5, share: float = 0.8) -> DataFr
         members = valid.groupBy(*by, "slot", "pages", "total", "vector").agg(F.collect_list("text").alias("texts"), F.sum("total").alias("class_total"), F.max("slot_total").alias("slot_total"))
         slotted = members.groupBy(*by, "slot").agg(F.flatten(F.collect_list("texts")).alias("texts"), F.sum("class_total").alias("constant"), F.max("slot_total").alias("slot_total"))
         constants = slotted.where(F.col("constant") < share * F.col("slot_total")).groupBy(*by).agg(F.flatten(F.collect_list("texts")).alias("constants"))
-        # the main element, where the template has one, else every fit slot that is more text than links
-        content = slots.groupBy(*by).agg(
-            F.collect_list(F.when(F.col("fit") & F.col("main"), F.col("slot"))).alias("in_main"),
-            F.collect_list(F.when(F.col("fit") & (F.col("linked") * 2 <= F.col("chars")), F.col("slot"))).alias("texty"),
-            F.max("pages").alias("pages"),
-        )
-        slots = F.when(F.size("in_main") > 0, F.col("in_main")).otherwise(F.col("texty"))
-        return content.join(constants, by, "left").select(*by, slots.alias("slots"), F.coalesce("constants", F.array().cast("array<long>")).alias("constants"), "pages")
+        return slots, constants
 
-    hosts = template(found, ["host"]).where(F.col("pages") >= least_pages).drop("pages")
-    every = template(found.where("text is null").withColumn("all", F.lit(1)), ["all"])
-    return hosts.unionByName(every.select(F.lit(None).cast("string").alias("host"), "slots", "constants"))
+    slots, constants = template(found, ["host"])
+    # a slot on enough of the host's pages is judged there, any other one by all hosts' pages
+    links = (F.col("linked") * 2 > F.col("chars")) & F.col("fit")
+    seen = slots.where(F.col("pages") >= least_pages)
+    every = found.where("text is null").groupBy("slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.bool_and("fit").alias("fit")).where(links).select("slot")
+    refused = seen.where(links).select("host", "slot").unionByName(slots.where(F.col("pages") < least_pages).select("host", "slot").join(every, "slot").select("host", "slot"))
+    refused = refused.groupBy("host").agg(F.collect_list("slot").alias("refused"))
+    none = F.array().cast("array<long>")
+    return refused.join(constants, "host", "full").select("host", F.coalesce("refused", none).alias("refused"), F.coalesce("constants", none).alias("constants"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of ``pages``.
 
     Null and empty pages, and pages without content slots, give an empty text.  A null url or one
-    without a host counts as the host "".  A page with a slot that the template never saw
-    on its host takes the rules for hosts with few pages.  Repeated rows are extracted alike; an
+    without a host counts as the host "".  A page with a main element gives what is in it, any
+    other page of the host all slots that are not refused.  A slot on too few pages of its
+    host is judged by the pages of all hosts.  Repeated rows are extracted alike; an
     empty table gives an empty result; other columns are not read.
     """
     saved = Saved(pages.sparkSession)
     templates = saved(deduce(saved(tokens(pages, page_id, url, page))))
-    size = templates.agg(F.sum(64 + 8 * (F.size("slots") + F.size("constants"))), F.max(F.when(F.col("host").isNull(), F.struct("slots", "constants")))).first()
-    common = frozenset(size[1]["slots"]) if size[1] else frozenset()
+    size = templates.agg(F.sum(64 + 8 * (F.size("refused") + F.size("constants")))).first()
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     # templates travel to the pages while they are small, else both are joined by host
     small = (size[0] or 0) <= broadcast_bytes
-    own = templates.where("host is not null")
     keyed = pages.select(page_id, url, page, host.alias("_host"))
-    joined = keyed.join(F.broadcast(own) if small else own, keyed["_host"] == own["host"], "left")
+    joined = keyed.join(F.broadcast(templates) if small else templates, keyed["_host"] == templates["host"], "left")
 
     @F.pandas_udf("string")
     def content(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, slots, constants in batches:
+        for texts, refused, constants in batches:
             out = []
-            for x, keep, drop in zip(texts, slots, constants):
-                keep = common if keep is None else frozenset(keep.tolist())
-                drop = frozenset(drop.tolist()) if drop is not None else frozenset()
+            for x, refuse, drop in zip(texts, refused, constants):
+                refuse, drop = (frozenset(() if c is None else c.tolist()) for c in (refuse, drop))
                 parts = list(blocks(x)) if x else []
                 in_main = any(fit and main for _, fit, main, _, _ in parts)
                 kept = []
                 for path, fit, main, whole, _ in parts:
-                    slot = digest(path)
-                    if fit and (main or not in_main and slot in keep) and not (drop and digest(whole) in drop):
+                    if fit and (main if in_main else not refuse or digest(path) not in refuse) and not (drop and digest(whole) in drop):
                         kept.append(whole)
                 out.append(" ".join(kept))
             yield pd.Series(out)
 
-    return joined.select(F.col(page_id), F.col(url), content(F.col(page), "slots", "constants").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select(F.col(page_id), F.col(url), content(F.col(page), "refused", "constants").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

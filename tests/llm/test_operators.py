@@ -219,6 +219,17 @@ def test_templates(spark):
     assert templates.extract(df.limit(0)).count() == 0
 
 
+def test_templates_of_mixed_layouts(spark):
+    """Pages with and without a main element on one host, and on hosts of few pages."""
+    main = "<body><p><a href=x>Go</a></p><article><p>Article number {0} is here</p></article>"
+    bare = "<body><p><a href=x>Go</a></p><div class=story><p>Story number {0} is here</p></div>"
+    rows = [(i, f"http://a.example/{i}", main.format(i)) for i in range(6)] + [(10 + i, f"http://a.example/{i}", bare.format(i)) for i in range(2)]
+    rows += [(20, "http://b.example/", bare.format(20)), (21, "http://c.example/", "<p>Only one</p><li><a href=x>Link</a></li>")]
+    for size in (32 << 20, -1):
+        text = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id int, url string, html string"), broadcast_bytes=size).collect()}
+        assert text == {i: f"Article number {i} is here" for i in range(6)} | {10: "Story number 0 is here", 11: "Story number 1 is here", 20: "Story number 20 is here", 21: "Only one"}
+
+
 def test_neighbours_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     near = rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(90, 16))
