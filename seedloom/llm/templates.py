@@ -50,16 +50,23 @@ NO_TEXT_NAMES = frozenset(
     "toolbar topbar widget widgets contentinfo complementary search modal".split()
 )
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup section".split())
+WORDS = re.compile(r"[\s_-]+")
 
 
 def digest(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def blocks(page: str) -> Iterator[tuple[str, bool, bool, str, int]]:
-    """(path, may be content by its names, is in a main element, text, characters in links)."""
-    # (element, its part of the path, named as no content, is main)
-    stack: list[tuple[str, str, bool, bool]] = []
+def blocks(page: str) -> Iterator[tuple[str, bool, bool, bool, str, int]]:
+    """(path, may be content, hinted as none by part of a name, is in a main element, text, characters in links).
+
+    An element whose tag, or whole class, id or role says so is no content.  One word of a longer
+    name (``entry-header``, ``related-work``) is a hint, and the ids of headings and sections
+    in a main element, which are made from their titles, say nothing.
+    """
+    # (element, its part of the path, named as no content, is main, hinted)
+    stack: list[tuple[str, str, bool, bool, bool]] = []
     text: list[str] = []
     linked = [0, 0]  # depth of links, characters in them
     at = 0
@@ -71,7 +78,7 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str, int]]:
         if whole:
             shown = [x for x in stack if x[0] not in INLINE]
             path = "/".join(x[1] for x in shown)
-            yield path, not any(x[2] for x in stack), any(x[3] for x in shown), whole, chars
+            yield path, not any(x[2] for x in stack), any(x[4] for x in stack), any(x[3] for x in shown), whole, chars
 
     def plain(part: str) -> None:
         if part:
@@ -120,20 +127,27 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str, int]]:
                         break
                 elif stack[k][0] in SCOPES or stack[k][0] not in INLINE and not closes:
                     break
-        names = [(k.lower(), v) for k, *v in NAMED.findall(m[4] or "")]
-        words = sorted({w.lower() for k, v in names for w in re.split(r"[\s_-]+", "".join(v)) if w and not any(c.isdigit() for c in w)})
+        names = [(k.lower(), "".join(v)) for k, *v in NAMED.findall(m[4] or "")]
+        words = sorted({w.lower() for k, v in names for w in WORDS.split(v) if w and not any(c.isdigit() for c in w)})
         inside = any(x[3] for x in stack)
-        bad = name in NO_TEXT or name == "header" and not inside or bool(NO_TEXT_NAMES.intersection(words)) and name not in ("html", "body", *MAIN)
-        main = not bad and (name in MAIN or ("role", ["main", "", ""]) in names)
-        stack.append((name, ".".join([name, *words]), bad, main))
+        bad = name in NO_TEXT or name == "header" and not inside
+        hint = False
+        if name not in ("html", "body", *MAIN) and NO_TEXT_NAMES.intersection(words):
+            said = [v.lower() for k, v in names if not (inside and k == "id" and name in HEADINGS)]
+            wholes = NO_TEXT_NAMES.intersection(w for v in said for w in v.split())
+            bad = bad or bool(wholes - {"header"} if inside else wholes)
+            hint = any(NO_TEXT_NAMES.intersection(WORDS.split(v)) for v in said)
+        main = not bad and (name in MAIN or ("role", "main") in names)
+        # the path tells apart what its words alone do not
+        stack.append((name, ".".join([name + "!" * bad + "?" * hint, *words]), bad, main, hint))
         linked[0] += name == "a"
     plain(page[at:])
     yield from flush()
 
 
 def tokens(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
-    """host, page, slot, text (null for the slot itself), n, chars, linked, fit, main."""
-    out = "host string, page long, slot long, text long, n int, chars long, linked long, fit boolean, main boolean"
+    """host, page, slot, text (null for the slot itself), n, chars, linked, fit, hint, main."""
+    out = "host string, page long, slot long, text long, n int, chars long, linked long, fit boolean, hint boolean, main boolean"
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -141,14 +155,14 @@ def tokens(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
             for key, host, x in zip(t["_key"], t["_host"], t[page]):
                 slots: dict[str, list] = {}
                 texts: dict[tuple[str, str], int] = {}
-                for path, fit, main, whole, linked in blocks(x):
-                    s = slots.setdefault(path, [0, 0, 0, fit, main])
+                for path, fit, hint, main, whole, linked in blocks(x):
+                    s = slots.setdefault(path, [0, 0, 0, fit, hint, main])
                     s[0] += 1
                     s[1] += len(whole)
                     s[2] += min(linked, len(whole))
                     texts[path, whole] = texts.get((path, whole), 0) + 1
-                rows += [(host, key, digest(p), None, n, c, k, fit, main) for p, (n, c, k, fit, main) in slots.items()]
-                rows += [(host, key, digest(p), digest(w), n, 0, 0, slots[p][3], slots[p][4]) for (p, w), n in texts.items() if slots[p][3]]
+                rows += [(host, key, digest(p), None, *s) for p, s in slots.items()]
+                rows += [(host, key, digest(p), digest(w), n, 0, 0, *slots[p][3:]) for (p, w), n in texts.items() if slots[p][3]]
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
             yield frame.astype({"text": "Int64"})
 
@@ -167,7 +181,7 @@ def deduce(found: DataFrame, least_pages: int = 5, share: float = 0.8) -> DataFr
     def template(keyed: DataFrame, by: list[str]) -> DataFrame:
         vector = F.bit_xor(F.xxhash64("page", "n")).alias("vector")
         known = keyed.groupBy(*by, "slot", "text").agg(
-            F.count("*").alias("pages"), F.sum("n").alias("total"), vector, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.bool_and("fit").alias("fit"), F.bool_or("main").alias("main")
+            F.count("*").alias("pages"), F.sum("n").alias("total"), vector, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.bool_and("fit").alias("fit"), F.bool_or("hint").alias("hint"), F.bool_or("main").alias("main")
         )
         slots = known.where("text is null").drop("text")
         # classes of text blocks: one row for each vector, with its members when it is valid
@@ -180,9 +194,10 @@ def deduce(found: DataFrame, least_pages: int = 5, share: float = 0.8) -> DataFr
 
     slots, constants = template(found, ["host"])
     # a slot on enough of the host's pages is judged there, any other one by all hosts' pages
-    links = (F.col("linked") * 2 > F.col("chars")) & F.col("fit")
+    # links in a main element are refused only with a hint
+    links = (F.col("linked") * 2 > F.col("chars")) & F.col("fit") & (F.col("hint") | ~F.col("main"))
     seen = slots.where(F.col("pages") >= least_pages)
-    every = found.where("text is null").groupBy("slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.bool_and("fit").alias("fit")).where(links).select("slot")
+    every = found.where("text is null").groupBy("slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.bool_and("fit").alias("fit"), F.bool_or("hint").alias("hint"), F.bool_or("main").alias("main")).where(links).select("slot")
     refused = seen.where(links).select("host", "slot").unionByName(slots.where(F.col("pages") < least_pages).select("host", "slot").join(every, "slot").select("host", "slot"))
     refused = refused.groupBy("host").agg(F.collect_list("slot").alias("refused"))
     none = F.array().cast("array<long>")
@@ -214,10 +229,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
             for x, refuse, drop in zip(texts, refused, constants):
                 refuse, drop = (frozenset(() if c is None else c.tolist()) for c in (refuse, drop))
                 parts = list(blocks(x)) if x else []
-                in_main = any(fit and main for _, fit, main, _, _ in parts)
+                in_main = any(fit and main for _, fit, _, main, _, _ in parts)
                 kept = []
-                for path, fit, main, whole, _ in parts:
-                    if fit and (main if in_main else not refuse or digest(path) not in refuse) and not (drop and digest(whole) in drop):
+                for path, fit, _, main, whole, _ in parts:
+                    if fit and main >= in_main and not (refuse and digest(path) in refuse) and not (drop and digest(whole) in drop):
                         kept.append(whole)
                 out.append(" ".join(kept))
             yield pd.Series(out)

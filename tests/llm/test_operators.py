@@ -230,6 +230,18 @@ def test_templates_of_mixed_layouts(spark):
         assert text == {i: f"Article number {i} is here" for i in range(6)} | {10: "Story number 0 is here", 11: "Story number 1 is here", 20: "Story number 20 is here", 21: "Only one"}
 
 
+def test_templates_names_are_hints(spark):
+    """Words of longer names, and ids made from titles, lose no text; whole names and links under a hint do."""
+    page = (
+        "<body><div class='comments'>Nice</div><article><div class='entry-header'><h1>Title {0}</h1></div><h2 id='share-prices'>Shares {0}</h2>"
+        "<section id='search-algorithms'><p>Binary {0}</p></section><section id=related><p>Work {0}</p></section><div class='post-widget'>Text {0}</div>"
+        "<div class='share-bar'><a href=x>Send {0}</a></div><ul><li><a href=x>Source {0}</a></ul><div class='social'>Follow {0}</div></article>"
+    )
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(6)] + [(9, "http://b.example/", page.format(9))]
+    got = templates.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Title {i} Shares {i} Binary {i} Work {i} Text {i} Source {i}" for i in [*range(6), 9]}
+
+
 def test_neighbours_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     near = rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(90, 16))
