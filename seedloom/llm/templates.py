@@ -2,9 +2,10 @@
 
 A page is a sequence of tokens: block elements, told apart by their path, and whole text
 blocks at a path.  Tokens with the same occurrence vector over the pages of a host form an
-equivalence class.  A class is valid if it occurs on enough pages; classes nest by the paths
-of their elements, and the class that occurs once on every page is the root.  What is left
-between the tokens of the template are slots, here the paths that carry varying text.
+equivalence class; the one that occurs once on every page is the root.  A class is valid if it
+has enough pages and a block element, and a text belongs to it only if such an element is at or
+above its path: classes nest by path.  A text on nearly all pages of its own path nests there.
+These texts are the template; what is left between them are the slots, also in a main element.
 
 Occurrence vectors are never gathered: a vector is known by the exclusive-or of a hash of
 (page, count), which Spark adds up before and after the shuffle, so a host with a third of
@@ -12,7 +13,8 @@ all pages costs its tasks no more than any other.
 
 Slots in an article or main element are the content; on a page without one, all slots are
 that are no navigation by name and have more text than links.  What is on too few pages of
-its host is judged by the pages of all hosts.
+its host is judged by the pages of all hosts.  Copies look like a template: where nearly all
+text of a host would be template, or nothing of a page is left, the text stays.
 """
 
 from __future__ import annotations
@@ -58,14 +60,16 @@ def digest(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def blocks(page: str) -> Iterator[tuple[str, bool, bool, bool, str, int]]:
+def blocks(page: str, opened: dict[str, int] | None = None) -> Iterator[tuple[str, bool, bool, bool, str, int]]:
     """(path, may be content, hinted as none by part of a name, is in a main element, text, characters in links).
 
     An element whose tag, or whole class, id or role says so is no content.  One word of a longer
     name (``entry-header``, ``related-work``) is a hint, and the ids of headings and sections
-    in a main element, which are made from their titles, say nothing.
+    in a main element, which are made from their titles, say nothing.  ``opened`` counts the block
+    elements by path.
     """
-    # (element, its part of the path, named as no content, is main, hinted)
+    # (element, path of block elements; for it and those around it: named as no content, main, hinted)
+    top = ("", "", False, False, False)
     stack: list[tuple[str, str, bool, bool, bool]] = []
     text: list[str] = []
     linked = [0, 0]  # depth of links, characters in them
@@ -76,9 +80,8 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, bool, str, int]]:
         chars, linked[1] = linked[1], 0
         text.clear()
         if whole:
-            shown = [x for x in stack if x[0] not in INLINE]
-            path = "/".join(x[1] for x in shown)
-            yield path, not any(x[2] for x in stack), any(x[4] for x in stack), any(x[3] for x in shown), whole, chars
+            _, path, bad, main, hint = stack[-1] if stack else top
+            yield path, not bad, hint, main, whole, chars
 
     def plain(part: str) -> None:
         if part:
@@ -129,7 +132,7 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, bool, str, int]]:
                     break
         names = [(k.lower(), "".join(v)) for k, *v in NAMED.findall(m[4] or "")]
         words = sorted({w.lower() for k, v in names for w in WORDS.split(v) if w and not any(c.isdigit() for c in w)})
-        inside = any(x[3] for x in stack)
+        _, path, any_bad, inside, any_hint = stack[-1] if stack else top
         bad = name in NO_TEXT or name == "header" and not inside
         hint = False
         if name not in ("html", "body", *MAIN) and NO_TEXT_NAMES.intersection(words):
@@ -137,71 +140,93 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, bool, str, int]]:
             wholes = NO_TEXT_NAMES.intersection(w for v in said for w in v.split())
             bad = bad or bool(wholes - {"header"} if inside else wholes)
             hint = any(NO_TEXT_NAMES.intersection(WORDS.split(v)) for v in said)
-        main = not bad and (name in MAIN or ("role", "main") in names)
-        # the path tells apart what its words alone do not
-        stack.append((name, ".".join([name + "!" * bad + "?" * hint, *words]), bad, main, hint))
+        main = not bad and (name in MAIN or ("role", "main") in names) and name not in INLINE
+        if name not in INLINE:
+            # the path tells apart what its words alone do not
+            path = f"{path}/{'.'.join([name + '!' * bad + '?' * hint, *words])}"
+            if opened is not None:
+                opened[path] = opened.get(path, 0) + 1
+        stack.append((name, path, any_bad or bad, inside or main, any_hint or hint))
         linked[0] += name == "a"
     plain(page[at:])
     yield from flush()
 
 
 def tokens(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
-    """host, page, slot, text (null for the slot itself), n, chars, linked, fit, hint, main."""
-    out = "host string, page long, slot long, text long, n int, chars long, linked long, fit boolean, hint boolean, main boolean"
+    """host, page, slot, text (null for the element itself), n, chars, linked, above, fit, hint, main.
+
+    ``above`` has the paths of an element and of those around it.
+    """
+    out = "host string, page long, slot long, text long, n int, chars long, linked long, above array<long>, fit boolean, hint boolean, main boolean"
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[int]] = {}
+
+        def above(path: str) -> list[int]:
+            if path not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                known[path] = [*(above(path[: path.rindex("/")]) if path else []), digest(path)]
+            return known[path]
+
         for t in batches:
             rows = []
             for key, host, x in zip(t["_key"], t["_host"], t[page]):
+                opened: dict[str, int] = {"": 1}
                 slots: dict[str, list] = {}
                 texts: dict[tuple[str, str], int] = {}
-                for path, fit, hint, main, whole, linked in blocks(x):
-                    s = slots.setdefault(path, [0, 0, 0, fit, hint, main])
-                    s[0] += 1
-                    s[1] += len(whole)
-                    s[2] += min(linked, len(whole))
+                for path, fit, hint, main, whole, linked in blocks(x, opened):
+                    s = slots.setdefault(path, [0, 0, fit, hint, main])
+                    s[0] += len(whole)
+                    s[1] += min(linked, len(whole))
                     texts[path, whole] = texts.get((path, whole), 0) + 1
-                rows += [(host, key, digest(p), None, *s) for p, s in slots.items()]
-                rows += [(host, key, digest(p), digest(w), n, 0, 0, *slots[p][3:]) for (p, w), n in texts.items() if slots[p][3]]
-            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
-            yield frame.astype({"text": "Int64"})
+                for p, n in opened.items():
+                    chars, linked, *flags = slots.get(p, (0, 0, None, None, None))
+                    ids = above(p)
+                    rows.append((host, key, ids[-1], None, n, chars, linked, ids, *flags))
+                rows += [(host, key, above(p)[-1], digest(f"{p}\n{w}"), n, n * len(w), 0, None, *slots[p][2:]) for (p, w), n in texts.items() if slots[p][2]]
+            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")], dtype=object)
+            # by way of objects, since hashes next to nulls would become doubles and lose their last bits
+            missing = frame["text"].isna().to_numpy()
+            frame["text"] = pd.arrays.IntegerArray(frame["text"].where(~missing, 0).to_numpy(np.int64), missing)
+            yield frame.astype({**dict.fromkeys(("page", "slot", "n", "chars", "linked"), "int64"), **dict.fromkeys(("fit", "hint", "main"), "boolean")})
 
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     keyed = pages.where(F.col(page).isNotNull()).select(F.xxhash64(page_id, url).alias("_key"), host.alias("_host"), page)
     return keyed.mapInPandas(split, out)
 
 
-def deduce(found: DataFrame, least_pages: int = 5, share: float = 0.8) -> DataFrame:
-    """host, refused (fit slots that are mostly links), constants (template text); hosts with either.
+def deduce(found: DataFrame, saved: Saved, least_pages: int = 5, share: float = 0.8) -> DataFrame:
+    """host, refused (fit slots that are mostly links), constants (template text); hosts with either."""
+    vector = F.bit_xor(F.xxhash64("page", "n")).alias("vector")
+    flags = [F.bool_and("fit").alias("fit"), F.bool_or("hint").alias("hint"), F.bool_or("main").alias("main")]
+    sums = [F.count("*").alias("pages"), vector, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), *flags]
+    elements = saved(found.where("text is null").groupBy("host", "slot").agg(*sums, F.first("above").alias("above")))
+    texts = found.where("text is not null").groupBy("host", "slot", "text").agg(*sums).where(F.col("pages") >= least_pages)
 
-    A text block is part of the template if its class covers ``share`` of the host's pages with
-    that slot, unless such blocks are nearly all that the slot holds (pages that are copies).
-    """
-
-    def template(keyed: DataFrame, by: list[str]) -> DataFrame:
-        vector = F.bit_xor(F.xxhash64("page", "n")).alias("vector")
-        known = keyed.groupBy(*by, "slot", "text").agg(
-            F.count("*").alias("pages"), F.sum("n").alias("total"), vector, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.bool_and("fit").alias("fit"), F.bool_or("hint").alias("hint"), F.bool_or("main").alias("main")
-        )
-        slots = known.where("text is null").drop("text")
-        # classes of text blocks: one row for each vector, with its members when it is valid
-        classes = known.where("text is not null and pages > 1").join(slots.select(*by, "slot", F.col("pages").alias("slot_pages"), F.col("total").alias("slot_total")), [*by, "slot"])
-        valid = classes.where((F.col("slot_pages") >= least_pages) & (F.col("pages") >= share * F.col("slot_pages")))
-        members = valid.groupBy(*by, "slot", "pages", "total", "vector").agg(F.collect_list("text").alias("texts"), F.sum("total").alias("class_total"), F.max("slot_total").alias("slot_total"))
-        slotted = members.groupBy(*by, "slot").agg(F.flatten(F.collect_list("texts")).alias("texts"), F.sum("class_total").alias("constant"), F.max("slot_total").alias("slot_total"))
-        constants = slotted.where(F.col("constant") < share * F.col("slot_total")).groupBy(*by).agg(F.flatten(F.collect_list("texts")).alias("constants"))
-        return slots, constants
-
-    slots, constants = template(found, ["host"])
-    # a slot on enough of the host's pages is judged there, any other one by all hosts' pages
+    # a slot on enough of the host's pages is judged there, any other one by all hosts' pages;
     # links in a main element are refused only with a hint
     links = (F.col("linked") * 2 > F.col("chars")) & F.col("fit") & (F.col("hint") | ~F.col("main"))
-    seen = slots.where(F.col("pages") >= least_pages)
-    every = found.where("text is null").groupBy("slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.bool_and("fit").alias("fit"), F.bool_or("hint").alias("hint"), F.bool_or("main").alias("main")).where(links).select("slot")
-    refused = seen.where(links).select("host", "slot").unionByName(slots.where(F.col("pages") < least_pages).select("host", "slot").join(every, "slot").select("host", "slot"))
-    refused = refused.groupBy("host").agg(F.collect_list("slot").alias("refused"))
+    every = elements.groupBy("slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), *flags).where(links).select("slot")
+    rare = elements.where(F.col("fit") & (F.col("pages") < least_pages)).select("host", "slot")
+    refused = saved(elements.where(links & (F.col("pages") >= least_pages)).select("host", "slot").unionByName(rare.join(every, "slot").select("host", "slot")))
+
+    # texts with the elements at and above them: of one class with one of these, or on nearly all pages of their own
+    candidates = texts.select("host", "slot", "text", "pages", "vector", "chars", "main").join(elements.select("host", "slot", "above"), ["host", "slot"])
+    around = elements.select("host", F.col("slot").alias("up"), F.col("pages").alias("up_pages"), F.col("vector").alias("up_vector"))
+    nested = candidates.select("*", F.explode("above").alias("up")).join(around, ["host", "up"])
+    in_class = F.col("vector") == F.col("up_vector")
+    in_slot = (F.col("up") == F.col("slot")) & (F.col("pages") >= share * F.col("up_pages"))
+    template = nested.where(in_class | in_slot).groupBy("host", "slot", "text").agg(F.first("chars").alias("chars"), F.first("main").alias("main"))
+    template = template.join(refused, ["host", "slot"], "left_anti")
+
+    # pages that are copies: nearly all text of the host, in or outside main elements, would be template
+    whole = elements.where("fit").join(refused, ["host", "slot"], "left_anti").groupBy("host", "main").agg(F.sum("chars").alias("whole"))
+    parts = template.groupBy("host", "main").agg(F.collect_list("text").alias("texts"), F.sum("chars").alias("constant"))
+    constants = parts.join(whole, ["host", "main"]).where(F.col("constant") < share * F.col("whole")).groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("constants"))
     none = F.array().cast("array<long>")
-    return refused.join(constants, "host", "full").select("host", F.coalesce("refused", none).alias("refused"), F.coalesce("constants", none).alias("constants"))
+    lists = refused.groupBy("host").agg(F.collect_list("slot").alias("refused")).join(constants, "host", "full")
+    return lists.select("host", F.coalesce("refused", none).alias("refused"), F.coalesce("constants", none).alias("constants"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -214,7 +239,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     empty table gives an empty result; other columns are not read.
     """
     saved = Saved(pages.sparkSession)
-    templates = saved(deduce(saved(tokens(pages, page_id, url, page))))
+    templates = saved(deduce(saved(tokens(pages, page_id, url, page)), saved))
     size = templates.agg(F.sum(64 + 8 * (F.size("refused") + F.size("constants")))).first()
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     # templates travel to the pages while they are small, else both are joined by host
@@ -228,13 +253,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
             out = []
             for x, refuse, drop in zip(texts, refused, constants):
                 refuse, drop = (frozenset(() if c is None else c.tolist()) for c in (refuse, drop))
-                parts = list(blocks(x)) if x else []
-                in_main = any(fit and main for _, fit, _, main, _, _ in parts)
-                kept = []
-                for path, fit, _, main, whole, _ in parts:
-                    if fit and main >= in_main and not (refuse and digest(path) in refuse) and not (drop and digest(whole) in drop):
-                        kept.append(whole)
-                out.append(" ".join(kept))
+                own = [(path, main, whole) for path, fit, _, main, whole, _ in blocks(x) if fit and not (refuse and digest(path) in refuse)] if x else []
+                left = [p for p in own if digest(f"{p[0]}\n{p[2]}") not in drop] if drop else own
+                # a page of which nothing is left is a copy of others
+                left = left or own
+                in_main = any(main for _, main, _ in left)
+                out.append(" ".join(whole for _, main, whole in left if main >= in_main))
             yield pd.Series(out)
 
     return joined.select(F.col(page_id), F.col(url), content(F.col(page), "refused", "constants").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -242,6 +242,25 @@ def test_templates_names_are_hints(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Title {i} Shares {i} Binary {i} Work {i} Text {i} Source {i}" for i in [*range(6), 9]}
 
 
+def test_templates_classes_without_names(spark):
+    """Template text that no name tells, on all or some pages, in and outside a main element; copies stay."""
+    plain = "<body><div class=xq><p>Welcome to the site</p></div><div class=zq><p>Story {0} has its own words, and more than the rest of the page has</p></div>{1}"
+    main = "<body><article><div class=xq>Sent by a friend</div><p>Story {0} has its own words, and more than the rest of it</p>{1}</article>"
+    often = "<div class=wq><b>Seen here before</b><p>{0} times</p></div>"
+    rows = [(i, f"http://a.example/{i}", plain.format(i, often.format(i) if i % 2 else "")) for i in range(12)]
+    rows += [(20 + i, f"http://b.example/{i}", main.format(i, often.format(i) if i % 2 else "")) for i in range(12)]
+    rows += [(40 + i, f"http://c.example/{i}", main.format(7, "")) for i in range(6)]
+    # copies among other pages: no element is theirs alone
+    rows += [(60 + i, f"http://d.example/{i}", plain.format(7 if i < 6 else i, "")) for i in range(20)]
+    text = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i in range(12):
+        more = f" {i} times" if i % 2 else ""
+        assert text[i] == f"Story {i} has its own words, and more than the rest of the page has" + more
+        assert text[20 + i] == f"Story {i} has its own words, and more than the rest of it" + more
+    assert all("Story 7" in text[40 + i] for i in range(6))
+    assert all(text[60 + i].startswith("Story 7 has") for i in range(6))
+
+
 def test_neighbours_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     near = rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(90, 16))
