@@ -261,6 +261,16 @@ def test_templates_classes_without_names(spark):
     assert all(text[60 + i].startswith("Story 7 has") for i in range(6))
 
 
+def test_templates_need_no_list_of_all_layouts(spark):
+    """What all hosts' pages say of a slot comes with each host that needs it."""
+    rows = [(i, f"http://h{i}.example/", f"<div class={'abcd'[i % 4]}><p>Text {i}</p></div><li><a href=x>Link</a></li>") for i in range(8)]
+    saved = common.Saved(spark)
+    found = templates.tokens(spark.createDataFrame(rows, "page_id int, url string, html string"), "page_id", "url", "html")
+    got = templates.deduce(found, saved).collect()
+    assert {r["host"] for r in got} == {f"h{i}.example" for i in range(8)}
+    assert all(len(r["refused"]) == 1 and not r["constants"] for r in got)
+
+
 def test_neighbours_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     near = rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(90, 16))
