@@ -5,13 +5,14 @@ projections.  Each round every vector's neighbours, in both directions, are comp
 each other, at least one of the two being new; what is nearer than a list's last entry
 replaces it.  A list whose entries are all links is saturated and doubles.  Links above
 the threshold join vectors to components; inside a component every pair is then
-compared exactly, in blocks, so lists of any size give exact counts of links.  A sample
-of vectors compared with all others audits the recall; while it is too low, more
-blocks and rounds follow.
+compared exactly, in blocks, so lists of any size give exact counts of links.  Sampled
+vectors compared with all others audit the recall; while it is too low, more blocks and
+rounds follow, at last the exact comparison of all pairs.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, components, hash_sample
+from .common import Saved, components, merge_roots
+
+log = logging.getLogger(__name__)
 
 BLOCK = 256
 EDGE = "v long, u long, sim double"
@@ -106,7 +109,9 @@ def shortlist(edges: DataFrame, limits: DataFrame, before: DataFrame | None) ->
     """v, most (list size), list of (sim, u, new), nearest first, from edges and the old lists."""
     if before is not None:
         edges = edges.unionByName(before.select("v", F.explode("list").alias("e")).select("v", "e.u", "e.sim"))
-    best = edges.groupBy("v").agg(F.collect_set(F.struct("sim", "u")).alias("all"))
+    # one entry for each neighbour: the last bits of a product can differ from block to block
+    edges = edges.groupBy("v", "u").agg(F.max("sim").alias("sim"))
+    best = edges.groupBy("v").agg(F.collect_list(F.struct("sim", "u")).alias("all"))
     best = best.join(limits, "v", "left").select("v", F.coalesce("most", F.lit(0)).alias("most"), F.slice(F.sort_array("all", False), F.lit(1), F.greatest(F.col("most"), F.lit(1))).alias("list"))
     if before is None:
         known = F.array().cast("array<bigint>")
@@ -118,17 +123,18 @@ def shortlist(edges: DataFrame, limits: DataFrame, before: DataFrame | None) ->
     return best.select("v", "most", flagged.alias("list"))
 
 
-def local_joins(graph: DataFrame, vectors: DataFrame, members: int = 64) -> DataFrame:
+def local_joins(graph: DataFrame, vectors: DataFrame, salt: int, members: int = 64) -> DataFrame:
     """Edges between neighbours of one vector that improve at least one of their lists."""
     one = graph.select("v", F.explode("list").alias("e")).select("v", F.col("e.u").alias("u"), F.col("e.new").alias("new"))
     both = one.union(one.select("u", "v", "new")).groupBy(F.col("v").alias("centre"), F.col("u").alias("member")).agg(F.max("new").alias("new"))
     degree = both.groupBy("centre").agg(F.count("*").alias("degree"), F.max("new").alias("any"))
     busy = both.join(degree.where("any"), "centre")
-    # a centre with many members is cut into groups by a hash; the parts meet through other centres
-    part = F.pmod(F.xxhash64("member", "centre"), F.ceil(F.col("degree") / members))
+    # a centre with many members is cut into groups by a hash, other ones each round; there old
+    # members may not have met yet, so all count as new
+    part = F.pmod(F.xxhash64("member", "centre", F.lit(salt)), F.ceil(F.col("degree") / members))
     last = F.when(F.size("list") >= F.col("most"), F.element_at("list", -1)["sim"]).otherwise(-2.0)
     worst = vectors.join(graph.select("v", last.alias("worst")), "v", "left").select(F.col("v").alias("member"), "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    rows = busy.select("centre", part.alias("part"), "member", "new").join(worst, "member")
+    rows = busy.select("centre", part.alias("part"), "member", (F.col("new") | (F.col("degree") > members)).alias("new")).join(worst, "member")
     shares = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def join(t: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -191,27 +197,72 @@ def exact_degrees(members: DataFrame, block: int = 1_000, threshold: float = 0.9
     return dealt.groupBy("component", "i", "j").applyInPandas(count, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
 
 
-def recall(vectors: DataFrame, linked: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the true links of at most ``queries`` vectors whose ends share a component."""
-    chosen = vectors.join(F.broadcast(hash_sample(vectors.select("v"), queries)), "v").select("v", "vec").collect()
-    by_dim: dict[int, list] = {}
-    for r in chosen:
-        by_dim.setdefault(len(r["vec"]), []).append(r)
-    sets = {d: (np.array([r["v"] for r in rows]), units(pd.Series([bytes(r["vec"]) for r in rows]))) for d, rows in by_dim.items()}
+def recall(vectors: DataFrame, linked: DataFrame, threshold: float, queries: int, k: int = 8, enough: int = 50, most: int = 12_800) -> dict[str, tuple[int, float]]:
+    """Vectors asked that have a true link, and their mean share of links within the component.
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            for d, part in t.groupby(t["vec"].map(len)):
-                if d in sets:
-                    ids, q = sets[d]
-                    i, j = np.nonzero(units(part["vec"]) @ q.T >= threshold)
-                    keep = part["v"].to_numpy()[i] != ids[j]
-                    yield pd.DataFrame({"q": ids[j][keep], "v": part["v"].to_numpy()[i][keep]})
+    For vectors of at most ``k`` true links (``small``) and of more (``large``), each vector
+    counting once.  The sample, ``queries`` vectors at first, is extended until ``enough`` vectors
+    with a link are among them, or all vectors or ``most`` are asked.
+    """
+    named = vectors.select("v", "vec").join(linked.select(F.col("node").alias("v"), "component"), "v", "left").select("v", "vec", F.coalesce("component", "v").alias("component"))
+    order = vectors.select(F.xxhash64("v").alias("h"), "v").orderBy("h", "v")
+    shares: dict[str, list[float]] = {"small": [], "large": []}
+    asked, after = 0, None
+    while asked < most and sum(map(len, shares.values())) < enough:
+        # the next vectors by hash; four times as many, in steps of bounded size
+        step = min(most - asked, queries if not asked else min(3 * asked, 3_200))
+        new = order if after is None else order.where((F.col("h") > after[0]) | (F.col("h") == after[0]) & (F.col("v") > after[1]))
+        chosen = named.join(F.broadcast(new.limit(step)), "v").select("h", "v", "vec", "component").collect()
+        if not chosen:
+            break
+        asked, after = asked + len(chosen), max((r["h"], r["v"]) for r in chosen)
+        by_dim: dict[int, list] = {}
+        for r in chosen:
+            by_dim.setdefault(len(r["vec"]), []).append(r)
+        sets = {d: (np.array([r["v"] for r in rows]), np.array([r["component"] for r in rows]), np.array([list(r["vec"]) for r in rows], np.uint8)) for d, rows in by_dim.items()}
+
+        def search(batches: Iterator[pd.DataFrame], sets=sets) -> Iterator[pd.DataFrame]:
+            exact = {d: (ids, own, units(pd.Series([x.tobytes() for x in vecs]))) for d, (ids, own, vecs) in sets.items()}
+            for t in batches:
+                for d, part in t.groupby(t["vec"].map(len)):
+                    if d not in exact:
+                        continue
+                    ids, own, q = exact[d]
+                    for at in range(0, len(part), 1_000):
+                        some = part.iloc[at : at + 1_000]
+                        near = (units(some["vec"]) @ q.T >= threshold) & (some["v"].to_numpy()[:, None] != ids)
+                        true = near.sum(axis=0)
+                        same = (near & (some["component"].to_numpy()[:, None] == own)).sum(axis=0)
+                        hit = np.flatnonzero(true)
+                        yield pd.DataFrame({"q": ids[hit], "n": true[hit], "same": same[hit]})
+
+        found = named.mapInPandas(search, "q long, n long, same long").groupBy("q").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+        for r in found.collect():
+            shares["small" if r["n"] <= k else "large"].append(r["same"] / r["n"])
+    log.info("recall audit: %d vectors asked, with links %s", asked, {c: len(x) for c, x in shares.items()})
+    return {c: (len(x), float(np.mean(x)) if x else 1.0) for c, x in shares.items()}
+
+
+def exact_links(vectors: DataFrame, threshold: float, block: int = 2_000) -> DataFrame:
+    """a, b: edges that join just those vectors which links join, from all pairs, block by block.
+
+    A pair of blocks gives a forest of its links, no more edges than vectors.
+    """
+    dims = vectors.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("v"), F.col("cuts")).cast("int")
+    dealt = vectors.join(F.broadcast(dims), "dim").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    dealt = dealt.select("dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "vec")
 
-    true = vectors.select("v", "vec").mapInPandas(search, "q long, v long")
-    one, two = linked.select(F.col("node").alias("q"), F.col("component").alias("cq")), linked.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    found = true.join(one, "q", "left").join(two, "v", "left").agg(F.count("*"), F.sum(F.coalesce((F.col("cq") == F.col("cv")).cast("long"), F.lit(0)))).first()
-    return found[1] / found[0] if found[0] else 1.0
+    def forest(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        x, own, ids = units(t["vec"]), t["own"].to_numpy(), t["v"].to_numpy()
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        one, two = np.nonzero(x[a] @ x[b].T >= threshold)
+        parent = merge_roots(np.arange(len(t)), a[one], b[two])
+        child = np.flatnonzero(parent != np.arange(len(t)))
+        return pd.DataFrame({"a": ids[child], "b": ids[parent[child]]})
+
+    return dealt.groupBy("dim", "i", "j").applyInPandas(forest, "a long, b long")
 
 
 def near_duplicates(
@@ -227,7 +278,8 @@ def near_duplicates(
     vectors of their own.  An empty table gives an empty result; other columns are not read.
 
     ``longest`` bounds a list, not what is found: links inside a component are counted by the
-    exact comparison.  ``audit`` vectors measure the recall in each of at most ``attempts``.
+    exact comparison.  At least ``audit`` vectors measure the recall in each of at most
+    ``attempts``; if it stays under ``least_recall``, all pairs are compared.
     """
     saved = Saved(rows.sparkSession)
     good = saved(packed(rows, vec_id, embedding))
@@ -249,11 +301,17 @@ def near_duplicates(
             saved.drop(after)
             if turn == rounds or turn and changed <= settled * n * k:
                 break
-            edges = local_joins(graph, vectors.select("v", "vec"))
+            edges = local_joins(graph, vectors.select("v", "vec"), attempt * (rounds + 1) + turn)
         links = graph.select(F.col("v").alias("a"), F.explode("list").alias("e")).where(F.col("e.sim") >= threshold).select("a", F.col("e.u").alias("b"))
         linked = components(links, saved)
-        if recall(vectors, linked, threshold, audit) >= least_recall:
+        measured = recall(vectors, linked, threshold, audit, k)
+        log.info("attempt %d: recall %s", attempt, measured)
+        if all(share >= least_recall for _, share in measured.values()):
             break
+    else:
+        if n:
+            log.warning("recall under %s after %d attempts; all pairs are compared", least_recall, attempts)
+            linked = components(exact_links(vectors, threshold), saved)
     if linked is None:
         per_vector = vectors.select("vec", F.col("v").alias("component_id"), F.col("copies").alias("n_links"))
     else:

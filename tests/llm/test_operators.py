@@ -288,6 +288,33 @@ def test_neighbours_against_all_pairs(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_neighbours_recall_of_rare_pairs(spark, monkeypatch):
+    """Missed pairs show beside a found group, and are then searched exactly."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 16))
+    x[:200] = x[0] + 0.01 * rng.normal(size=(200, 16))
+    x[300:320] = x[320:340] + 0.01 * rng.normal(size=(20, 16))
+    rows = [(64, bytearray(v.astype(np.float32).tobytes()), i, 1) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "dim int, vec binary, v long, copies long")
+    linked = spark.createDataFrame([(i, 0) for i in range(200)], "node long, component long")
+    got = neighbours.recall(vectors, linked, 0.95, 10, most=600, enough=600)
+    assert got == {"small": (40, 0.0), "large": (200, 1.0)}
+    true = {frozenset((i, i + 20)) for i in range(300, 320)}
+    edges = neighbours.exact_links(vectors, 0.95, block=100).where("a >= 200").collect()
+    assert {frozenset(r) for r in edges} == true
+    # a graph without any edge is not taken for complete
+    monkeypatch.setattr(neighbours, "nearest_in_blocks", lambda v, *_: v.select("v", F.col("v").alias("u"), F.lit(0.0).alias("sim")))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    n = {r["vec_id"]: r["n_links"] for r in neighbours.near_duplicates(df, rounds=1, attempts=1).collect()}
+    assert n == {i: 199 if i < 200 else int(300 <= i < 340) for i in range(600)}
+
+
+def test_shortlist_takes_a_neighbour_once(spark):
+    edges = spark.createDataFrame([(1, 2, 0.9), (1, 2, 0.9000000001), (1, 3, 0.5)], neighbours.EDGE)
+    limits = spark.createDataFrame([(1, 2)], "v long, most int")
+    assert [e["u"] for e in neighbours.shortlist(edges, limits, None).first()["list"]] == [2, 3]
+
+
 def test_exact_degrees_in_blocks(spark):
     rng = np.random.default_rng(6)
     x = (rng.normal(size=(1, 8)) + 0.2 * rng.normal(size=(120, 8))).astype(np.float32)
