@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, language, neighbours, packing, pieces, preference, quality_rules, secret_scan, simhash, templates, toxicity
+from . import contamination, filter_audit, hard_negatives, language, neighbours, packing, pieces, preference, quality_rules, secret_scan, simhash, templates, toxicity
 from .common import remainder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,15 +66,27 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_residue_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_compression_bands, op2_nbest_pieces, op3_markov_secrets, op4_preference_quality, op5_template_text,
         op6_nn_descent, op7_language_mixture, op8_conflict_packing, op9_simhash_trie, op10_ordinal_toxicity,
-        op11_filter_audit,
+        op11_filter_audit, op12_positional_index, op13_residue_gemm,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The first ten have no plain SQL form; each is tested against a plain version of itself."""
-    return {"op11_filter_audit": filter_audit.FILTER_AUDIT_SQL}
+    return {
+        "op11_filter_audit": filter_audit.FILTER_AUDIT_SQL,
+        "op12_positional_index": contamination.CONTAMINATION_SQL,
+        "op13_residue_gemm": hard_negatives.HARD_NEGATIVES_SQL,
+    }
