@@ -1,5 +1,6 @@
 """The ten operators against plain versions of themselves, and on awkward rows."""
 
+import base64
 import hashlib
 import random
 import re
@@ -77,14 +78,30 @@ def test_quality_rules_base(docs, texts):
             assert r["ratio"] == len(t.encode()) / len(zstandard.ZstdCompressor(level=3).compress(t.encode()))
 
 
-def test_quality_rules_bands(spark, awkward):
+def test_quality_rules_bands(spark, docs, awkward):
     rnd = random.Random(4)
-    noise = "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) + " " * (i % 7 == 0) for i in range(6_000))
-    dull = "\n".join(f"row {i % 3} of the table is like row {i % 3}, {i}" for i in range(3_000))
-    prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8))) for _ in range(900))
-    df = spark.createDataFrame([(1, dull), (2, prose), (3, noise)], "doc_id int, text string")
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df).collect()}
-    assert got == {1: False, 2: True, 3: got[3]}
+    draw = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    spaced = lambda t: " ".join(t[i : i + 60] for i in range(0, len(t), 60))
+    cjk = "".join(map(chr, range(0x4E00, 0x9FFF)))
+    noise = []
+    for n in (2_000, 5_000, 20_000, 100_000):
+        noise += [spaced(base64.b64encode(rnd.randbytes(n)).decode()), spaced(draw(cjk, n)), spaced(draw("abcdefghijklmnopqrstuvwxyz", 3 * n))]
+    # one word in four changes, so no window of five words comes twice
+    dull = [" ".join(f"item {i} of the long list {rnd.randrange(10**6)} is here" for i in range(n)) for n in (50, 400, 4_000)]
+    half = spaced(base64.b64encode(rnd.randbytes(9_000)).decode())
+    prose = [r["text"] for r in docs.where("length(text) > 800").collect()]
+    mixed = [p + "\n" + half for p in sorted(prose, key=len)[-3:]]
+    rows = [(i, t) for i, t in enumerate(noise + dull)] + [(1_000 + i, t) for i, t in enumerate(prose)] + [(5_000 + i, t) for i, t in enumerate(mixed)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert not any(r["kept"] or r["base_failed"] for r in got if r["doc_id"] < 1_000)
+    clean = [r for r in got if 1_000 <= r["doc_id"] < 5_000 and not r["base_failed"]]
+    assert len(clean) > 50 and all(r["kept"] for r in clean)
+    # a stretch of noise in a long clean text is seen by the chunks
+    assert all(r["n_chunks_out"] >= 2 for r in got if r["doc_id"] >= 5_000)
+    fitted = quality_rules.fit_bands(docs)
+    for (top, lo, hi), (_, low, high) in zip(fitted.limits, quality_rules.Bands().limits):
+        assert top <= 64 or low <= lo * 1.02 and hi <= high * 1.02 or (lo, hi) == (low, high)
+    assert quality_rules.fit_bands(docs.limit(0)) == quality_rules.Bands()
     for size in (0, 1, 4_096, 6_143, 6_144, 9_999):
         ends = quality_rules.chunk_ends(size, 4_096)
         assert ends[0][0] == 0 and ends[-1][1] == size and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
@@ -254,21 +271,100 @@ def test_templates_classes_without_names(spark):
     rows += [(60 + i, f"http://d.example/{i}", plain.format(7 if i < 6 else i, "")) for i in range(20)]
     text = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     for i in range(12):
-        more = f" {i} times" if i % 2 else ""
-        assert text[i] == f"Story {i} has its own words, and more than the rest of the page has" + more
-        assert text[20 + i] == f"Story {i} has its own words, and more than the rest of it" + more
+        # what is outside the element with most of the text is no article; template text in it stays between content
+        assert text[i] == f"Story {i} has its own words, and more than the rest of the page has"
+        assert text[20 + i] == f"Story {i} has its own words, and more than the rest of it" + (f" Seen here before {i} times" if i % 2 else "")
     assert all("Story 7" in text[40 + i] for i in range(6))
     assert all(text[60 + i].startswith("Story 7 has") for i in range(6))
 
 
+def page_frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id int, url string, html string")
+
+
 def test_templates_need_no_list_of_all_layouts(spark):
-    """What all hosts' pages say of a slot comes with each host that needs it."""
+    """What all hosts' pages say of a slot comes with each page that has it, and no more."""
     rows = [(i, f"http://h{i}.example/", f"<div class={'abcd'[i % 4]}><p>Text {i}</p></div><li><a href=x>Link</a></li>") for i in range(8)]
     saved = common.Saved(spark)
-    found = templates.tokens(spark.createDataFrame(rows, "page_id int, url string, html string"), "page_id", "url", "html")
-    got = templates.deduce(found, saved).collect()
-    assert {r["host"] for r in got} == {f"h{i}.example" for i in range(8)}
-    assert all(len(r["refused"]) == 1 and not r["constants"] for r in got)
+    mains, drops = templates.deduce(templates.tokens(page_frame(spark, rows), "page_id", "url", "html"), saved)
+    assert mains.count() == 0
+    got = drops.collect()
+    assert len(got) == 8 and all(len(r["drop"]) == 1 for r in got)
+
+
+def test_template_classes_against_plain_vectors(spark):
+    """Vectors of six pages, one of them twice, and the root tokens, by hand."""
+    rnd = random.Random(8)
+    html = []
+    for i in range(6):
+        extra = "<div class=k><p>ad</p></div>" * rnd.randint(0, 2)
+        swap = ["<i class=z></i><div class=u>up {0}</div>", "<div class=v>down {0}</div>"]
+        html.append(("<body><div class=m>Top</div>" + "".join(swap if i % 2 else swap[::-1]) + f"<p>{'text ' * i}x</p>" * rnd.randint(1, 3) + extra).format(i))
+    rows = [(i, "http://h.example/a", x) for i, x in enumerate(html)]
+    token = templates.classes(templates.tokens(page_frame(spark, rows + rows[:1]), "page_id", "url", "html"), common.Saved(spark)).collect()
+    count: dict = {}
+    order = []
+    for i, x in enumerate(html):
+        opened = {"": [1, 0]}
+        places = {}
+        for path, *_, whole, _, place in templates.blocks(x, opened):
+            k = (templates.digest(path), templates.digest(f"{path}\n{whole}"))
+            count.setdefault(k, [0] * 6)[i] += 1
+            places.setdefault(k, place)
+        for path, (n, place) in opened.items():
+            count.setdefault((templates.digest(path), None), [0] * 6)[i] = n
+            places[templates.digest(path), None] = place
+        order.append(places)
+    by_hand: dict = {}
+    for k, v in count.items():
+        by_hand.setdefault(tuple(v), set()).add(k)
+    found: dict = {}
+    for r in token:
+        found.setdefault(r["vector"], set()).add((r["slot"], r["text"]))
+    assert sorted(map(sorted_keys, found.values())) == sorted(map(sorted_keys, by_hand.values()))
+    once = by_hand[(1,) * 6]
+    ranks = [[k for k in sorted(once, key=lambda k: (p[k], k[0], k[1] or 0))] for p in order]
+    steady = {k for j, k in enumerate(ranks[0]) if all(r[j] == k for r in ranks)}
+    assert {(r["slot"], r["text"]) for r in token if r["root"]} == steady
+    assert 3 <= len(steady) < len(once)
+
+
+def sorted_keys(keys):
+    return sorted((a, b or 0) for a, b in keys)
+
+
+def test_templates_decide_without_names(spark):
+    """No telling tag or name: the innermost element with most of the text is found on each host."""
+    outer = "<body><div class=a1><p>{1} one</p><p>{1} two</p></div><div class=a2>{1} note</div><div class=a3><div class=a4>Title {0}</div><p>{2}</p><p>End {0}</p></div><div class=a5>{1} foot</div>"
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    rows = [(i, f"http://a.example/{i}", outer.format(i, f"menu{i * 7 % 5}", words(i))) for i in range(9)]
+    rows += [(20, "http://few.example/", outer.format(20, "other", words(20)))]
+    rows += rows[:4] + rows[:9]  # repeated rows change nothing
+    for by_name in (True, False):
+        got = templates.extract(page_frame(spark, rows), by_name=by_name).collect()
+        assert len(got) == len(rows)
+        assert {r["page_id"]: r["text"] for r in got} == {i: f"Title {i} {words(i)} End {i}" for i in [*range(9), 20]}
+
+
+def test_templates_keep_what_articles_share(spark):
+    """A heading all articles have stays, a notice at their edge goes; a teaser is no article."""
+    long = lambda i: " ".join(f"w{i}y{k}" for k in range(30))
+    page = "<body><main><p>Please sign up</p><h1>Title {0}</h1><h2>Summary</h2><p>{1}</p><h2>Background</h2><p>More {0}</p><p>Thank you for reading</p></main>"
+    card = "<body><div class=story><p>{1}</p></div><div class=cards><article><a href=x>Card {0}</a></article></div>"
+    rows = [(i, f"http://a.example/{i}", page.format(i, long(i))) for i in range(12)] * 2
+    rows += [(30 + i, f"http://b.example/{i}", card.format(i, long(i))) for i in range(7)] + [(50, "http://c.example/", card.format(50, long(50)))]
+    text = {r["page_id"]: r["text"] for r in templates.extract(page_frame(spark, rows)).collect()}
+    for i in range(12):
+        assert text[i] == f"Title {i} Summary {long(i)} Background More {i}"
+    for i in range(7):
+        assert text[30 + i] == long(i)
+    assert text[50].startswith(long(50))
+
+
+def test_templates_of_a_very_long_page(spark):
+    page = "<body><div class=n>Menu</div><div class=t>" + "".join(f"<p>paragraph {i} of it</p>" for i in range(20_000)) + "</div>"
+    got = templates.extract(page_frame(spark, [(i, "http://a.example/", page + str(i)) for i in range(5)])).collect()
+    assert len(got) == 5 and all(r["text"].startswith("paragraph 0 of it") and "paragraph 19999 of it" in r["text"] for r in got)
 
 
 def test_neighbours_against_all_pairs(spark):
