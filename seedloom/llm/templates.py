@@ -230,11 +230,15 @@ def classes(found: DataFrame, saved: Saved, least_pages: int = 5) -> DataFrame:
     are at least ``least_pages``.
     """
     flags = [F.bool_and("fit").alias("fit"), F.bool_or("hint").alias("hint"), F.bool_or("main").alias("main")]
-    once = found.groupBy("host", "slot", "text", "page").agg(F.max("n").alias("n"), F.max("place").alias("place"), *[F.max(c).alias(c) for c in ("chars", "linked", "above", "holder")], *flags)
-    once = saved(once)
+    # only the tokens of pages that repeat are sorted out, by page
+    repeated = saved(found.where((F.col("slot") == digest("")) & F.col("text").isNull()).groupBy("page").count().where("count > 1").select("page"))
+    once = found
+    if not repeated.isEmpty():
+        once = found.join(repeated, "page", "left_anti").unionByName(found.join(repeated, "page", "left_semi").distinct())
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector")
-    sums = [F.count("*").alias("pages"), vector, *[F.sum(c).alias(c) for c in ("chars", "linked")], *flags, F.max("above").alias("above"), F.max("holder").alias("holder")]
-    token = once.groupBy("host", "slot", "text").agg(*sums)
+    sums = [F.count("*").alias("pages"), vector, *[F.sum(c).alias(c) for c in ("chars", "linked")], *flags]
+    # what is above a slot depends on the slot alone; as a key it keeps the aggregate on fixed-width buffers
+    token = once.groupBy("host", "slot", "text", "above", "holder").agg(*sums)
     page = token.where((F.col("slot") == digest("")) & F.col("text").isNull()).select("host", F.col("vector").alias("whole"), F.col("pages").alias("host_pages"))
     token = saved(token.join(page, "host"))
     # a root token keeps its rank among the root tokens of every page
