@@ -54,8 +54,9 @@ def components(edges: DataFrame, saved: Saved) -> DataFrame:
 
     ``edges`` has long columns ``a`` and ``b``.  Alternating star contraction: every node
     hands its larger, then its smaller neighbours to the smallest one, until nothing
-    changes.  Groups are only reduced by ``min``, so a node of any degree is no burden,
-    and each round's edges are written to the shared folder.  Nodes without an edge to
+    changes.  Groups are only reduced by ``min``, and each round's edges are written to the shared folder.
+    So are the minima, so that both sides of a join with them are plain tables and Spark splits
+    the edges of a node of high degree over tasks.  Nodes without an edge to
     another node are not returned.  An empty table gives an empty result.
     """
 
@@ -69,13 +70,13 @@ def components(edges: DataFrame, saved: Saved) -> DataFrame:
     state = digest(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = saved(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        lowest = saved(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = saved(tidy(small))
-        saved.drop(large)
-        saved.drop(now)
+        for spent in (large, now, low, lowest):
+            saved.drop(spent)
         now, before, state = after, state, digest(after)
         if state == before:
             break

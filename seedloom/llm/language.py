@@ -20,7 +20,7 @@ LETTER = re.compile(r"[^\W\d_]")
 BUCKETS = 1 << 16
 #: ASCII bytes that are no letters become spaces; all other bytes stay.
 TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-FIELDS = "lang_pred string, score double, n_langs int, proportions array<double>"
+FIELDS = "lang_pred string, score double, n_langs int, proportions array<double>, nats double"
 BLOCK = 1 << 20
 
 
@@ -40,13 +40,14 @@ def trigrams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """Log probabilities of trigram buckets, one column per language."""
+    """Log probabilities of trigram buckets, one column per language; texts whose log-likelihood per trigram
+    is under ``floor`` are in none of the languages (see ``with_floor``)."""
 
-    def __init__(self, languages: list[str], logs: np.ndarray):
-        self.languages, self.logs = languages, logs
+    def __init__(self, languages: list[str], logs: np.ndarray, floor: float = -np.inf):
+        self.languages, self.logs, self.floor = languages, logs, floor
 
-    def mixtures(self, texts: list[str], penalty: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-        """For a block of texts with letters: proportions (rows: texts), size of the set."""
+    def mixtures(self, texts: list[str], penalty: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For a block of texts with letters: proportions (rows: texts), size of the set, log-likelihood per trigram."""
         clean = [t.lower().encode("utf-8", "surrogatepass").translate(TABLE) for t in texts]
         bucket, first = trigrams(b" " + b"  ".join(clean) + b"  ")
         # the words of each text, by the position of its first byte
@@ -72,18 +73,20 @@ class LanguageModel:
 
         whole, _ = climb(np.full((n, k), 1 / k), rounds)
         rank = np.argsort(np.argsort(-whole, axis=1, kind="stable"), axis=1)
-        best, best_pi, size = np.full(n, -np.inf), whole, np.ones(n, np.int64)
+        best, best_pi, size, nats = np.full(n, -np.inf), whole, np.ones(n, np.int64), np.zeros(n)
+        steps = np.bincount(of, np.diff(first, append=len(bucket)), minlength=n)
         for m in range(1, k + 1):
             if not (whole * (rank == m - 1)).max() > 1e-4:
                 break
             pi = np.where(rank < m, np.maximum(whole, 1e-6), 0)
             pi, fit = climb(pi / pi.sum(axis=1, keepdims=True), 0 if m == 1 else rounds // 2)
-            fit = fit - penalty * m * np.log(counts + 1)
+            plain, fit = fit, fit - penalty * m * np.log(counts + 1)
             better = fit > best + 1e-9
+            nats = np.where(better, plain / steps, nats)
             best = np.where(better, fit, best)
             best_pi = np.where(better[:, None], pi, best_pi)
             size = np.where(better, m, size)
-        return best_pi, size
+        return best_pi, size, nats
 
 
 def counts_by_language(docs: DataFrame, lang: str, text: str) -> DataFrame:
@@ -137,7 +140,7 @@ def language(text: str, model: LanguageModel, penalty: float = 1.0) -> Column:
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             pred = np.full(len(texts), "und", object)
-            score, size = np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+            score, size, nats = np.zeros(len(texts)), np.zeros(len(texts), np.int32), np.zeros(len(texts))
             parts: list = [[]] * len(texts)
             block: list[tuple[int, str]] = []
             held = 0
@@ -146,10 +149,10 @@ def language(text: str, model: LanguageModel, penalty: float = 1.0) -> Column:
                 if not block:
                     return
                 at = np.array([i for i, _ in block])
-                pi, n = model.mixtures([t for _, t in block], penalty)
+                pi, n, fit = model.mixtures([t for _, t in block], penalty)
                 top = pi.argmax(axis=1)
                 pred[at] = np.array(model.languages, object)[top]
-                score[at], size[at] = np.clip(pi[np.arange(len(at)), top], 0, 1), n
+                score[at], size[at], nats[at] = np.clip(pi[np.arange(len(at)), top], 0, 1), n, fit
                 for i, row in zip(at, pi):
                     parts[i] = row.tolist()
                 block.clear()
@@ -162,11 +165,24 @@ def language(text: str, model: LanguageModel, penalty: float = 1.0) -> Column:
                         flush()
                         held = 0
             flush()
-            yield pd.DataFrame({"lang_pred": pred, "score": score, "n_langs": size, "proportions": parts})
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "n_langs": size, "proportions": parts, "nats": nats})
 
     return apply.asNondeterministic()(F.col(text))
 
 
+def with_floor(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 2_000, tail: float = 0.001, margin: float = 2.0) -> LanguageModel:
+    """The model with the log-likelihood per trigram under which a text is in none of its languages.
+
+    ``margin`` nats under the ``tail`` quantile of ``sample`` documents with a language, taken by another
+    hash of the id than those learned from (``sample`` bounds what is scored here, not what is judged).
+    """
+    known = docs.where(F.col(doc_id).isNotNull() & F.col(text).rlike("\\p{L}") & F.col(lang).isNotNull())
+    ids = known.select(doc_id).orderBy(F.xxhash64(F.col(doc_id), F.lit("floor")), doc_id).limit(sample).distinct()
+    found = known.join(F.broadcast(ids), doc_id, "left_semi").select(language(text, model)["nats"].alias("nats"))
+    low = found.agg(F.percentile_approx("nats", tail, 10_000)).first()[0]
+    return LanguageModel(model.languages, model.logs, -np.inf if low is None else low - margin)
+
+
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ``FIELDS``, one row per row of ``docs``.
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Saved, components, merge_roots
@@ -29,8 +29,17 @@ EDGE = "v long, u long, sim double"
 
 
 def units(vectors: pd.Series) -> np.ndarray:
-    """Rows of doubles of length 1; all vectors have one dimension."""
-    x = np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), -1).astype(np.float64)
+    """Rows of doubles of length 1; all vectors have one dimension.
+
+    The last byte of a packed vector says whether it holds floats or doubles.  Rows are scaled before they are squared, so
+    that neither large nor small ones are lost.
+    """
+    vectors = list(vectors)
+    if not vectors:
+        return np.zeros((0, 0))
+    kind = np.float64 if vectors[0][-1:] == b"d" else np.float32
+    x = np.frombuffer(b"".join(v[:-1] for v in vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -45,12 +54,14 @@ def runs(*keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def packed(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """_id, dim, vec (float bytes) of the rows that can have a link."""
+    """_id, dim, vec (bytes of the column's own precision) of the rows that can have a link."""
+    kind = np.float32 if rows.schema[embedding].dataType.elementType.typeName() == "float" else np.float64
+    mark = b"f" if kind is np.float32 else b"d"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            vectors = [np.asarray(v, np.float32) + np.float32(0) for v in t["_v"]]
-            yield pd.DataFrame({"_id": t["_id"], "dim": [len(x) for x in vectors], "vec": [x.tobytes() for x in vectors]})
+            vectors = [np.asarray(v, kind) + kind(0) for v in t["_v"]]
+            yield pd.DataFrame({"_id": t["_id"], "dim": [len(x) for x in vectors], "vec": [x.tobytes() + mark for x in vectors]})
 
     good = rows.where(F.col(vec_id).isNotNull() & usable(embedding))
     return good.select(F.col(vec_id).cast("long").alias("_id"), F.col(embedding).alias("_v")).mapInPandas(pack, "_id long, dim int, vec binary")
@@ -105,13 +116,16 @@ def nearest_in_blocks(vectors: DataFrame, tables: int, k: int, seed: int) -> Dat
     return keyed.repartitionByRange(shares, *order).sortWithinPartitions(*order).mapInPandas(compare, EDGE)
 
 
-def shortlist(edges: DataFrame, limits: DataFrame, before: DataFrame | None) -> DataFrame:
+def shortlist(edges: DataFrame, limits: DataFrame, before: DataFrame | None, longest: int = 32) -> DataFrame:
     """v, most (list size), list of (sim, u, new), nearest first, from edges and the old lists."""
     if before is not None:
         edges = edges.unionByName(before.select("v", F.explode("list").alias("e")).select("v", "e.u", "e.sim"))
     # one entry for each neighbour: the last bits of a product can differ from block to block
     edges = edges.groupBy("v", "u").agg(F.max("sim").alias("sim"))
-    best = edges.groupBy("v").agg(F.collect_list(F.struct("sim", "u")).alias("all"))
+    # no more than the longest list of each vector gets past its task, however many candidates it has
+    order = Window.partitionBy("v").orderBy(F.desc("sim"), F.desc("u"))
+    best = edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= longest)
+    best = best.groupBy("v").agg(F.collect_list(F.struct("sim", "u")).alias("all"))
     best = best.join(limits, "v", "left").select("v", F.coalesce("most", F.lit(0)).alias("most"), F.slice(F.sort_array("all", False), F.lit(1), F.greatest(F.col("most"), F.lit(1))).alias("list"))
     if before is None:
         known = F.array().cast("array<bigint>")
@@ -243,6 +257,44 @@ def recall(vectors: DataFrame, linked: DataFrame, threshold: float, queries: int
     return {c: (len(x), float(np.mean(x)) if x else 1.0) for c, x in shares.items()}
 
 
+def planted(vectors: DataFrame, most: int) -> DataFrame:
+    """v, dim, vec, copies, origin: perturbed copies of at most ``most`` vectors, by hash, to measure the recall.
+
+    Their cosines to the origin are spread from 0.955 to 0.99; ids are those just under the smallest one (over the largest, if
+    there is no room).  A dimension of 1 has no other direction and gets none.
+    """
+    ends = vectors.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
+    some = vectors.where("dim > 1").select(F.xxhash64("v", F.lit("probe")).alias("h"), "v", "dim", "vec").orderBy("h", "v").limit(most)
+    number = F.row_number().over(Window.orderBy("h", "v"))
+    sign, base = (-1, ends["a"] or 0) if (ends["a"] or 0) > -(1 << 62) else (1, ends["b"])
+
+    def perturb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            out = []
+            for origin, dim, vec, n in zip(t["v"], t["dim"], t["vec"], t["n"]):
+                u = units([vec])[0]
+                rng = np.random.default_rng([n, dim])
+                w = rng.standard_normal(dim)
+                w -= (w @ u) * u
+                c = rng.uniform(0.955, 0.99)
+                x = (c * u + np.sqrt(1 - c * c) * w / np.sqrt(w @ w)).astype(np.float64 if vec[-1:] == b"d" else np.float32)
+                out.append((base + sign * n, dim, x.tobytes() + vec[-1:], 1, origin))
+            yield pd.DataFrame(out, columns=["v", "dim", "vec", "copies", "origin"])
+
+    return some.withColumn("n", number).drop("h").mapInPandas(perturb, "v long, dim int, vec binary, copies long, origin long")
+
+
+def planted_recall(probes: DataFrame, links: DataFrame, linked: DataFrame) -> tuple[int, float]:
+    """Number of planted vectors, and the share with a link into the component of their origin."""
+    home = linked.select(F.col("node"), "component")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    want = probes.select("v", "origin").join(home, probes["origin"] == home["node"], "left").select("v", F.coalesce("component", "origin").alias("want"))
+    got = both.join(F.broadcast(want), both["a"] == want["v"]).select("v", "want", "b")
+    got = got.join(home, got["b"] == home["node"], "left").where(F.coalesce("component", "b") == F.col("want"))
+    n, found = want.count(), got.select("v").distinct().count()
+    return n, found / n if n else 1.0
+
+
 def exact_links(vectors: DataFrame, threshold: float, block: int = 2_000) -> DataFrame:
     """a, b: edges that join just those vectors which links join, from all pairs, block by block.
 
@@ -279,19 +331,23 @@ def near_duplicates(
 
     ``longest`` bounds a list, not what is found: links inside a component are counted by the
     exact comparison.  At least ``audit`` vectors measure the recall in each of at most
-    ``attempts``; if it stays under ``least_recall``, all pairs are compared.
+    ``attempts``, and so do as many planted ones, which always have a link however rare links are; if
+    it stays under ``least_recall``, all pairs are compared.
     """
     saved = Saved(rows.sparkSession)
     good = saved(packed(rows, vec_id, embedding))
     vectors = saved(good.groupBy("dim", "vec").agg(F.min("_id").alias("v"), F.count("*").alias("copies")))
     n = vectors.count()
+    probes = saved(planted(vectors, audit)) if n else None
+    # planted vectors take part in the search, and in nothing else
+    searched = saved(vectors.select("dim", "vec", "v").unionByName(probes.select("dim", "vec", "v"))) if n else vectors
     graph: DataFrame | None = None
     linked: DataFrame | None = None
     for attempt in range(attempts if n else 0):
-        limits = vectors.select("v", F.lit(k).alias("most")) if graph is None else graph.select("v", "most")
-        edges = nearest_in_blocks(vectors, tables, k, attempt)
+        limits = searched.select("v", F.lit(k).alias("most")) if graph is None else graph.select("v", "most")
+        edges = nearest_in_blocks(searched, tables, k, attempt)
         for turn in range(rounds + 1):
-            after = saved(shortlist(edges, limits, graph))
+            after = saved(shortlist(edges, limits, graph, longest))
             # a saturated list, all links, doubles
             full = (F.size("list") >= F.col("most")) & (F.element_at("list", -1)["sim"] >= threshold) & (F.col("most") < longest)
             older, graph = graph, saved(after.withColumn("most", F.when(full, F.col("most") * 2).otherwise(F.col("most"))))
@@ -301,10 +357,12 @@ def near_duplicates(
             saved.drop(after)
             if turn == rounds or turn and changed <= settled * n * k:
                 break
-            edges = local_joins(graph, vectors.select("v", "vec"), attempt * (rounds + 1) + turn)
+            edges = local_joins(graph, searched.select("v", "vec"), attempt * (rounds + 1) + turn)
         links = graph.select(F.col("v").alias("a"), F.explode("list").alias("e")).where(F.col("e.sim") >= threshold).select("a", F.col("e.u").alias("b"))
-        linked = components(links, saved)
-        measured = recall(vectors, linked, threshold, audit, k)
+        ends = F.broadcast(probes.select("v"))
+        real = links.join(ends, links["a"] == ends["v"], "left_anti").join(ends, links["b"] == ends["v"], "left_anti")
+        linked = components(real, saved)
+        measured = recall(vectors, linked, threshold, audit, k) | {"planted": planted_recall(probes, links, linked)}
         log.info("attempt %d: recall %s", attempt, measured)
         if all(share >= least_recall for _, share in measured.values()):
             break
@@ -327,7 +385,7 @@ def near_duplicates(
 
 
 def usable(embedding: str):
-    """Whether a vector can have a link, as ``packed`` decides it: finite as floats, not zero."""
-    v = F.transform(embedding, lambda x: x.cast("float"))
+    """Whether a vector can have a link: finite, not zero."""
+    v = F.transform(embedding, lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.coalesce(finite & F.exists(v, lambda x: x.cast("double") * x.cast("double") > 0), F.lit(False))
+    return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))

@@ -448,7 +448,7 @@ def test_neighbours_recall_of_rare_pairs(spark, monkeypatch):
     x = rng.normal(size=(600, 16))
     x[:200] = x[0] + 0.01 * rng.normal(size=(200, 16))
     x[300:320] = x[320:340] + 0.01 * rng.normal(size=(20, 16))
-    rows = [(64, bytearray(v.astype(np.float32).tobytes()), i, 1) for i, v in enumerate(x)]
+    rows = [(64, bytearray(v.astype(np.float32).tobytes() + b"f"), i, 1) for i, v in enumerate(x)]
     vectors = spark.createDataFrame(rows, "dim int, vec binary, v long, copies long")
     linked = spark.createDataFrame([(i, 0) for i in range(200)], "node long, component long")
     got = neighbours.recall(vectors, linked, 0.95, 10, most=600, enough=600)
@@ -463,6 +463,38 @@ def test_neighbours_recall_of_rare_pairs(spark, monkeypatch):
     assert n == {i: 199 if i < 200 else int(300 <= i < 340) for i in range(600)}
 
 
+def test_neighbours_in_double_precision(spark):
+    """Doubles beyond the floats, and pairs on both sides of the threshold by less than a float can tell."""
+    cos = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(1, [1e39, 0.0]), (2, [1e39, 0.0]), (3, [0.0, 1e-60]), (4, [0.0, 3e-60]), (5, [-1.0, 0.0]), (6, [-v for v in cos(0.95 + 1e-12)]), (7, [0.0, -1.0]), (8, cos(0.95 - 1e-12)[::-1])]
+    rows[7] = (8, [-cos(0.95 - 1e-12)[1], -cos(0.95 - 1e-12)[0]])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
+
+
+def test_planted_vectors_measure_rare_links(spark):
+    """No real pair is near, and still the recall is measured; planted vectors leave no trace."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3_000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    saved = common.Saved(spark)
+    vectors = saved(neighbours.packed(df, "vec_id", "embedding").select("dim", "vec", F.col("_id").alias("v"), F.lit(1).cast("long").alias("copies")))
+    probes = neighbours.planted(vectors, 50)
+    rows = probes.collect()
+    assert len(rows) == 50 and {r["v"] for r in rows} == {-k for k in range(1, 51)}
+    for r in rows:
+        u = neighbours.units([r["vec"], x[r["origin"]].tobytes() + b"f"])
+        assert 0.954 < u[0] @ u[1] < 0.991
+    none = spark.createDataFrame([], "a long, b long")
+    linked = spark.createDataFrame([], "node long, component long")
+    assert neighbours.planted_recall(probes, none, linked) == (50, 0.0)
+    links = spark.createDataFrame([(r["origin"], r["v"]) for r in rows[:40]], "a long, b long")
+    assert neighbours.planted_recall(probes, links, linked) == (50, 0.8)
+    got = neighbours.near_duplicates(df).collect()
+    assert len(got) == 3_000 and all(r["n_links"] == 0 and r["kept"] for r in got)
+
+
 def test_shortlist_takes_a_neighbour_once(spark):
     edges = spark.createDataFrame([(1, 2, 0.9), (1, 2, 0.9000000001), (1, 3, 0.5)], neighbours.EDGE)
     limits = spark.createDataFrame([(1, 2)], "v long, most int")
@@ -472,7 +504,7 @@ def test_shortlist_takes_a_neighbour_once(spark):
 def test_exact_degrees_in_blocks(spark):
     rng = np.random.default_rng(6)
     x = (rng.normal(size=(1, 8)) + 0.2 * rng.normal(size=(120, 8))).astype(np.float32)
-    rows = [(0, i, bytearray(v.tobytes()), 1 + i % 3) for i, v in enumerate(x)]
+    rows = [(0, i, bytearray(v.tobytes() + b"f"), 1 + i % 3) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "component long, v long, vec binary, copies long")
     got = {r["v"]: r["n"] for r in neighbours.exact_degrees(df, block=20).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
@@ -481,6 +513,40 @@ def test_exact_degrees_in_blocks(spark):
     assert [got[i] for i in range(120)] == (near @ np.array([r[3] for r in rows])).tolist()
 
 
+def test_language_mixture_against_all_sets():
+    """The chosen set and its proportions, by EM over every set of languages, word by word."""
+    rng = np.random.default_rng(2)
+    words = {k: ["".join(rng.choice(list(letters), rng.integers(3, 8))) for _ in range(40)] for k, letters in {"aa": "abcde", "bb": "efghij", "cc": "jklmna"}.items()}
+    counts = np.full((language.BUCKETS, 3), 0.5)
+    for i, k in enumerate(words):
+        bucket, _ = language.trigrams(b" " + "  ".join(words[k]).encode() + b"  ")
+        counts[:, i] += np.bincount(bucket, minlength=language.BUCKETS)
+    model = language.LanguageModel(list(words), np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    texts = [" ".join(words["aa"][:30]), " ".join(words["aa"][:20] + words["bb"][:20]), " ".join(words["aa"][:15] + words["bb"][:15] + words["cc"][:30])]
+    pi, n, _ = model.mixtures(texts)
+    for row, size, text in zip(pi, n, texts):
+        like = []
+        for w in text.split():
+            bucket, _ = language.trigrams(b" " + w.encode() + b"  ")
+            like.append([sum(float(model.logs[b, i]) for b in bucket) for i in range(3)])
+        best = None
+        for mask in range(1, 8):
+            inside = [i for i in range(3) if mask >> i & 1]
+            p = [1 / len(inside)] * len(inside)
+            for _ in range(100):
+                share = [0.0] * len(inside)
+                for l in like:
+                    parts = [p[j] * np.exp(l[i] - max(l)) for j, i in enumerate(inside)]
+                    share = [s + x / sum(parts) for s, x in zip(share, parts)]
+                p = [s / len(like) for s in share]
+            fit = sum(max(l) + np.log(sum(p[j] * np.exp(l[i] - max(l)) for j, i in enumerate(inside))) for l in like)
+            fit -= len(inside) * np.log(len(like) + 1)
+            if best is None or fit > best[0]:
+                best = fit, {i: p[j] for j, i in enumerate(inside)}
+        assert size == len(best[1])
+        assert all(abs(row[i] - best[1].get(i, 0.0)) < 0.02 for i in range(3))
+
+
 def test_language_held_out_and_mixtures(spark, awkward):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     rows = registry.op7_language_mixture(spark, "/root/testdata/sf0.01").collect()
@@ -490,11 +556,17 @@ def test_language_held_out_and_mixtures(spark, awkward):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.train(d)
     some = {x: " ".join((r["text"] or "") for r in d.where(d["lang"] == x).limit(3).collect()).split()[:60] for x in ("de", "fr")}
-    pi, n = model.mixtures([" ".join(some["de"] + some["fr"]), " ".join(some["de"])])
+    pi, n, nats = model.mixtures([" ".join(some["de"] + some["fr"]), " ".join(some["de"])])
     assert n.tolist() == [2, 1] and abs(pi[0, model.languages.index("de")] - 0.5) < 0.15
     # the same mixture alone or in a block
-    alone, _ = model.mixtures([" ".join(some["de"] + some["fr"])])
+    alone, _, _ = model.mixtures([" ".join(some["de"] + some["fr"])])
     assert np.allclose(alone[0], pi[0])
+    floored = language.with_floor(d, model)
+    assert np.isfinite(floored.floor) and nats.min() > floored.floor
+    # a script that was never learned is under the floor, whatever language is nearest
+    strange = model.mixtures(["Съешь же ещё этих мягких французских булок да выпей чаю", "これは日本語の文章です そして とても長い"])[2]
+    assert strange.max() < floored.floor
+    assert language.with_floor(d.limit(0), model).floor == -np.inf
     rows = both(lambda t: language.identify(t, model), awkward)
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in rows if r["doc_id"] in (2, 3, 4, 6))
     assert len(rows) == len(AWKWARD)
