@@ -47,10 +47,11 @@ from .operators.kmers import (
     reference_kmers,
 )
 from .operators.masking import merge_intervals
+from .operators.overlaps import overlap_counts, overlapping_pairs
 from .operators.seeds import diagonal_histogram, seeds
-from .plans.index import Index, assign_profiles, build_index
+from .plans.index import Index, assign_profiles, build_index, profile_matches
 from .plans.mask import mask
-from .plans.scan import chain_stage, extend_stage, layout_for, scan, window_stage
+from .plans.scan import BYTES_PER_REF, CHAIN_BROADCAST_LIMIT, chain_stage, extend_stage, layout_for, scan, window_stage
 from .profile import DEFAULT_PROFILE, Profile
 from .session import read_table
 from .sources.fasta import parse_fasta_text, record_text
@@ -99,7 +100,7 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/benchmark.parquet").select(
         F.col("item_id").cast("int").alias("rid"),
         F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"),
-        F.regexp_extract("text", "^([A-Za-z]*)", 1).alias("comment"),
+        F.col("text").alias("comment"),
         text_as_sequence("text").alias("seq"),
     )
 
@@ -109,10 +110,10 @@ def index_of(spark: SparkSession, d: str, profile: Profile = PROFILE) -> Index:
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_BASES = ("ACGT" * 7)[:26]
-SEQ = (
-    f"translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS}{_LETTERS.upper()}', '{_BASES}{_BASES}')"
-)
+# every code point is a base: letters by alphabet position, other printable ASCII by code, the rest T
+_PRINTABLE = "".join(map(chr, range(32, 127)))
+_BASES = "".join("ACGT"[(_LETTERS.index(c.lower()) if c.isalpha() else ord(c)) % 4] for c in _PRINTABLE)
+SEQ = "translate(regexp_replace(text, '[^ -~]', 'T', 'g'), '{}', '{}')".format(_PRINTABLE.replace("'", "''"), _BASES)
 DOCS_CTE = f"docs AS (SELECT doc_id, {SEQ} AS seq FROM documents)"
 REFS_CTE = f"refs AS (SELECT CAST(item_id AS INTEGER) AS rid, {SEQ} AS seq FROM benchmark)"
 
@@ -186,7 +187,10 @@ def diagonal_spans(spark: SparkSession, d: str) -> DataFrame:
         )
         .filter("n >= 5")
     )
-    refs = index.refs.select("block", "rid", "rname", "rlen")
+    # names and lengths only; the index's own table would normalise and count the texts again
+    refs = references(spark, d).select(F.lit(0).alias("block"), "rid", F.col("name").alias("rname"), F.length("seq").alias("rlen"))
+    if index.stats[0]["n_refs"] * BYTES_PER_REF <= CHAIN_BROADCAST_LIMIT:
+        refs = F.broadcast(refs)
     span = F.col("qend") - F.col("qstart")
     minus = F.col("strand") == "-"
     return spans.join(refs, "rid").select(
@@ -350,12 +354,17 @@ def query_validation(spark, d):
     return s.select("doc_id", is_valid_query("raw").alias("valid"), F.md5(normalize_query("raw")).alias("digest"))
 
 
+_BY_TEXT = PROFILE.replace(name_pattern="^src1[0-4]$", comment_pattern="(?s)^[A-M].*(tion|ing)[s.]?")
+
+
 @_register(
     "regex_match",
-    "SELECT doc_id, regexp_matches(text, '(?s)^[A-M].*(tion|ing)[s.]?') AS hit FROM documents",
+    """SELECT doc_id, coalesce(regexp_matches(source, '^src1[0-4]$'), false)
+        OR coalesce(regexp_matches(text, '(?s)^[A-M].*(tion|ing)[s.]?'), false) AS hit FROM documents""",
 )
 def regex_match(spark, d):
-    return documents(spark, d).select("doc_id", F.col("text").rlike("(?s)^[A-M].*(tion|ing)[s.]?").alias("hit"))
+    """A profile's two patterns: the source as name, the text as comment."""
+    return documents(spark, d).select("doc_id", profile_matches(_BY_TEXT, "source", "text").alias("hit"))
 
 
 # ----------------------------------------------------------------------------- records
@@ -426,13 +435,10 @@ def reference_length_filter(spark, d):
 
 @_register(
     "dense_reference_ids",
-    f"""WITH {DOCS_CTE} SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS rid
-    FROM docs WHERE length(seq) BETWEEN 1 AND 32767""",
+    "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS rid FROM documents",
 )
 def dense_reference_ids_query(spark, d):
-    s = doc_sequences(spark, d).select(F.col("seq_id").alias("doc_id"), "seq").filter(F.length("seq") > 0)
-    kept = filter_reference_length(s, "seq", strict=False).select("doc_id")
-    return dense_reference_ids(kept, ["doc_id"]).select("doc_id", F.col("rid").cast("long").alias("rid"))
+    return dense_reference_ids(documents(spark, d).select("doc_id"), ["doc_id"]).select("doc_id", F.col("rid").cast("long").alias("rid"))
 
 
 _LOOKUP = [
@@ -445,8 +451,7 @@ _LOOKUP = [
 
 @_register(
     "profile_lookup",
-    """WITH r AS (SELECT item_id AS rid, 'item' || item_id AS name, regexp_extract(text, '^([A-Za-z]*)', 1) AS comment
-    FROM benchmark)
+    """WITH r AS (SELECT item_id AS rid, 'item' || item_id AS name, text AS comment FROM benchmark)
     SELECT rid, name, CASE WHEN regexp_matches(name, '^item[0-9]$') THEN 'first' WHEN regexp_matches(comment, '^[A-H]')
     THEN 'second' WHEN regexp_matches(name, '[02468]$') OR regexp_matches(comment, '^[I-Z]') THEN 'third'
     ELSE 'default' END AS profile FROM r""",
@@ -553,11 +558,10 @@ def seed_squash_default(spark, d):
 
 @_register(
     "seed_diagonals",
-    f"""{SEED_CTE} SELECT doc_id, rid, strand, qpos - rpos AS diagonal, count(*) AS n_seeds FROM hits
-    GROUP BY ALL HAVING count(*) >= 3""",
+    f"{SEED_CTE} SELECT doc_id, rid, strand, qpos - rpos AS diagonal, count(*) AS n_seeds FROM hits GROUP BY ALL",
 )
 def seed_diagonals(spark, d):
-    h = diagonal_histogram(seed_rows(doc_sequences(spark, d), index_of(spark, d), squash=False)).filter("n_seeds >= 3")
+    h = diagonal_histogram(seed_rows(doc_sequences(spark, d), index_of(spark, d), squash=False))
     return h.withColumnRenamed("seq_id", "doc_id")
 
 
@@ -612,6 +616,35 @@ def output_order(spark, d):
     )
 
 
+@_register(
+    "alignment_overlaps",
+    f"""{SPANS_CTE} SELECT a.doc_id, a.rid, a.strand, a.qstart, a.qend, a.rstart, count(b.rid) - 1 AS n_overlaps
+    FROM alns a JOIN alns b ON a.doc_id = b.doc_id AND a.qstart < b.qend AND b.qstart < a.qend
+    GROUP BY a.doc_id, a.rid, a.strand, a.qstart, a.qend, a.rstart""",
+)
+def alignment_overlaps(spark, d):
+    """How many other alignments of the document share query bases with each one."""
+    counted = overlap_counts(diagonal_spans(spark, d), "seq_id")
+    return counted.select(F.col("seq_id").alias("doc_id"), "rid", "strand", "qstart", "qend", "rstart", "n_overlaps")
+
+
+@_register(
+    "overlap_pairs",
+    f"""{SPANS_CTE} SELECT a.doc_id, a.rid AS rid_a, b.rid AS rid_b, a.qstart AS qstart_a, b.qstart AS qstart_b,
+        greatest(a.qstart, b.qstart) AS "start", least(a.qend, b.qend) AS "end"
+    FROM alns a JOIN alns b ON a.doc_id = b.doc_id AND a.qstart < b.qend AND b.qstart < a.qend AND a.rid < b.rid""",
+)
+def overlap_pairs(spark, d):
+    """Query stretches on which two references align, each pair once."""
+    spans = diagonal_spans(spark, d).select("seq_id", "rid", "qstart", "qend")
+    pairs = overlapping_pairs(spans, spans, "seq_id").filter("a.rid < b.rid")
+    return pairs.select(
+        F.col("a.seq_id").alias("doc_id"), F.col("a.rid").alias("rid_a"), F.col("b.rid").alias("rid_b"),
+        F.col("a.qstart").alias("qstart_a"), F.col("b.qstart").alias("qstart_b"),
+        F.greatest("a.qstart", "b.qstart").alias("start"), F.least("a.qend", "b.qend").alias("end"),
+    )
+
+
 # ------------------------------------------------------------------------------ masking
 GAP, MARGIN = 20, 5
 _MERGE_CTE = f"""{SPANS_CTE},

@@ -101,11 +101,14 @@ def normalize_query(c: Column | str, ambiguous: str = "A") -> Column:
 
 
 def text_as_sequence(c: Column | str) -> Column:
-    """Read prose as a base sequence: letters only, alphabet position modulo four."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    bases = ("ACGT" * 7)[:26]
-    kept = F.regexp_replace(_as_col(c), "[^A-Za-z]", "")
-    return F.translate(kept, letters + letters.upper(), bases * 2)
+    """Read prose as a base sequence, one base for every code point.
+
+    Letters A to Z give their alphabet position modulo four, other printable ASCII characters
+    their code modulo four, all others T.
+    """
+    printable = "".join(map(chr, range(32, 127)))
+    bases = "".join("ACGT"[(ord(x.lower()) - ord("a") if x.isalpha() else ord(x)) % 4] for x in printable)
+    return F.translate(F.regexp_replace(_as_col(c), "[^ -~]", "T"), printable, bases)
 
 
 def split_header(h: Column | str) -> tuple[Column, Column]:

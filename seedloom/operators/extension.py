@@ -3,12 +3,16 @@
 Batched over many pairs: each reference column is a handful of array operations over
 all pairs still alive.  The query axis is handled in blocks of eight rows, which live
 or drop as a whole.
+
+The path is found afterwards, also by all pairs together.  The state before every
+``STRETCH``-th column is kept; the columns of a stretch, with their path marks, are computed again when
+the walk back enters it, so marks never fill more than one stretch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,7 +25,9 @@ from ..profile import Profile
 BLOCK = 8
 NEG = -(1 << 28)
 PAD_SCORE = -64
-TRACE_CELLS = 1 << 26  # traceback bytes one step may hold
+STRETCH = 64  # columns between two kept states
+BATCH_PAIRS, BATCH_BYTES = 2048, 1 << 28  # pairs that step together, and what their columns may take
+CELL_BYTES = 48  # of a live cell: states, sums and marks
 
 _Q_CODE = np.full(256, 4, np.uint8)
 for _i, _b in enumerate("ACGT"):
@@ -29,9 +35,14 @@ for _i, _b in enumerate("ACGT"):
 _R_CODE = np.full(256, len(IUPAC_LETTERS), np.uint8)
 for _i, _b in enumerate(IUPAC_LETTERS):
     _R_CODE[ord(_b)] = _i
+_Q_MASK = np.array([IUPAC_MASK[b] for b in "ACGT"] + [0], np.uint8)
+_R_MASK = np.array([IUPAC_MASK[b] for b in IUPAC_LETTERS] + [0], np.uint8)
 
 # traceback bits of a cell
 S_FROM_F, S_FROM_E, U_FROM_E, F_EXTENDS, E_EXTENDS = 1, 2, 4, 8, 16
+# what the walk back is in: no gap, an insertion or a deletion that goes on
+IN_S, IN_F, IN_E = 0, 1, 2
+OP_M, OP_I, OP_D = 0, 1, 2
 
 
 class Scores:
@@ -86,54 +97,68 @@ def _column(U, lo, bottom, end_max, thr, s):
     return S, Fv, U, first, end, ok
 
 
-def extend_batch(queries: list[str], refs: list[str], s: Scores, trace: bool):
-    """Best extension of each pair.
-
-    Returns ``score, q_end, r_end`` arrays; with ``trace`` also the op strings in the
-    order from the far end back to the start, and match counts.
-    """
-    n = len(queries)
-    qlen = np.array([len(x) for x in queries], np.int64)
-    rlen = np.array([len(x) for x in refs], np.int64)
-    width = int((qlen.max() + 1 + BLOCK - 1) // BLOCK * BLOCK)
-    # row i of the matrix consumes query base i - 1
-    q = np.full((n, width), 4, np.uint8)
-    q[:, 1 : 1 + int(qlen.max())] = _codes(queries, _Q_CODE, 4, qlen, int(qlen.max()))
-    r = _codes(refs, _R_CODE, len(IUPAC_LETTERS), rlen, max(1, int(rlen.max())))
-
-    score = np.zeros(n, np.int32)
-    best_i = np.zeros(n, np.int64)
-    best_j = np.zeros(n, np.int64)
-    columns = []
-
-    rows = np.arange(n)
-    blen = (qlen + 1 + BLOCK - 1) // BLOCK
-    top = np.zeros(n, np.int64)
-    bottom = np.ones(n, np.int64)
-    lo = 0
-    S_prev = E_prev = None
-
-    for j in range(0, int(rlen.max()) + 1):
+@dataclass
+class Front:
+    """Pairs still alive (their numbers), their live blocks, and the last column from row ``lo`` on."""
+
+    rows: np.ndarray
+    top: np.ndarray
+    bottom: np.ndarray
+    lo: int
+    S: np.ndarray | None = None
+    E: np.ndarray | None = None
+
+
+class Batch:
+    """Pairs that are extended together, column by column of the reference."""
+
+    def __init__(self, queries: list[str], refs: list[str], s: Scores):
+        self.s = s
+        self.qlen = np.array([len(x) for x in queries], np.int64)
+        self.rlen = np.array([len(x) for x in refs], np.int64)
+        n, longest = len(queries), int(self.qlen.max())
+        self.width = int((longest + 1 + BLOCK - 1) // BLOCK * BLOCK)
+        # row i of the matrix consumes query base i - 1
+        self.q = np.full((n, self.width), 4, np.uint8)
+        self.q[:, 1 : 1 + longest] = _codes(queries, _Q_CODE, 4, self.qlen, longest)
+        self.r = _codes(refs, _R_CODE, len(IUPAC_LETTERS), self.rlen, max(1, int(self.rlen.max())))
+        self.blen = (self.qlen + 1 + BLOCK - 1) // BLOCK
+        self.score = np.zeros(n, np.int32)
+        self.best_i = np.zeros(n, np.int64)
+        self.best_j = np.zeros(n, np.int64)
+
+    def first(self) -> Front:
+        n = len(self.qlen)
+        return Front(np.arange(n), np.zeros(n, np.int64), np.ones(n, np.int64), 0)
+
+    def column(self, at: Front, j: int, score: np.ndarray, trace: bool):
+        """Column ``j``: the next front (``None`` at the end), the pairs it has, its first row, marks and ``S`` of the body.
+
+        ``score`` is each pair's best so far, which the drop is measured from.
+        """
+        s, q, r, rlen = self.s, self.q, self.r, self.rlen
+        rows, top, bottom, lo, S_prev, E_prev = at.rows, at.top, at.bottom, at.lo, at.S, at.E
         if j > 0:
             live = rlen[rows] >= j
             if not live.all():
                 rows, top, bottom = rows[live], top[live], bottom[live]
                 S_prev, E_prev = S_prev[live], E_prev[live]
             if not len(rows):
-                break
+                return None, rows, 0, None, None
         thr = score[rows] - s.xdrop
-        end_max = blen[rows]
+        end_max = self.blen[rows]
         m = len(rows)
         spare = 1
         while True:
             # slice of query rows this column may touch
             new_lo = int(top.min()) * BLOCK
-            new_hi = min(width, (int(bottom.max()) + spare) * BLOCK)
+            new_hi = min(self.width, (int(bottom.max()) + spare) * BLOCK)
             w = new_hi - new_lo
             if j == 0:
                 U = np.full((m, w), NEG, np.int32)
                 U[:, 0] = 0
                 E_in = np.full((m, w), NEG, np.int32)
+                diag = None
             else:
                 E_in = np.full((m, w), NEG, np.int32)
                 diag = np.full((m, w), NEG, np.int32)
@@ -155,124 +180,145 @@ def extend_batch(queries: list[str], refs: list[str], s: Scores, trace: bool):
                 diag = np.maximum(diag + sc, NEG)
                 U = np.maximum(diag, E_in)
             S, Fv, U2, first, end, ok = _column(U, new_lo, bottom, end_max, thr, s)
-            if new_hi < width and (ok & (end * BLOCK >= new_hi) & (end < end_max)).any():
+            if new_hi < self.width and (ok & (end * BLOCK >= new_hi) & (end < end_max)).any():
                 spare += 2
                 continue
             break
-        lo = new_lo
-        block = lo // BLOCK + np.arange(w // BLOCK)
+        block = new_lo // BLOCK + np.arange(w // BLOCK)
         inside = (block >= first[:, None]) & (block < end[:, None]) & ok[:, None]
         cells = np.repeat(inside, BLOCK, axis=1)
-        E_out = np.maximum(E_in, U2 - s.del_open)
+        code = None
         if trace:
             code = np.zeros((m, w), np.uint8)
             code[S > U2] = S_FROM_F
-            code[(S == U2) & (U2 > diag if j else False)] |= S_FROM_E
             if j:
+                code[(S == U2) & (U2 > diag)] |= S_FROM_E
                 code[U2 > diag] |= U_FROM_E
-            ext = Fv[:, :-1] >= U2[:, :-1] - s.ins_open
-            code[:, 1:][ext] |= F_EXTENDS
+            code[:, 1:][Fv[:, :-1] >= U2[:, :-1] - s.ins_open] |= F_EXTENDS
             code[E_in >= U2 - s.del_open] |= E_EXTENDS
-            columns.append((rows, lo, code))
-        if j > 0:
-            body = np.repeat(inside & (block < bottom[:, None]), BLOCK, axis=1)
-            masked = np.where(body, S, NEG)
-            at = masked.argmax(axis=1)
-            top_score = masked[np.arange(m), at]
-            better = top_score > score[rows]
-            which = rows[better]
-            score[which] = top_score[better]
-            best_i[which] = lo + at[better]
-            best_j[which] = j
-        S_prev = np.where(cells, S, NEG)
-        E_prev = np.where(cells, E_out, NEG)
-        top, bottom = first, end
+        body = np.where(np.repeat(inside & (block < bottom[:, None]), BLOCK, axis=1), S, NEG) if j else None
+        S_next = np.where(cells, S, NEG)
+        E_next = np.where(cells, np.maximum(E_in, U2 - s.del_open), NEG)
+        then = Front(rows, first, end, new_lo, S_next, E_next)
         if not ok.all():
-            rows, top, bottom = rows[ok], top[ok], bottom[ok]
-            S_prev, E_prev = S_prev[ok], E_prev[ok]
-            if not len(rows):
+            then = Front(rows[ok], first[ok], end[ok], new_lo, S_next[ok], E_next[ok]) if ok.any() else None
+        return then, rows, new_lo, code, body
+
+    def run(self, keep: bool) -> list[tuple[Front, np.ndarray]]:
+        """Scores and ends of all pairs; with ``keep`` the states before every ``STRETCH``-th column."""
+        kept = []
+        at: Front | None = self.first()
+        for j in range(0, int(self.rlen.max()) + 1):
+            if keep and j % STRETCH == 0:
+                kept.append((at, self.score.copy()))
+            at, rows, lo, _, body = self.column(at, j, self.score, False)
+            if body is not None:
+                self._note(rows, lo, j, body, self.score, self.best_i, self.best_j)
+            if at is None:
                 break
+        return kept
+
+    def _note(self, rows, lo, j, body, score, best_i=None, best_j=None) -> None:
+        where = body.argmax(axis=1)
+        top_score = body[np.arange(len(rows)), where]
+        better = top_score > score[rows]
+        which = rows[better]
+        score[which] = top_score[better]
+        if best_i is not None:
+            best_i[which] = lo + where[better]
+            best_j[which] = j
+
+    def paths(self, kept: list[tuple[Front, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Steps of every pair from its far end back, their numbers, and the matches among them."""
+        n = len(self.qlen)
+        i, j = self.best_i.copy(), self.best_j.copy()
+        steps = np.zeros((n, max(1, int((i + j).max(initial=0)))), np.uint8)
+        count, matches = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        state = np.full(n, IN_S, np.uint8)
+        for t in range(len(kept) - 1, -1, -1):
+            a = t * STRETCH
+            pairs = np.flatnonzero((j >= a) & (i + j > 0))
+            if len(pairs):
+                self._walk(*self._marks(a, int(j[pairs].max()), *kept[t]), a, pairs, i, j, state, steps, count, matches)
+        return steps, count, matches
+
+    def _marks(self, a: int, b: int, at: Front, score: np.ndarray):
+        """Marks of the columns ``a`` to ``b`` in one flat array, with each pair's offset in each column."""
+        score = score.copy()
+        flat, size = [], 0
+        offset = np.zeros((b - a + 1, len(self.qlen)), np.int64)
+        for j in range(a, b + 1):
+            at, rows, lo, code, body = self.column(at, j, score, True)
+            if body is not None:
+                self._note(rows, lo, j, body, score)
+            offset[j - a, rows] = size + np.arange(len(rows)) * code.shape[1] - lo
+            flat.append(code.ravel())
+            size += code.size
+        return np.concatenate(flat), offset
+
+    def _walk(self, marks, offset, a, pairs, i, j, state, steps, count, matches) -> None:
+        """Each pair takes steps back until it leaves the stretch; all pairs step together.
+
+        Diagonal first, then insertion, then deletion.  After a deletion only a diagonal step or
+        a further deletion may follow.
+        """
+        while len(pairs):
+            pi, pj = i[pairs], j[pairs]
+            c = marks[offset[pj - a, pairs] + pi]
+            now = state[pairs]
+            insert = (now == IN_F) | (now == IN_S) & (c & S_FROM_F > 0)
+            delete = ~insert & ((c & (S_FROM_E | U_FROM_E) > 0) | (now == IN_E) & (c & E_EXTENDS > 0))
+            straight = ~insert & ~delete
+            hit = straight & (_Q_MASK[self.q[pairs, pi]] & _R_MASK[self.r[pairs, np.maximum(pj - 1, 0)]] > 0)
+            matches[pairs] += hit
+            steps[pairs, count[pairs]] = np.where(insert, OP_I, np.where(delete, OP_D, OP_M))
+            count[pairs] += 1
+            state[pairs] = np.where(insert & (c & F_EXTENDS > 0), IN_F, np.where(delete, IN_E, IN_S))
+            i[pairs] = pi = pi - (straight | insert)
+            j[pairs] = pj = pj - (straight | delete)
+            pairs = pairs[(pj >= a) & (pi + pj > 0)]
+
+
+def cigars(steps: np.ndarray, count: np.ndarray, swap: bool = False) -> list[str]:
+    """Run lengths of each row's first ``count`` steps as text."""
+    names = "MDI" if swap else "MID"
+    used = np.arange(steps.shape[1]) < count[:, None]
+    flat = steps[used]
+    row = np.repeat(np.arange(len(count)), count)
+    start = np.flatnonzero((np.diff(flat, prepend=255) != 0) | (np.diff(row, prepend=-1) != 0))
+    length = np.diff(start, append=len(flat))
+    runs = [f"{k}{names[op]}" for k, op in zip(length.tolist(), flat[start].tolist())]
+    ends = np.cumsum(np.bincount(row[start], minlength=len(count))).tolist()
+    return ["".join(runs[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def extend_batch(queries: list[str], refs: list[str], s: Scores, trace: bool, swap: bool = False):
+    """Best extension of each pair.
 
+    Returns ``score, q_end, r_end`` arrays; with ``trace`` also the CIGAR texts in the
+    order from the far end back to the start, and match counts.
+    """
+    batch = Batch(queries, refs, s)
+    kept = batch.run(trace)
+    ends = batch.score, batch.best_i, batch.best_j
     if not trace:
-        return score, best_i, best_j
-    place = []
-    for live_rows, _, _ in columns:
-        at = np.full(n, -1, np.int32)
-        at[live_rows] = np.arange(len(live_rows))
-        place.append(at)
-    paths, matches = [], np.zeros(n, np.int64)
-    for x in range(n):
-        path = _trace(columns, place, x, int(best_i[x]), int(best_j[x]))
-        paths.append(path)
-        matches[x] = _count_matches(path, queries[x], refs[x], int(best_i[x]), int(best_j[x]))
-    return score, best_i, best_j, paths, matches
-
-
-def _trace(columns, place, x, i, j) -> str:
-    """Op string from the far end: diagonal first, then insertion, then deletion."""
-    ops = []
-    in_u = False  # True after a deletion opened: only a diagonal or deletion may follow
-    while i > 0 or j > 0:
-        _, lo, code = columns[j]
-        c = int(code[place[j][x], i - lo])
-        if not in_u and c & S_FROM_F:
-            while True:
-                extends = c & F_EXTENDS
-                ops.append("I")
-                i -= 1
-                if not extends:
-                    break
-                c = int(code[place[j][x], i - lo])
-        elif c & (S_FROM_E | U_FROM_E):
-            while True:
-                ops.append("D")
-                j -= 1
-                _, lo, code = columns[j]
-                c = int(code[place[j][x], i - lo])
-                if not c & E_EXTENDS:
-                    break
-            in_u = True
-            continue
-        else:
-            ops.append("M")
-            i -= 1
-            j -= 1
-        in_u = False
-    return "".join(ops)
-
-
-def _count_matches(path: str, q: str, r: str, i: int, j: int) -> int:
-    hit = 0
-    for op in path:
-        if op == "M":
-            i -= 1
-            j -= 1
-            hit += IUPAC_MASK.get(q[i], 0) & IUPAC_MASK.get(r[j], 0) != 0
-        elif op == "I":
-            i -= 1
-        else:
-            j -= 1
-    return hit
-
-
-def cigar(path: str, swap: bool = False) -> str:
-    names = {"M": "M", "I": "D", "D": "I"} if swap else {"M": "M", "I": "I", "D": "D"}
-    return "".join(f"{sum(1 for _ in run)}{names[op]}" for op, run in groupby(path))
-
-
-def _steps(q: pd.Series, r: pd.Series, trace: bool) -> Iterator[np.ndarray]:
+        return ends
+    steps, count, matches = batch.paths(kept)
+    return *ends, cigars(steps, count, swap), matches
+
+
+def _steps(q: pd.Series, r: pd.Series) -> Iterator[np.ndarray]:
     """Row numbers grouped by similar reference length, each group bounded in memory."""
-    lengths = r.str.len().to_numpy()
-    order = np.argsort(lengths, kind="stable")
+    q_len, r_len = q.str.len().to_numpy(), r.str.len().to_numpy()
+    order = np.lexsort((q_len, r_len))
     at = 0
     while at < len(order):
-        size = 2048
-        if trace:
-            while size > 1:
-                longest = int(lengths[order[min(at + size, len(order)) - 1]])
-                if size * (longest + 1) * 96 <= TRACE_CELLS:
-                    break
-                size //= 2
+        size = BATCH_PAIRS
+        while size > 1:
+            some = order[at : at + size]
+            if len(some) * int(q_len[some].max() * CELL_BYTES + r_len[some].max()) <= BATCH_BYTES:
+                break
+            size //= 2
         yield order[at : at + size]
         at += size
 
@@ -285,7 +331,7 @@ def extend_udf(profile: Profile) -> Callable[..., Column]:
     def run(q: pd.Series, r: pd.Series) -> pd.DataFrame:
         out = np.zeros((len(q), 3), np.int32)
         qs, rs = q.tolist(), r.tolist()
-        for idx in _steps(q, r, False):
+        for idx in _steps(q, r):
             a, b, c = extend_batch([qs[i] for i in idx], [rs[i] for i in idx], s, False)
             out[idx, 0], out[idx, 1], out[idx, 2] = a, b, c
         return pd.DataFrame(out, columns=["score", "qadv", "radv"])
@@ -302,11 +348,10 @@ def extend_trace_udf(profile: Profile, legacy_ops: bool = False) -> Callable[...
         out = np.zeros((len(q), 4), np.int32)
         text = np.empty(len(q), object)
         qs, rs = q.tolist(), r.tolist()
-        for idx in _steps(q, r, True):
-            a, b, c, paths, m = extend_batch([qs[i] for i in idx], [rs[i] for i in idx], s, True)
+        for idx in _steps(q, r):
+            a, b, c, texts, m = extend_batch([qs[i] for i in idx], [rs[i] for i in idx], s, True, legacy_ops)
             out[idx, 0], out[idx, 1], out[idx, 2], out[idx, 3] = a, b, c, m
-            for i, p in zip(idx, paths):
-                text[i] = cigar(p, legacy_ops)
+            text[idx] = texts
         frame = pd.DataFrame(out, columns=["score", "qspan", "rspan", "matches"])
         frame["cigar"] = text
         return frame

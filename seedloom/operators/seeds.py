@@ -10,8 +10,8 @@ from ..functions.scoring import rotate_u, rotate_v
 # A hashed build-side row of the k-mer index costs about this much in an executor.
 BYTES_PER_INDEX_ROW = 96
 BROADCAST_LIMIT = 512 << 20
-# Rows of one k-mer a task should see at most in the shuffled join.
-ROWS_PER_SALT = 4_000_000
+# Rows of one k-mer, of either side, that meet in one cell of the shuffled join: 4 million pairs at most.
+ROWS_PER_CELL = 2_000
 
 
 def keep_seed(k: int, interval: int) -> Column:
@@ -25,28 +25,48 @@ def join_kmers(q_kmers: DataFrame, r_kmers: DataFrame, n_index_rows: int, limit:
     """Every (query k-mer, reference k-mer) pair with equal bases.
 
     The index side is broadcast only while its counted rows fit ``limit``; the query
-    side, the big one, is then not shuffled at all.  Beyond it both sides are shuffled,
-    and a k-mer that occurs often is split over several salts.
+    side, the big one, is then not shuffled at all.  Beyond it both sides are shuffled, and a k-mer
+    that is frequent on either side is dealt to a grid of cells.
     """
     if n_index_rows * BYTES_PER_INDEX_ROW <= limit:
         return q_kmers.join(F.broadcast(r_kmers), "kmer")
-    return _salted_join(q_kmers, r_kmers)
+    return _grid_join(q_kmers, r_kmers)
 
 
-def _salted_join(q_kmers: DataFrame, r_kmers: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    # at most 4**9 distinct keys exist, so this table has a fixed size bound
-    salts = (
-        q_kmers.groupBy("kmer")
-        .agg(F.count("*").alias("_n"))
-        .select("kmer", F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_s"))
-        .filter("_s > 1")
+def _heavy_kmers(q_kmers: DataFrame, r_kmers: DataFrame, per_cell: int) -> DataFrame:
+    """``(kmer, _rows, _cols)`` of the k-mers that need more than one cell.
+
+    Rows are counted on both sides before the join.  At most 4**9 distinct keys exist, so
+    this table has a fixed size bound.
+    """
+    q = q_kmers.groupBy("kmer").agg(F.count("*").alias("_q"))
+    r = r_kmers.groupBy("kmer").agg(F.count("*").alias("_r"))
+    grid = q.join(r, "kmer").select(
+        "kmer", F.ceil(F.col("_q") / per_cell).cast("int").alias("_rows"), F.ceil(F.col("_r") / per_cell).cast("int").alias("_cols")
     )
-    salts = F.broadcast(salts)
-    spread = F.pmod(F.xxhash64("seq_id", "qpos"), F.coalesce("_s", F.lit(1)))
-    left = q_kmers.join(salts, "kmer", "left").withColumn("_salt", spread.cast("int")).drop("_s")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))
-    right = r_kmers.join(salts, "kmer", "left").withColumn("_salt", every).drop("_s")
-    return left.hint("shuffle_hash").join(right.hint("shuffle_hash"), ["kmer", "_salt"]).drop("_salt")
+    return grid.filter("_rows > 1 or _cols > 1")
+
+
+def _grid_join(q_kmers: DataFrame, r_kmers: DataFrame, per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """Join by k-mer; a heavy k-mer's pairs are spread over a grid of cells.
+
+    A query row belongs to one row of the grid and is copied to its columns, an index row to one
+    column and is copied to its rows, so each pair meets in one cell, of at most about
+    ``per_cell`` squared pairs.  Light k-mers have one cell.  The join may sort and spill.
+    """
+    heavy = F.broadcast(_heavy_kmers(q_kmers, r_kmers, per_cell))
+    one = F.lit(1)
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(n, one) - 1))
+
+    def spread(n: str, *by: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.coalesce(n, one)).cast("int")
+
+    left = q_kmers.join(heavy, "kmer", "left").withColumn("_row", spread("_rows", "seq_id", "qpos")).withColumn("_col", every("_cols"))
+    right = r_kmers.join(heavy, "kmer", "left").withColumn("_col", spread("_cols", "rid", "strand", "rpos")).withColumn("_row", every("_rows"))
+    sides = (x.drop("_rows", "_cols") for x in (left, right))
+    return next(sides).join(next(sides), ["kmer", "_row", "_col"]).drop("_row", "_col")
 
 
 def seeds(

@@ -9,7 +9,7 @@ import warnings
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import normalize_reference
@@ -36,24 +36,24 @@ class Index:
         return self
 
 
-def assign_profiles(refs: DataFrame, profiles: list[Profile]) -> DataFrame:
-    """``pid`` of the first profile, in file order, with a matching pattern; else the last.
+def profile_matches(profile: Profile, name: str = "rname", comment: str = "rcomment") -> Column:
+    """Whether a profile takes a reference: either pattern matches, or it has none."""
+    hits = [
+        F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+        for c, pattern in ((name, profile.name_pattern), (comment, profile.comment_pattern))
+        if pattern is not None
+    ]
+    return reduce(lambda a, b: a | b, hits) if hits else F.lit(True)
 
-    A profile with a name and a comment pattern is taken when either matches; one without
-    patterns takes every reference.
+
+def assign_profiles(refs: DataFrame, profiles: list[Profile]) -> DataFrame:
+    """``pid`` of the first profile, in file order, that takes the reference; else the last.
 
     One CASE expression over the few profiles, evaluated in the scan of the references.
     """
     choice = F.lit(len(profiles) - 1)
     for pid in reversed(range(len(profiles) - 1)):
-        p = profiles[pid]
-        hits = []
-        if p.name_pattern is not None:
-            hits.append(F.col("rname").rlike(p.name_pattern))
-        if p.comment_pattern is not None:
-            hits.append(F.coalesce(F.col("rcomment"), F.lit("")).rlike(p.comment_pattern))
-        hit = reduce(lambda a, b: a | b, hits) if hits else F.lit(True)
-        choice = F.when(hit, F.lit(pid)).otherwise(choice)
+        choice = F.when(profile_matches(profiles[pid]), F.lit(pid)).otherwise(choice)
     return refs.withColumn("pid", choice)
 
 

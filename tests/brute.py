@@ -240,3 +240,15 @@ def scan(queries, refs, p, seed_fn=seeds):
                         best[key] = row
         out += best.values()
     return sorted(out)
+
+
+def cigar(path, swap=False):
+    """Run lengths of a path, one letter for each step."""
+    names = {"M": "M", "I": "D", "D": "I"} if swap else {"M": "M", "I": "I", "D": "D"}
+    out = []
+    for op in path:
+        if out and out[-1][1] == names[op]:
+            out[-1][0] += 1
+        else:
+            out.append([1, names[op]])
+    return "".join(f"{n}{op}" for n, op in out)

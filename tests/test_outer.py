@@ -5,7 +5,6 @@ import pytest
 
 import __spark_entry__ as entry
 from seedloom import catalog, cli
-from seedloom.operators.extension import cigar
 from seedloom.plans.index import build_index
 from seedloom.profile import DEFAULT_PROFILE
 from seedloom.sources.fasta import read_fasta
@@ -105,7 +104,7 @@ def test_scan_query_equals_restatement_on_whole_tables(spark):
     want = []
     for qn, rn in pairs:
         found = brute.scan([(qn, docs[qn])], [(rn, dict(refs)[rn])], catalog.PROFILE, quick)
-        want += [(*x[:-1], cigar(x[-1])) for x in found]
+        want += [(*x[:-1], brute.cigar(x[-1])) for x in found]
     assert got == sorted(want)
 
 

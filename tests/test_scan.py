@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from seedloom.operators.extension import cigar
 from seedloom.plans.index import assign_profiles, build_index, load_index, save_index
 from seedloom.plans.mask import mask
 from seedloom.plans.scan import prepare_queries, rejected_queries, scan
@@ -51,7 +50,7 @@ def rows(df):
 
 
 def expected(refs, queries, p):
-    return [(*x[:-1], cigar(x[-1])) for x in brute.scan(queries, refs, p)]
+    return [(*x[:-1], brute.cigar(x[-1])) for x in brute.scan(queries, refs, p)]
 
 
 @pytest.mark.parametrize("seed,k", [(1, 4), (2, 5), (3, 6)])

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seedloom.operators import chains as C
-from seedloom.operators.extension import Scores, cigar, extend_batch
+from seedloom.operators import overlaps as O
+from seedloom.operators import seeds as S
+from seedloom.operators import extension as X
+from seedloom.operators.extension import Scores, extend_batch
 from seedloom.operators.flanks import band_scores
 from seedloom.operators.kmers import (
     PieceLayout,
@@ -20,7 +23,7 @@ from seedloom.operators.kmers import (
     reference_kmers,
 )
 from seedloom.operators.masking import lowercase_intervals, merge_intervals
-from seedloom.operators.seeds import _salted_join, seeds
+from seedloom.operators.seeds import _grid_join, seeds
 from seedloom.plans.index import build_index
 from seedloom.plans.mask import mask
 from seedloom.profile import DEFAULT_PROFILE, Profile
@@ -78,7 +81,7 @@ def test_pieces_cover_every_kmer_once(spark):
         )
 
 
-def test_seeds_and_salted_join(spark):
+def test_seeds_and_grid_join(spark):
     rng = random.Random(4)
     q = "".join(rng.choice("AC") for _ in range(120))
     r = "".join(rng.choice("AC") for _ in range(60))
@@ -93,20 +96,63 @@ def test_seeds_and_salted_join(spark):
         for strand, oriented in (("+", r), ("-", brute.revcomp(r))):
             assert sorted((x.qpos, x.rpos) for x in got if x.strand == strand) == brute.seeds(q, oriented, 4, 16)
     plain = sorted(map(tuple, qk.join(rk, "kmer").collect()), key=str)
-    assert sorted(map(tuple, _salted_join(qk, rk, rows_per_salt=3).select(*qk.join(rk, "kmer").columns).collect()), key=str) == plain
+    assert sorted(map(tuple, _grid_join(qk, rk, per_cell=3).select(*qk.join(rk, "kmer").columns).collect()), key=str) == plain
+
+
+def test_heavy_kmers_are_dealt_to_a_grid(spark):
+    """One base only: every pair of k-mers matches, and no cell takes more than its share."""
+    refs = spark.createDataFrame([(i, "A" * 30) for i in range(12)], "rid int, rseq string")
+    rk = coded_kmers(dedup_kmers(reference_kmers(refs, 4))).filter("strand = '+'")
+    q = spark.createDataFrame([(i, "A" * 50 + "C") for i in range(9)], "seq_id long, seq string")
+    qk = query_kmers(query_pieces(q, PieceLayout.of(30, DEFAULT_PROFILE)), 4, coded=True)
+    heavy = S._heavy_kmers(qk, rk, 20).collect()
+    assert [(r["_rows"], r["_cols"]) for r in heavy] == [(-(-9 * 47 // 20), -(-12 * 27 // 20))]
+    joined = S._grid_join(qk, rk, per_cell=20)
+    assert joined.count() == 9 * 47 * 12 * 27
+    assert joined.distinct().count() == 9 * 47 * 12 * 27
+    assert "shuffle_hash" not in S._grid_join(qk, rk)._jdf.queryExecution().toString()
+
+
+# ----------------------------------------------------------------------------- overlaps
+def test_overlaps_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 2), i, s, s + rng.choice([0, 1, 5, 40, 300])) for i in range(150) for s in [rng.randint(0, 400)]]
+    rows += [(0, 1000 + i, 7, 9) for i in range(5)] + [(None, 2000, 1, 5), (1, 2001, None, 5), (1, 2002, 0, 5_000)]
+    df = spark.createDataFrame(rows, "seq_id long, n int, qstart long, qend long").withColumn("pos", F.lit(3)).withColumn("bin", F.lit(3))
+    real = [r for r in rows if None not in r and r[2] < r[3]]
+    want = sorted((a[1], b[1]) for a in real for b in real if a[0] == b[0] and a[1] != b[1] and a[2] < b[3] and b[2] < a[3])
+    for width in (8, 64, 1 << 20):
+        pairs = O.overlapping_pairs(df, df, "seq_id", width=width)
+        got = sorted((r["a"]["n"], r["b"]["n"]) for r in pairs.collect() if r["a"]["n"] != r["b"]["n"])
+        assert got == want
+        counts = {r["n"]: r["n_overlaps"] for r in O.overlap_counts(df, "seq_id", width=width).collect()}
+        assert len(counts) == len(rows)
+        assert counts == {r[1]: sum(a == r[1] for a, _ in want) for r in rows}
+    assert O.overlap_counts(df.limit(0), "seq_id").count() == 0
+
+
+def test_overlaps_of_a_very_dense_read(spark):
+    """A million hits on one read: the counts need no pair and no sort of the whole read."""
+    n = 1_000_000
+    hits = spark.range(n).select(F.lit(1).alias("seq_id"), (F.col("id") % 5_000).alias("qstart"), (F.col("id") % 5_000 + 10).alias("qend"))
+    got = O.overlap_counts(hits, "seq_id").groupBy("qstart").agg(F.min("n_overlaps").alias("a"), F.max("n_overlaps").alias("b"))
+    rows = {r["qstart"]: (r["a"], r["b"]) for r in got.collect()}
+    assert rows[0] == (200 * 10 - 1,) * 2 and rows[2_500] == (200 * 19 - 1,) * 2
 
 
 # ------------------------------------------------------------------------------- chains
+WIDE = 1 << 40  # a piece that no test query leaves
+
+
+def packed_seeds(points):
+    uv = np.array(sorted((2 * q - r, 2 * r - q) for q, r in points)).reshape(-1, 2)
+    return uv[:, 0], uv[:, 1]
+
+
 def linked(points, window, min_seeds, k=4):
-    uv = sorted((2 * q - r, 2 * r - q) for q, r in points)
-    u, v = [x for x, _ in uv], [y for _, y in uv]
-    out = []
-    ahead = C.nearest_ahead(np.array(u), np.array(v), np.zeros(len(u), int), window).tolist()
-    for a, b, n in C.link_seeds(u, v, ahead, window, min_seeds):
-        q0, r0 = (2 * u[a] + v[a]) // 3, (2 * v[a] + u[a]) // 3
-        q1, r1 = (2 * u[b] + v[b]) // 3, (2 * v[b] + u[b]) // 3
-        out.append((q0, r0, q1 - q0 + k + 1, r1 - r0 + k + 1, n))
-    return out
+    u, v = packed_seeds(points)
+    rule = C.Rule(window, min_seeds, k, WIDE, 0, WIDE)
+    return [x[5:10] for x in C.Run(0, 1, u, v, rule).settle()]
 
 
 def test_chain_cases():
@@ -130,7 +176,7 @@ def test_chains_equal_restatement(seed):
 
 
 def test_border_reports_settle(spark, monkeypatch):
-    """Dense seeds over many short pieces: the repair loop runs, and the result is sequential."""
+    """Dense seeds over many short pieces: the second pass runs, once, and the result is sequential."""
     rng = random.Random(2)
     ref = "".join(rng.choice("AC") for _ in range(40))
     query = "".join(rng.choice("AC") for _ in range(3000))
@@ -140,8 +186,8 @@ def test_border_reports_settle(spark, monkeypatch):
     from seedloom.plans.scan import chain_stage
 
     calls = []
-    real = C._relink
-    monkeypatch.setattr(C, "_relink", lambda *a: calls.append(1) or real(*a))
+    real = C._whole_groups
+    monkeypatch.setattr(C, "_whole_groups", lambda *a: calls.append(1) or real(*a))
     layout = PieceLayout.of(40, p, core=100, warm=2)
     got = chain_stage(q, index, 0, layout).collect()
     want = []
@@ -149,7 +195,38 @@ def test_border_reports_settle(spark, monkeypatch):
         pairs = brute.seeds(query, r, 3, p.squash_interval)
         want += [(strand, *c) for c in brute.chains(pairs, p.window, p.min_seeds, 3)]
     assert sorted((x.strand, x.qpos, x.rpos, x.qspan, x.rspan, x.n_seeds) for x in got) == sorted(want)
-    assert calls
+    assert calls == [1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stream_holds_no_more_than_can_link(seed):
+    """Seeds of a tandem repeat without a gap, fed in odd steps, as pieces and whole."""
+    rng = random.Random(seed)
+    unit = "".join(rng.choice("ACGT") for _ in range(rng.randint(3, 17)))
+    ref, query = (unit * 20)[:60], (unit * 300)[: rng.randint(1500, 2500)]
+    query = "".join(c if rng.random() < 0.97 else rng.choice("ACGT") for c in query)
+    pairs = brute.seeds(query, ref, 4, 16)
+    window, least = 32, 3
+    want = brute.chains(pairs, window, least, 4)
+    reach = 3 * len(ref) + 2 * window
+    rule = C.Rule(window, least, 4, 700, 10, reach)
+    u, v = packed_seeds(pairs)
+    at = (u << C._POS_BITS) + np.array([r for _, r in sorted(((2 * q - r, r) for q, r in pairs), key=lambda x: x)])
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    chainer, got, i, most = C.Chainer(rule, whole=True), [], 0, 0
+    last_piece = len(query) * 2 // 700
+    slot = last_piece << (C._REF_BITS + 2) | 1
+    while i < len(at):
+        n = rng.randint(1, 60)
+        part = at[i : i + n]
+        got += chainer.feed(np.zeros(len(part), int), np.full(len(part), slot), part)
+        most = max(most, int(chainer.open.u[-1] - chainer.open.u[0]))
+        i += n
+    got += chainer.close()
+    assert [x[5:10] for x in got] == want
+    assert all(x[2] == min(max(2 * x[5] - x[6], 0) // 700, last_piece) for x in got)
+    assert most <= 2 * reach + window * 60
 
 
 # ------------------------------------------------------------------------------- flanks
@@ -185,14 +262,16 @@ def test_known_extensions(ref, score, used):
 
 def test_known_gap_path():
     q, r = "ACACTTCTAGACTTTACCACTAACACTT", "ACACTTGTAGACTTCTACCACGGACACTT"
-    score, qe, re_, paths, matches = extend_batch([q], [r], Scores(P20), True)
+    score, qe, re_, texts, matches = extend_batch([q], [r], Scores(P20), True)
     assert (score[0], qe[0], re_[0], matches[0]) == (35, 28, 29, 25)
-    assert sorted(cigar(paths[0]).replace("M", "M ").split()) == ["14M", "1D14M"]
-    assert cigar(paths[0], swap=True).count("I") == 1
+    assert texts == ["14M1D14M"]
+    assert extend_batch([q], [r], Scores(P20), True, swap=True)[3] == ["14M1I14M"]
 
 
+@pytest.mark.parametrize("stretch", (1, 7, 64))
 @pytest.mark.parametrize("seed", range(4))
-def test_extension_equals_restatement(seed):
+def test_extension_equals_restatement(seed, stretch, monkeypatch):
+    monkeypatch.setattr(X, "STRETCH", stretch)
     rng = random.Random(seed)
     p = [
         DEFAULT_PROFILE,
@@ -217,7 +296,30 @@ def test_extension_equals_restatement(seed):
     for i, (q, r) in enumerate(zip(qs, rs)):
         b, bi, bj, hist = brute.xdrop(q, r, p)
         assert (got[0][i], got[1][i], got[2][i]) == (b, bi, bj), (q, r)
-        assert got[3][i] == brute.path_of(q, r, p, bi, bj, hist)
+        path = brute.path_of(q, r, p, bi, bj, hist)
+        assert got[3][i] == brute.cigar(path)
+        assert got[4][i] == matches_of(path, q, r, bi, bj)
+
+
+def matches_of(path, q, r, i, j):
+    n = 0
+    for op in path:
+        if op == "M":
+            n += brute.MASK[q[i - 1]] & brute.MASK[r[j - 1]] != 0
+        i, j = i - (op != "D"), j - (op != "I")
+    return n
+
+
+def test_marks_fill_one_stretch_only(monkeypatch):
+    rng = random.Random(9)
+    r = "".join(rng.choice("ACGT") for _ in range(3000))
+    q = "".join(c for c in r if rng.random() > 0.02)
+    largest = []
+    real = X.Batch._marks
+    monkeypatch.setattr(X.Batch, "_marks", lambda self, *a: largest.append((out := real(self, *a))[0].size) or out)
+    got = extend_batch([q], [r], Scores(DEFAULT_PROFILE.replace(end_bonus=0)), True)
+    assert got[1][0] > 2800 and len(largest) == -(-(got[2][0] + 1) // X.STRETCH)
+    assert max(largest) <= X.STRETCH * 400
 
 
 def test_identical_long_sequence():
