@@ -6,6 +6,7 @@ sequences.  The SQL is independent of the Spark code and written for DuckDB.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,13 +50,13 @@ from .operators.kmers import (
 from .operators.masking import merge_intervals
 from .operators.overlaps import overlap_counts, overlapping_pairs
 from .operators.seeds import diagonal_histogram, seeds
-from .plans.index import Index, assign_profiles, build_index, profile_matches
+from .plans.index import Index, assign_profiles, build_index, load_index, profile_matches, save_index
 from .plans.mask import mask
 from .plans.scan import BYTES_PER_REF, CHAIN_BROADCAST_LIMIT, chain_stage, extend_stage, layout_for, scan, window_stage
 from .profile import DEFAULT_PROFILE, Profile
-from .session import read_table
-from .sources.fasta import parse_fasta_text, record_text
-from .sources.paf import paf_line, parse_paf
+from .session import read_table, shared_folder
+from .sources.fasta import parse_fasta_text, read_fasta, record_text, write_records
+from .sources.paf import paf_line, parse_paf, read_paf, write_paf
 
 K = 9
 PROFILE = DEFAULT_PROFILE.replace(k=K)
@@ -645,6 +646,42 @@ def overlap_pairs(spark, d):
     )
 
 
+# ------------------------------------------------------------------------ files, and back
+def _scratch(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@_register("paf_round_trip", _SQL["paf_parse"])
+def paf_round_trip(spark, d):
+    """Alignments written as PAF text files and read again."""
+    path = _scratch(spark, "paf")
+    write_paf(diagonal_spans(spark, d), path)
+    return read_paf(spark, path).select(
+        "qname", "qlen", "qstart", "qend", "strand", "rname", "rlen", "rstart", "rend", "block_len",
+        F.col("score").cast("long").alias("score"), F.col("raw_score").cast("long").alias("raw_score"), "cigar",
+    )
+
+
+@_register("index_round_trip", _SQL["kmer_index"])
+def index_round_trip(spark, d):
+    """The k-mers of an index that was saved and loaded."""
+    path = _scratch(spark, "index")
+    save_index(index_of(spark, d), path)
+    t = load_index(spark, path).kmers
+    return t.select("rid", "strand", "kmer", F.col("rpos").cast("long").alias("rpos"), "r_next")
+
+
+@_register(
+    "fasta_round_trip",
+    f"""WITH {_RECORD_SQL} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq_id, name, comment, md5(seq) AS digest FROM r""",
+)
+def fasta_round_trip(spark, d):
+    """Documents written as FASTA files in order of their ids, read again and numbered."""
+    path = _scratch(spark, "fasta")
+    write_records(_record_rows(spark, d).withColumnRenamed("doc_id", "seq_id").withColumn("qual", F.lit("")), path)
+    return read_fasta(spark, path).select("seq_id", "name", "comment", F.md5("seq").alias("digest"))
+
+
 # ------------------------------------------------------------------------------ masking
 GAP, MARGIN = 20, 5
 _MERGE_CTE = f"""{SPANS_CTE},

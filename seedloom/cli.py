@@ -7,13 +7,15 @@ import sys
 from functools import reduce
 from itertools import groupby
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.index import Index, build_index, load_index, save_index
 from .plans.mask import mask
 from .plans.scan import rejected_queries, scan
-from .profile import DEFAULT_PROFILE, OPTIONS, Profile, profile_from_file, profile_from_options, profiles_from_toml
+from .profile import MAX_REF_LEN, DEFAULT_PROFILE, OPTIONS, Profile, profile_from_file, profile_from_options, profiles_from_toml
 from .sources.fasta import RECORD_BITS, expanded, read_fasta, read_records, write_records
 from .sources.paf import write_paf
 
@@ -86,7 +88,7 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("reference", help="index folder or reference file")
             p.add_argument("queries", nargs="+")
             p.add_argument("--standard-paf", action="store_true")
-        p.add_argument("-L", dest="lenient", action="store_true", help="skip references that are too long")
+        p.add_argument("-L", dest="lenient", action="store_true", help="skip references of over 32,767 bases")
         p.add_argument("-x", dest="preset", help="file with options")
         p.add_argument("-z", dest="profiles", help="TOML file with profiles")
         for flag, (attr, conv) in OPTIONS.items():
@@ -116,19 +118,23 @@ def profiles_of(args: argparse.Namespace) -> list[Profile]:
     return profiles_from_toml(args.profiles, base) if args.profiles else [base]
 
 
+def length_of(args: argparse.Namespace) -> dict[str, Any]:
+    return {"strict": False, "max_length": MAX_REF_LEN} if args.lenient else {}
+
+
 def open_index(spark: SparkSession, path: str, args: argparse.Namespace) -> Index:
     header = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
     if header.getFileSystem(spark._jsc.hadoopConfiguration()).exists(header):
         given = {a: getattr(args, f"opt_{a}") for a, _ in OPTIONS.values() if getattr(args, f"opt_{a}")}
         return load_index(spark, path).with_parameters(**given)
-    return build_index(read_files(spark, [path]), profiles_of(args), strict=not args.lenient)
+    return build_index(read_files(spark, [path]), profiles_of(args), **length_of(args))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("seedloom").getOrCreate()
     if args.command == "index":
-        save_index(build_index(read_files(spark, args.references), profiles_of(args), not args.lenient), args.path)
+        save_index(build_index(read_files(spark, args.references), profiles_of(args), **length_of(args)), args.path)
     elif args.command == "scan":
         queries = read_files(spark, args.queries)
         write_rejected(queries, f"{args.out.rstrip('/')}.rejected")

@@ -18,9 +18,9 @@ from ..session import checkpointed
 
 
 # --------------------------------------------------------------------------- references
-def filter_reference_length(refs: DataFrame, seq: str = "rseq", strict: bool = True) -> DataFrame:
+def filter_reference_length(refs: DataFrame, seq: str = "rseq", strict: bool = True, longest: int = MAX_REF_LEN) -> DataFrame:
     """Keep references within the length limit; ``strict`` fails the job on a longer one."""
-    too_long = F.length(seq) > MAX_REF_LEN
+    too_long = F.length(seq) > longest
     if not strict:
         return refs.filter(~too_long)
     message = F.concat(F.lit("reference too long: "), F.length(seq).cast("string"))

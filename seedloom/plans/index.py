@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import normalize_reference
 from ..operators.kmers import dense_reference_ids, filter_reference_length, reference_kmers
-from ..profile import DEFAULT_PROFILE, Profile
+from ..profile import DEFAULT_PROFILE, LONGEST_REF, Profile
 
 FORMAT_VERSION = 1
 
@@ -78,11 +78,13 @@ def build_index(
     profiles: list[Profile] | Profile = DEFAULT_PROFILE,
     strict: bool = True,
     order: list[str] | None = None,
+    max_length: int = LONGEST_REF,
 ) -> Index:
     """Index of ``refs(name, seq[, comment, block, rid])``.
 
     ``rid`` is taken as given or numbered by ``order`` (default: block, seq_id if
-    present, name).  At least one reference must survive the length limit.
+    present, name).  A reference over ``max_length`` fails the job, or is skipped without ``strict``; the
+    default is the longest whose seeds can be packed.  At least one reference must be left.
     """
     profiles = [profiles] if isinstance(profiles, Profile) else list(profiles)
     base = refs.withColumn("rseq", normalize_reference("seq"))
@@ -90,7 +92,7 @@ def build_index(
         base = base.withColumn("block", F.lit(0))
     if "comment" not in base.columns:
         base = base.withColumn("comment", F.lit(""))
-    base = filter_reference_length(base.filter(F.length("rseq") > 0), "rseq", strict)
+    base = filter_reference_length(base.filter(F.length("rseq") > 0), "rseq", strict, max_length)
     if "rid" not in base.columns:
         keys = order or ["block", *[c for c in ("seq_id",) if c in base.columns], "name"]
         base = dense_reference_ids(base, keys)

@@ -12,7 +12,6 @@ from ..operators.alignments import (
     best_per_start,
     distinct_ends,
     first_ends,
-    in_output_order,
     score_alignments,
 )
 from ..operators.chains import greedy_chains
@@ -166,5 +165,7 @@ def scan(
     return best_per_start(found, across_references)
 
 
-def scan_ordered(queries: DataFrame, index: Index, **kw) -> DataFrame:
-    return in_output_order(scan(queries, index, **kw))
+def scan_with_rejects(queries: DataFrame, index: Index, ambiguous: str | None = "A", **options) -> tuple[DataFrame, DataFrame]:
+    """Alignments as of ``scan``, and the ``(seq_id, name)`` of the queries it leaves out."""
+    rejects = queries.select("seq_id", "name").limit(0) if ambiguous is None else rejected_queries(queries, ambiguous)
+    return scan(queries, index, ambiguous, **options), rejects

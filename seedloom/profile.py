@@ -15,7 +15,9 @@ from dataclasses import dataclass
 from .functions.alphabet import IUPAC_LETTERS, IUPAC_MASK
 
 MIN_K, MAX_K = 3, 9
-MAX_REF_LEN = 32767
+MAX_REF_LEN = 32767  # what the length filter takes for too long, unless told otherwise
+POS_BITS = 28  # of a packed seed, for the place on the reference
+LONGEST_REF = (1 << POS_BITS) - 1
 
 
 @dataclass(frozen=True)

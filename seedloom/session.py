@@ -21,13 +21,12 @@ def local_session(cores: str | int = 8, memory: str = "16g", app: str = "seedloo
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's reliable checkpoint folder.
 
-    The folder is the cluster's (``spark.checkpoint.dir``); only a session that has
-    none, as in tests, gets one of its own.
+    It is the cluster's (``spark.checkpoint.dir``); only a session that has none, as in tests, gets
+    one of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -36,6 +35,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder:
             folder = tempfile.mkdtemp(prefix="seedloom-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.index import Index
-from ..plans.scan import scan
+from ..plans.scan import scan_with_rejects
 from ..sources.paf import write_paf
 
 QUERY_SCHEMA = "seq_id long, name string, seq string"
@@ -30,13 +30,15 @@ def query_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
 def scan_stream(queries: DataFrame, index: Index, out: str, state: str, **scan_options) -> StreamingQuery:
     """Start scanning what is there and stop when it is done (``availableNow``).
 
-    ``out`` receives one folder of PAF text per batch; ``state`` is the stream's own
-    checkpoint folder on shared storage.
+    ``out`` receives one folder of PAF text per batch, and ``out``.rejected one with the ids and names of the
+    queries that cannot be read; ``state`` is the stream's own checkpoint folder on shared storage.
     """
 
     def drain(batch: DataFrame, number: int) -> None:
-        found = scan(batch, index, **scan_options)
-        write_paf(found, os.path.join(out, f"batch={number:08d}"), mode="overwrite")
+        found, rejects = scan_with_rejects(batch, index, **scan_options)
+        part = f"batch={number:08d}"
+        write_paf(found, os.path.join(out, part), mode="overwrite")
+        rejects.write.mode("overwrite").csv(os.path.join(f"{out.rstrip('/')}.rejected", part), sep="\t")
 
     return (
         queries.writeStream.foreachBatch(drain).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -4,7 +4,7 @@ import pytest
 
 from seedloom.plans.index import assign_profiles, build_index, load_index, save_index
 from seedloom.plans.mask import mask
-from seedloom.plans.scan import prepare_queries, rejected_queries, scan
+from seedloom.plans.scan import prepare_queries, rejected_queries, scan, scan_with_rejects
 from seedloom.profile import DEFAULT_PROFILE
 
 from . import brute
@@ -121,6 +121,7 @@ def test_query_letters(spark):
     )
     assert {r.name: r.seq for r in prepare_queries(q).collect()} == {"ok": "ACGTA", "x": "AAC"}
     assert {r.name for r in rejected_queries(q).collect()} == {"gap", "z"}
+    assert {r.name for r in scan_with_rejects(q, build_index(spark.createDataFrame([("r", "ACGTACGT")], "name string, seq string")))[1].collect()} == {"gap", "z"}
     assert {r.name for r in rejected_queries(q, "reject").collect()} == {"ok", "gap", "z", "x"}
     assert {r.seq for r in prepare_queries(q, "break").collect()} == {"ACGTN", "ANC"}
 
@@ -166,3 +167,25 @@ def test_large_reference_numbers(spark):
         assert {r.rid for r in rows} == {rid}
         found.append(len(rows))
     assert found[0] > 0 and len(set(found)) == 1
+
+
+def test_reference_of_a_hundred_kilobases(spark):
+    """Alignments on a reference far over 32,767 bases are those on the stretch around them."""
+    rng = random.Random(21)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    before, stretch, after = draw(70_000), draw(1_200), draw(50_000)
+    gene = stretch[400:800]
+    copy = "".join(c for i, c in enumerate(gene) if i not in (90, 91, 250))
+    copy = copy[:180] + "ACGGT" + copy[180:]
+    queries = [("plus", draw(30) + copy + draw(40)), ("minus", draw(20) + brute.revcomp(copy) + draw(25)), ("none", draw(300))]
+    q = spark.createDataFrame([(i, *x) for i, x in enumerate(queries)], "seq_id long, name string, seq string")
+    p = DEFAULT_PROFILE.replace(k=9)
+
+    def found(ref, offset):
+        r = spark.createDataFrame([(0, "r", ref)], "rid int, name string, seq string")
+        rows = scan(q, build_index(r, p)).collect()
+        return sorted((x.qname, x.qstart, x.qend, x.strand, x.rstart - offset, x.rend - offset, x.score, x.matches, x.cigar) for x in rows)
+
+    got = found(before + stretch + after, 70_000)
+    assert got == found(stretch, 0)
+    assert {(x[0], x[3]) for x in got} == {("plus", "+"), ("minus", "-")} and any("I" in x[8] for x in got)

@@ -60,7 +60,7 @@ def test_length_limit(spark):
     with pytest.raises(Exception, match="reference too long"):
         filter_reference_length(refs).collect()
     with pytest.raises(ValueError, match="no reference"):
-        build_index(refs.filter("name = 'b'").withColumnRenamed("rseq", "seq"), strict=False)
+        build_index(refs.filter("name = 'b'").withColumnRenamed("rseq", "seq"), strict=False, max_length=32767)
 
 
 def test_dense_ids(spark):
