@@ -49,14 +49,18 @@ class Saved:
                 folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Edges that one task can hold, should they all be of one node.
+SPLIT_EDGES = 1_000_000
+
+
 def components(edges: DataFrame, saved: Saved) -> DataFrame:
     """Smallest id reachable from each node: columns ``node``, ``component``.
 
     ``edges`` has long columns ``a`` and ``b``.  Alternating star contraction: every node
     hands its larger, then its smaller neighbours to the smallest one, until nothing
     changes.  Groups are only reduced by ``min``, and each round's edges are written to the shared folder.
-    So are the minima, so that both sides of a join with them are plain tables and Spark splits
-    the edges of a node of high degree over tasks.  Nodes without an edge to
+    So are the minima of more than ``SPLIT_EDGES`` edges, so that both sides of a join with them are plain tables and
+    Spark splits the edges of a node of high degree over tasks; fewer edges fit any one task.  Nodes without an edge to
     another node are not returned.  An empty table gives an empty result.
     """
 
@@ -70,9 +74,10 @@ def components(edges: DataFrame, saved: Saved) -> DataFrame:
     state = digest(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        keep = saved if state[0] > SPLIT_EDGES else (lambda df: df)
+        low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = saved(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        lowest = saved(large.groupBy("a").agg(F.min("b").alias("m")))
+        lowest = keep(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = saved(tidy(small))
         for spent in (large, now, low, lowest):
