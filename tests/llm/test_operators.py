@@ -678,7 +678,10 @@ def test_trie_join_splits_hot_nodes(spark, node_rows):
     assert {i: got.get(i, i) for i in named} == plain_components(named)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("split", (1_000_000, 0))
+def test_components_of_a_long_chain(spark, split, monkeypatch):
+    """With the minima written, and without."""
+    monkeypatch.setattr(common, "SPLIT_EDGES", split)
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 400), (5, 5)], "a long, b long")
     saved = common.Saved(spark)
     got = {r["node"]: r["component"] for r in common.components(edges, saved).collect()}
