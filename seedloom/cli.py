@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from .plans.index import Index, build_index, load_index, save_index
 from .plans.mask import mask
 from .plans.scan import rejected_queries, scan
-from .profile import MAX_REF_LEN, DEFAULT_PROFILE, OPTIONS, Profile, profile_from_file, profile_from_options, profiles_from_toml
+from .profile import (
+    MAX_REF_LEN, NO_OPTIONS, OPTIONS, RUN_OPTIONS, Profile, RunOptions, options_of_file, parse_options, profile_of,
+    profiles_from_toml,
+)
 from .sources.fasta import RECORD_BITS, expanded, read_fasta, read_records, write_records
 from .sources.paf import write_paf
 
@@ -81,7 +84,7 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("index", "scan"):
         p = sub.add_parser(name)
         if name == "index":
-            p.add_argument("-d", dest="path", required=True, help="index folder to write")
+            p.add_argument("-d", dest="index_path", help="index folder to write")
             p.add_argument("references", nargs="+")
         else:
             p.add_argument("-o", dest="out", required=True, help="folder for the PAF text")
@@ -97,51 +100,66 @@ def _parser() -> argparse.ArgumentParser:
             else:
                 p.add_argument(flag, dest=f"opt_{attr}", type=conv)
     p = sub.add_parser("mask")
-    p.add_argument("-F", dest="alns", required=True, help="PAF text")
+    p.add_argument("-F", dest="alignments", help="PAF text")
     p.add_argument("-o", dest="out", required=True)
-    p.add_argument("-G", dest="max_gap", type=int, default=0, help="join gaps shorter than this")
-    p.add_argument("-M", dest="margin", type=int, default=0)
+    p.add_argument("-G", dest="patch_gap", type=int, help="join gaps shorter than this")
+    p.add_argument("-M", dest="patch_margin", type=int)
+    p.add_argument("-x", dest="preset", help="file with options")
     p.add_argument("reads", nargs="+")
     return top
 
 
-def profiles_of(args: argparse.Namespace) -> list[Profile]:
-    base = profile_from_file(args.preset) if args.preset else DEFAULT_PROFILE
+def options_of(args: argparse.Namespace) -> RunOptions:
+    """The options of the preset file under those of the command line."""
     given: list[str] = []
     for flag, (attr, conv) in OPTIONS.items():
-        value = getattr(args, f"opt_{attr}")
+        value = getattr(args, f"opt_{attr}", None)
         if conv is None:
             given += [flag] if value else []
         elif value is not None:
             given += [flag, str(value)]
-    base = profile_from_options(given, base)
-    return profiles_from_toml(args.profiles, base) if args.profiles else [base]
+    run = {n: getattr(args, n, None) for n, _ in RUN_OPTIONS.values() if n != "preset"}
+    said = RunOptions({}, {n: v for n, v in run.items() if v not in (None, False)})
+    preset = options_of_file(args.preset) if args.preset else NO_OPTIONS
+    return said.over(parse_options(given).over(preset))
 
 
-def length_of(args: argparse.Namespace) -> dict[str, Any]:
-    return {"strict": False, "max_length": MAX_REF_LEN} if args.lenient else {}
+def profiles_of(options: RunOptions) -> list[Profile]:
+    base = profile_of(options)
+    return profiles_from_toml(options.run["profiles"], base) if "profiles" in options.run else [base]
 
 
-def open_index(spark: SparkSession, path: str, args: argparse.Namespace) -> Index:
+def length_of(options: RunOptions) -> dict[str, Any]:
+    return {"strict": False, "max_length": MAX_REF_LEN} if options.run.get("lenient") else {}
+
+
+def open_index(spark: SparkSession, path: str, options: RunOptions) -> Index:
     header = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
     if header.getFileSystem(spark._jsc.hadoopConfiguration()).exists(header):
-        given = {a: getattr(args, f"opt_{a}") for a, _ in OPTIONS.values() if getattr(args, f"opt_{a}")}
-        return load_index(spark, path).with_parameters(**given)
-    return build_index(read_files(spark, [path]), profiles_of(args), **length_of(args))
+        return load_index(spark, path).with_parameters(**options.profile)
+    return build_index(read_files(spark, [path]), profiles_of(options), **length_of(options))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = _parser().parse_args(argv)
+    parser = _parser()
+    args = parser.parse_args(argv)
+    options = options_of(args)
     spark = spark or SparkSession.builder.appName("seedloom").getOrCreate()
     if args.command == "index":
-        save_index(build_index(read_files(spark, args.references), profiles_of(args), **length_of(args)), args.path)
+        if "index_path" not in options.run:
+            parser.error("index needs -d, on the command line or in the option file")
+        references = [*options.words, *args.references]
+        save_index(build_index(read_files(spark, references), profiles_of(options), **length_of(options)), options.run["index_path"])
     elif args.command == "scan":
         queries = read_files(spark, args.queries)
         write_rejected(queries, f"{args.out.rstrip('/')}.rejected")
-        found = scan(queries, open_index(spark, args.reference, args))
+        found = scan(queries, open_index(spark, args.reference, options))
         write_paf(found, args.out, standard=args.standard_paf)
     else:
-        write_records(mask(read_files(spark, args.reads), args.alns, args.max_gap, args.margin), args.out)
+        if "alignments" not in options.run:
+            parser.error("mask needs -F, on the command line or in the option file")
+        gap, margin = options.run.get("patch_gap", 0), options.run.get("patch_margin", 0)
+        write_records(mask(read_files(spark, args.reads), options.run["alignments"], gap, margin), args.out)
     return 0
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import os
 import shlex
 import tomllib
 from dataclasses import dataclass
@@ -213,34 +214,99 @@ def profiles_from_toml(path: str, base: Profile = DEFAULT_PROFILE) -> list[Profi
     return [*out, base]
 
 
-# One-letter options and the keyword each stands for.
+# One-letter options and the keyword each stands for; without a type a switch.
 OPTIONS = {
     "-k": ("k", int), "-w": ("window", int), "-c": ("min_seeds", int),
     "-S": ("span_threshold", int), "-a": ("match", int), "-b": ("mismatch", int),
     "-p": ("gap_open", int), "-q": ("gap_extend", int), "-m": ("min_score", int),
     "-g": ("max_gap_len", int), "-l": ("end_bonus", int), "-R": ("use_raw_score", None),
 }
+# Those of a run that are no part of a profile.
+RUN_OPTIONS = {
+    "-x": ("preset", str), "-z": ("profiles", str), "-d": ("index_path", str), "-F": ("alignments", str),
+    "-G": ("patch_gap", int), "-M": ("patch_margin", int), "-L": ("lenient", None),
+}
+
+
+@dataclass(frozen=True)
+class RunOptions:
+    """What a list of options says: profile keywords, the other options, and words that belong to none."""
+
+    profile: dict[str, int | bool]
+    run: dict[str, str | int | bool]
+    words: tuple[str, ...] = ()
+
+    def over(self, base: RunOptions) -> RunOptions:
+        """These options after those of ``base``: of an option given twice the later one counts."""
+        return RunOptions({**base.profile, **self.profile}, {**base.run, **self.run}, base.words + self.words)
+
+
+NO_OPTIONS = RunOptions({}, {})
+
+
+def _is_value(word: str) -> bool:
+    """Whether a word can be an option's value: it is no option itself; ``-`` and negative numbers are none."""
+    return not word.startswith("-") or word == "-" or word[1:2].isdigit()
+
+
+def parse_options(args: list[str], opened: tuple[str, ...] = ()) -> RunOptions:
+    """Options in their order: ``-k 5``, ``-k5``, and switches run together as in ``-RLk5``.
+
+    ``-x FILE`` stands for the options in the file, at its place; a file may name others,
+    relative paths being those of the file that names them.  ``opened`` are the files being read: one that
+    leads back to itself is an error.
+    """
+    found = NO_OPTIONS
+    words = list(reversed(args))
+    while words:
+        word = words.pop()
+        if _is_value(word):
+            found = RunOptions({}, {}, (word,)).over(found)
+            continue
+        rest = word[1:]
+        while rest:
+            flag, rest = f"-{rest[0]}", rest[1:]
+            kind = OPTIONS.get(flag) or RUN_OPTIONS.get(flag)
+            if kind is None:
+                raise ValueError(f"unknown option {flag} in {word}")
+            name, conv = kind
+            if conv is None:
+                value = True
+            else:
+                text = rest or (words.pop() if words and _is_value(words[-1]) else None)
+                rest = ""
+                if text is None:
+                    raise ValueError(f"option {flag} needs a value")
+                try:
+                    value = conv(text)
+                except ValueError:
+                    raise ValueError(f"option {flag} takes a number, not {text}") from None
+            if flag == "-x":
+                found = options_of_file(value, opened).over(found)
+            else:
+                one = {name: value}
+                found = (RunOptions(one, {}) if flag in OPTIONS else RunOptions({}, one)).over(found)
+    return found
+
+
+def options_of_file(path: str, opened: tuple[str, ...] = ()) -> RunOptions:
+    """Options kept in a file; line breaks and tabs separate like spaces, ``#`` opens a remark."""
+    if opened:
+        path = os.path.join(os.path.dirname(opened[-1]), path)
+    real = os.path.realpath(path)
+    if real in opened:
+        raise ValueError(f"option files that name each other: {' -> '.join([*opened, real])}")
+    with open(real) as fp:
+        return parse_options(shlex.split(fp.read(), comments=True), (*opened, real))
+
+
+def profile_of(options: RunOptions, base: Profile = DEFAULT_PROFILE) -> Profile:
+    return base.replace(**options.profile)
 
 
 def profile_from_options(args: list[str], base: Profile = DEFAULT_PROFILE) -> Profile:
-    kw: dict = {}
-    it = iter(args)
-    for a in it:
-        flag, rest = a[:2], a[2:]
-        if flag not in OPTIONS:
-            raise ValueError(f"unknown option: {a}")
-        attr, conv = OPTIONS[flag]
-        if conv is None:
-            kw[attr] = True
-        else:
-            try:
-                kw[attr] = conv(rest or next(it))
-            except StopIteration:
-                raise ValueError(f"option {flag} needs a value") from None
-    return base.replace(**kw)
+    return profile_of(parse_options(args), base)
 
 
 def profile_from_file(path: str, base: Profile = DEFAULT_PROFILE) -> Profile:
-    """Options kept in a file; line breaks and tabs separate like spaces."""
-    with open(path) as fp:
-        return profile_from_options(shlex.split(fp.read()), base)
+    return profile_of(options_of_file(path), base)

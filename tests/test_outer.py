@@ -46,6 +46,11 @@ def test_command_line(spark, tmp_path):
             if w[0] == name:
                 inside |= set(range(w[1], w[2]))
         assert masked[name] == "".join(c.lower() if i in inside else c for i, c in enumerate(seq))
+    (tmp_path / "mask").write_text(f"-x opt -F '{path('a')}' -G 0\n-M 0")
+    assert cli.main(["mask", "-x", path("mask"), "-o", path("m2"), path("q.fa")], spark) == 0
+    assert {r.name: r.seq for r in read_fasta(spark, path("m2")).collect()} == masked
+    with pytest.raises(SystemExit):
+        cli.main(["mask", "-o", path("m3"), path("q.fa")], spark)
     with pytest.warns(UserWarning):
         cli.main(["scan", "-o", path("c"), "-k", "6", path("ix"), path("q.fa")], spark)
 

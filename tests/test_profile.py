@@ -3,6 +3,8 @@ import pytest
 from seedloom.profile import (
     DEFAULT_PROFILE,
     Profile,
+    options_of_file,
+    parse_options,
     profile_from_file,
     profile_from_options,
     profiles_from_toml,
@@ -55,6 +57,39 @@ def test_options(tmp_path):
             profile_from_options(bad)
 
 
+def test_option_words():
+    o = parse_options(["a.fa", "-RLk5", "-S", "-1", "-z", "p.toml", "-G20", "-M", "5", "-m40", "-", "-k", "6"])
+    assert o.profile == {"use_raw_score": True, "k": 6, "span_threshold": -1, "min_score": 40}
+    assert o.run == {"lenient": True, "profiles": "p.toml", "patch_gap": 20, "patch_margin": 5}
+    assert o.words == ("a.fa", "-")
+    for bad, why in ((["-kR"], "number"), (["-k", "-R"], "needs a value"), (["-Rj"], "unknown option -j"), (["-G"], "needs")):
+        with pytest.raises(ValueError, match=why):
+            parse_options(bad)
+
+
+def test_option_files_in_option_files(tmp_path):
+    """A file's options count at its place, paths are relative to the file that names them, cycles are errors."""
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "top").write_text("-k 5 -x sub/mid\n-m 70\t# -k 9\n'with space.fa'")
+    (tmp_path / "sub" / "mid").write_text("-m 50 -x deep -w 40")
+    (tmp_path / "sub" / "deep").write_text("-k 7 -w 64 -L -z 'my profiles.toml'\n\n")
+    o = options_of_file(str(tmp_path / "top"))
+    assert o.profile == {"k": 7, "min_score": 70, "window": 40}
+    assert o.run == {"lenient": True, "profiles": "my profiles.toml"} and o.words == ("with space.fa",)
+    assert parse_options(["-x", str(tmp_path / "top"), "-k4"]).profile["k"] == 4
+    assert parse_options(["-k4", "-x", str(tmp_path / "top")]).profile["k"] == 7
+    (tmp_path / "twice").write_text("-x sub/deep -x sub/deep")  # twice, but in no circle
+    assert options_of_file(str(tmp_path / "twice")).profile == {"k": 7, "window": 64}
+    (tmp_path / "sub" / "deep").write_text("-x ../top")
+    with pytest.raises(ValueError, match="name each other"):
+        options_of_file(str(tmp_path / "top"))
+    (tmp_path / "self").write_text("-xself")
+    with pytest.raises(ValueError, match="name each other"):
+        options_of_file(str(tmp_path / "self"))
+    with pytest.raises(FileNotFoundError):
+        parse_options(["-x", str(tmp_path / "none")])
+
+
 def test_toml(tmp_path):
     f = tmp_path / "p.toml"
     f.write_text(
