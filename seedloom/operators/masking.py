@@ -2,36 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
+#: Positions per bin.
 BIN = 1 << 16
 
 
-def _merge(intervals: DataFrame, keys: list[str], max_gap: int) -> DataFrame:
-    """Islands of ``(start, end)`` rows whose gap is shorter than ``max_gap``, or that touch."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start") - reach
-    starts = F.when(reach.isNull() | ((apart > 0) & (apart >= max_gap)), 1).otherwise(0)
-    marked = intervals.withColumn("_new", starts)
-    island = marked.withColumn("_isl", F.sum("_new").over(order))
-    return island.groupBy(*keys, "_isl").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_isl")
+def _with_carried(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """``rows`` with ``_carried``, the greatest ``value`` of the earlier bins of the same key.
+
+    One row per occupied bin is scanned, so a read's rows there are its length over the bin
+    width at most.
+    """
+    order = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(key, "_bin").agg(F.max(value).alias("_top"))
+    bins = bins.select(F.col(key).alias("_k"), F.col("_bin").alias("_b"), F.max("_top").over(order).alias("_carried"))
+    return rows.join(bins, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bin") == F.col("_b"))).drop("_k", "_b")
 
 
-def merge_intervals(alns: DataFrame, max_gap: int = 0, margin: int = 0, key: str = "qname") -> DataFrame:
-    """Disjoint ``(key, start, end)``, padded by ``margin`` and joined over short gaps.
+def merge_intervals(alns: DataFrame, max_gap: int = 0, margin: int = 0, key: str = "qname", width: int = BIN) -> DataFrame:
+    """Disjoint ``(key, start, end)``, padded by ``margin`` and joined over short gaps or where they touch.
 
-    A read with very many hits is merged within stretches of it first, in parallel; only
-    the few disjoint intervals that remain meet in one group.
+    A two-level scan.  Of intervals that start at one position the longest is kept before
+    anything is sorted, so a bin of starts has ``width`` rows at most however many hits a read has.
+    Each bin is merged by itself; its disjoint rows, which are used several times, are written to the
+    checkpoint folder when this is called.  How far the earlier bins reach is the running maximum over a table
+    of one row per bin, and so is the start of the island that reaches into a bin.  The islands are an
+    aggregate that combines before its shuffle: no task sees all intervals of a read.
     """
     padded = alns.select(
         key,
         F.greatest(F.lit(0), F.col("qstart") - margin).cast("long").alias("start"),
         F.least(F.col("qend") + margin, F.col("qlen")).cast("long").alias("end"),
     ).filter(F.col("end") > F.col("start"))
-    local = _merge(padded.withColumn("_bin", F.floor(F.col("start") / BIN)), [key, "_bin"], max_gap)
-    return _merge(local.drop("_bin"), [key], max_gap)
+    longest = padded.groupBy(key, "start").agg(F.max("end").alias("end")).withColumn("_bin", F.floor(F.col("start") / width))
+    order = Window.partitionBy(key, "_bin").orderBy("start")
+    earlier, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+
+    def opens(reach: Column) -> Column:
+        apart = F.col("start") - reach
+        return F.when(reach.isNull() | ((apart > 0) & (apart >= max_gap)), F.col("start"))
+
+    inside = longest.withColumn("_first", opens(F.max("end").over(earlier))).withColumn("_island", F.max("_first").over(so_far))
+    local = checkpointed(inside.groupBy(key, "_bin", F.col("_island").alias("start")).agg(F.max("end").alias("end")))
+
+    rows = _with_carried(local, key, F.col("end")).withColumn("_first", opens(F.greatest("_carried", F.max("end").over(earlier))))
+    rows = _with_carried(rows.drop("_carried"), key, F.col("_first"))
+    rows = rows.withColumn("_island", F.coalesce(F.max("_first").over(so_far), "_carried"))
+    return rows.groupBy(key, "_island").agg(F.max("end").alias("end")).select(key, F.col("_island").alias("start"), "end")
 
 
 def lowercase_intervals(seqs: DataFrame, merged: DataFrame, name: str = "name", seq: str = "seq", key: str = "qname") -> DataFrame:

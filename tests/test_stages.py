@@ -355,6 +355,53 @@ def test_merge_and_lowercase(spark):
     assert lowercase_intervals(reads, merge_intervals(alns)).count() == 3
 
 
+def merged_by_hand(rows, max_gap, margin):
+    out = {}
+    for name, qlen, start, end in rows:
+        out.setdefault(name, []).append((max(0, start - margin), min(end + margin, qlen)))
+    found = []
+    for name, spans in out.items():
+        islands = []
+        for s, e in sorted(x for x in spans if x[0] < x[1]):
+            if islands and (s <= islands[-1][1] or s - islands[-1][1] < max_gap):
+                islands[-1][1] = max(islands[-1][1], e)
+            else:
+                islands.append([s, e])
+        found += [(name, s, e) for s, e in islands]
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("width", [7, 64, 1 << 16])
+@pytest.mark.parametrize("max_gap,margin", [(0, 0), (6, 0), (3, 4), (0, 9)])
+def test_merge_over_bins(spark, width, max_gap, margin):
+    """Islands over many bins, long intervals over empty bins, repeats, a read without a name."""
+    rng = random.Random(width + max_gap)
+    rows = []
+    for name, qlen, n in (("a", 3000, 90), ("b", 400, 60), (None, 900, 20), ("d", 50, 1)):
+        for _ in range(n):
+            at = rng.randrange(qlen)
+            rows.append((name, qlen, at, min(qlen, at + rng.choice([0, 3, 12, 40, 300]))))
+    rows += rows[:30]
+    alns = spark.createDataFrame(rows, "qname string, qlen long, qstart long, qend long")
+    got = merge_intervals(alns, max_gap, margin, width=width).collect()
+    assert sorted(((r.qname, r.start, r.end) for r in got), key=str) == merged_by_hand(rows, max_gap, margin)
+    assert merge_intervals(alns.limit(0), max_gap, margin, width=width).collect() == []
+
+
+def test_merge_of_a_dense_read_is_spread(spark):
+    """Two million intervals of one read: no task after the combining aggregate holds more than a bin of starts."""
+    n, qlen, width = 2_000_000, 1 << 21, 1 << 14
+    alns = spark.range(n).select(
+        F.lit("a").alias("qname"), F.lit(qlen).cast("long").alias("qlen"),
+        F.pmod(F.xxhash64("id"), F.lit(qlen // 2)).alias("qstart"),
+    ).withColumn("qend", F.col("qstart") + 3)
+    got = merge_intervals(alns, width=width)
+    starts = alns.select("qstart").distinct()
+    covered = starts.select(F.explode(F.sequence("qstart", F.col("qstart") + 2)).alias("at")).distinct().count()
+    assert got.agg(F.sum(F.col("end") - F.col("start"))).head()[0] == covered
+    assert got.count() > 1000
+
+
 # ---------------------------------------------------------------------------------- PAF
 def test_paf_round_trip(spark):
     row = ("q 1", 100, 5, 25, "-", "r", 50, 10, 31, 19, 21, 255, 40, 44, 19 / 21, "10M1D10M")
