@@ -55,7 +55,7 @@ from .plans.mask import mask
 from .plans.scan import BYTES_PER_REF, CHAIN_BROADCAST_LIMIT, chain_stage, extend_stage, layout_for, scan, window_stage
 from .profile import DEFAULT_PROFILE, Profile
 from .session import read_table, shared_folder
-from .sources.fasta import parse_fasta_text, read_fasta, record_text, write_records
+from .sources.fasta import parse_fasta_text, read_fasta, read_fastq, record_text, write_records
 from .sources.paf import paf_line, parse_paf, read_paf, write_paf
 
 K = 9
@@ -682,6 +682,20 @@ def fasta_round_trip(spark, d):
     return read_fasta(spark, path).select("seq_id", "name", "comment", F.md5("seq").alias("digest"))
 
 
+@_register(
+    "fastq_round_trip",
+    f"""WITH {_RECORD_SQL}, f AS (SELECT doc_id, name, comment, seq, translate(seq, 'ACGT', '@+>I') AS qual FROM r)
+    SELECT name, comment, md5(seq) AS digest, md5(qual) AS qual_digest FROM f
+    WHERE name <> '' AND seq <> ''""",
+)
+def fastq_round_trip(spark, d):
+    """Documents written as FASTQ files, with markers in the qualities, and read again by splits."""
+    path = _scratch(spark, "fastq")
+    rows = _record_rows(spark, d).withColumn("qual", F.translate("seq", "ACGT", "@+>I"))
+    write_records(rows.filter("name <> '' and seq <> ''").withColumnRenamed("doc_id", "seq_id"), path)
+    return read_fastq(spark, path).select("name", "comment", F.md5("seq").alias("digest"), F.md5("qual").alias("qual_digest"))
+
+
 # ------------------------------------------------------------------------------ masking
 GAP, MARGIN = 20, 5
 _MERGE_CTE = f"""{SPANS_CTE},

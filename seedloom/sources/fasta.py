@@ -1,8 +1,9 @@
 """FASTA and FASTQ records as DataFrames, and back.
 
-FASTA goes through Spark's own splittable text reader with a record separator.  FASTQ
-records cannot be re-synchronised inside a file (a quality line may start with any
-marker), so a file is one streaming task; the same path reads xz files.
+FASTA goes through Spark's own splittable text reader with a record separator.  FASTQ of four
+lines a record is split too, with lines numbered by a first pass (``read_fastq``).  Wrapped FASTQ
+cannot be re-synchronised inside a file (a quality line may start with any marker), so a file
+is one streaming task (``read_records``); the same path reads xz files.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import lzma
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import split_header
+from ..session import checkpointed
 
 RECORD_SCHEMA = "seq_id long, name string, comment string, seq string, qual string"
 RECORD_BITS = 32  # of an id, for the record inside its file
@@ -50,8 +52,6 @@ def number_records(df: DataFrame, split_cols: list[str]) -> DataFrame:
     consecutive; adding the row count of all earlier splits (one small row each) makes
     them dense.
     """
-    from pyspark.sql import Window
-
     tagged = df.withColumn("_m", F.monotonically_increasing_id())
     splits = tagged.groupBy(*split_cols).agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = Window.orderBy(*split_cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -178,6 +178,119 @@ def read_records(
     )
 
 
+# ------------------------------------------------------------------------- split FASTQ
+EDGE = 3  # lines at either end of a split whose record may go on in the next one
+BYTES_PER_SPLIT = 512
+SPLIT_BROADCAST_LIMIT = 256 << 20
+_EDGE_SCHEMA = "_file string, _block long, _n long, _head array<string>, _tail array<string>"
+_WHOLE_SCHEMA = "_file string, rec long, header string, seq string, mark string, qual string"
+
+
+def _runs(pdf: pd.DataFrame) -> Iterator[tuple[tuple[str, int], pd.DataFrame]]:
+    """Stretches of one split, in order; a partition may hold several splits."""
+    new = (pdf["_file"] != pdf["_file"].shift()) | (pdf["_block"] != pdf["_block"].shift())
+    for _, run in pdf.groupby(new.cumsum(), sort=False):
+        yield (run["_file"].iloc[0], int(run["_block"].iloc[0])), run
+
+
+def _split_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per split its number of lines and the lines at both ends; no line is in both lists."""
+    now, n, head, tail = None, 0, [], []
+
+    def row():
+        return pd.DataFrame([(*now, n, head, tail)], columns=["_file", "_block", "_n", "_head", "_tail"])
+
+    for pdf in batches:
+        for key, run in _runs(pdf):
+            if key != now:
+                if now is not None:
+                    yield row()
+                now, n, head, tail = key, 0, [], []
+            lines = run["value"]
+            missing = EDGE - len(head)
+            head = head + lines.iloc[:missing].tolist()
+            tail = (tail + lines.iloc[missing:].iloc[-EDGE:].tolist())[-EDGE:]
+            n += len(lines)
+    if now is not None:
+        yield row()
+
+
+def _whole_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records whose four lines lie in one split, from its lines in order and the number of its first line."""
+    now, at, rest = None, 0, []
+    for pdf in batches:
+        for key, run in _runs(pdf):
+            if key != now:
+                now, at, rest = key, int(run["_from"].iloc[0]), []
+            lines = rest + run["value"].tolist()
+            skip = -at % 4
+            whole = max(0, (len(lines) - skip) // 4)
+            stop = skip + 4 * whole
+            if whole:
+                part = lines[skip:stop]
+                columns = {"header": part[::4], "seq": part[1::4], "mark": part[2::4], "qual": part[3::4]}
+                first = (at + skip) // 4
+                yield pd.DataFrame({"_file": key[0], "rec": range(first, first + whole), **columns})
+                at, rest = at + stop, lines[stop:]
+            else:
+                rest = lines
+
+
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """FASTQ files of four lines a record through Spark's splittable text reader.
+
+    Any storage and codec Spark's text reader knows (.gz is one split).  A first pass counts the lines of
+    each split, so that every split knows which line of a record it begins with; there is nothing to
+    guess from markers, which qualities may hold.  Records that lie in one split are put together
+    there; the few that run over a border come from the lines at the ends of the splits.  No
+    sequence is shuffled otherwise.  Ids hold the place of the file among the sorted paths and the
+    record, as in ``read_records``.  Carriage returns are dropped, and four empty lines are no record.  A
+    record with a wrong marker or lines missing, or whose quality is not as long as its sequence
+    (a wrapped file, which ``read_records`` reads), fails the job.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.rtrim(F.col("value"), F.lit("\r")).alias("value")
+    )
+    edges = checkpointed(lines.mapInPandas(_split_edges, _EDGE_SCHEMA))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+    offsets = edges.select("_file", "_block", "_from")
+    if edges.count() * BYTES_PER_SPLIT <= SPLIT_BROADCAST_LIMIT:
+        placed = lines.join(F.broadcast(offsets), ["_file", "_block"])
+    else:
+        ordered = lines.withColumn("_m", F.monotonically_increasing_id())
+        placed = ordered.join(offsets, ["_file", "_block"]).repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_m").drop("_m")
+    whole = placed.mapInPandas(_whole_records, _WHOLE_SCHEMA)
+
+    ends = F.concat(
+        F.transform("_head", lambda x, i: F.struct((F.col("_from") + i).alias("line"), x.alias("value"))),
+        F.transform("_tail", lambda x, i: F.struct((F.col("_from") + F.col("_n") - F.size("_tail") + i).alias("line"), x.alias("value"))),
+    )
+    rec = F.floor(F.col("_x.line") / 4)
+    inside = (rec * 4 >= F.col("_from")) & (rec * 4 + 3 < F.col("_from") + F.col("_n"))
+    cut = edges.select("_file", "_from", "_n", F.explode(ends).alias("_x")).filter(~inside)
+    field = {c: F.max(F.when(F.col("_x.line") % 4 == i, F.col("_x.value"))).alias(c) for i, c in enumerate(("header", "seq", "mark", "qual"))}
+    whole = whole.unionByName(cut.groupBy("_file", rec.alias("rec")).agg(*field.values()))
+
+    text = F.concat_ws("", "header", "seq", "mark", "qual")
+    sound = F.col("header").startswith("@") & F.col("mark").startswith("+") & (F.length("seq") == F.length("qual"))
+    message = F.concat(F.lit("not a FASTQ record of four lines: "), "_file", F.lit(", line "), (F.col("rec") * 4 + 1).cast("string"))
+    checked = F.when(F.coalesce(sound, F.lit(False)), F.substring("header", 2, 1 << 30)).otherwise(F.raise_error(message))
+    # a file may end with the marker line of an empty sequence, its line of no qualities unsaid
+    records = whole.filter(text != "").fillna("", ["qual"]).withColumn("header", checked)
+    # one row per file; lost in no join, as every record is of a file with lines
+    files = edges.select("_file").distinct().withColumn("_ord", F.row_number().over(Window.orderBy("_file")) - 1)
+    if files.count() * BYTES_PER_SPLIT <= SPLIT_BROADCAST_LIMIT:
+        files = F.broadcast(files)
+    name, comment = split_header("header")
+    return records.join(files, "_file").select(
+        (F.shiftleft(F.col("_ord").cast("long"), RECORD_BITS) + F.col("rec")).alias("seq_id"),
+        name.alias("name"), comment.alias("comment"), F.translate("seq", " ", "").alias("seq"), "qual",
+    )
+
+
 # ---------------------------------------------------------------------------------- sinks
 def record_text():
     """FASTA, or FASTQ when a quality is present; bodies on a single line."""

@@ -6,7 +6,8 @@ import random
 import pytest
 
 from seedloom.cli import read_files, write_rejected
-from seedloom.sources.fasta import read_fasta, read_records, write_records
+import seedloom.sources.fasta as fasta
+from seedloom.sources.fasta import read_fasta, read_fastq, read_records, write_records
 
 # wrapped bodies, CRLF, blank lines, spaces after the marker, a marker inside a header, a trailing comment
 FASTA = ">chrA first arm > left\nGATTACA\n>  chrB\r\nCCGG\r\n\r\nTTAA\r\n\n\n> chrC\n\n\nGT\n>chrD  \nTTTTT\n\n"
@@ -53,6 +54,53 @@ def test_fastq(spark, tmp_path, comment, qual):
     assert got == [(n, c if comment else "", s, q if qual else "") for n, c, s, q in WANT_Q]
 
 
+def four_lines(rng, n, longest):
+    """Records whose qualities begin with, and hold, every marker."""
+    out = []
+    for i in range(n):
+        seq = "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, rng.randint(2, longest)])))
+        qual = "".join(rng.choice("@+>I#") for _ in seq)
+        out.append(f"@r{i} lane=@{i % 3}\n{seq}\n+{rng.choice(['', 'x', '@'])}\n{qual}\n")
+    return out
+
+
+@pytest.mark.parametrize("size", ["128m", "4096", "300", "41"])
+def test_fastq_is_split_anywhere(spark, tmp_path, size, monkeypatch):
+    """Splits shorter than a record, several splits in one task, CRLF, blank lines at the end, several files, gzip."""
+    rng = random.Random(29)
+    longest = 60 if size == "41" else 300
+    n = 60 if size == "41" else 200
+    for name, end in (("a.fq", ""), ("b.fq", "\n\n\n"), ("c.fq", "\n" * 9)):
+        (tmp_path / name).write_text("".join(four_lines(rng, n, longest)) + end)
+    (tmp_path / "d.fq").write_bytes("".join(four_lines(rng, 20, longest)).replace("\n", "\r\n").encode())
+    (tmp_path / "e.fq.gz").write_bytes(gzip.compress("".join(four_lines(rng, 50, longest)).encode()))
+    (tmp_path / "f.fq").write_text("".join(four_lines(rng, 3, 9)).removesuffix("\n"))
+    files = sorted(str(f) for f in tmp_path.glob("*.fq*"))
+    cols = ("seq_id", "name", "comment", "seq", "qual")
+    want = listed(read_records(spark, files), *cols)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert listed(read_fastq(spark, files), *cols) == want
+        if size == "300":
+            monkeypatch.setattr(fasta, "SPLIT_BROADCAST_LIMIT", 0)
+            assert listed(read_fastq(spark, str(tmp_path / "*.fq*")), *cols) == want
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_fastq_that_is_not_of_four_lines(spark, tmp_path):
+    good = "@a\nAC\n+\nII\n"
+    for i, bad in enumerate(["@a\nAC\nGT\n+\nII\nII\n", good + "\n" + good, good + "@b\nAC\n+\n", "@a\nAC\n+\nIII\n", ">a\nAC\n>b\nGT\n"]):
+        (tmp_path / f"{i}.fq").write_text(bad)
+        with pytest.raises(Exception, match="not a FASTQ record"):
+            read_fastq(spark, str(tmp_path / f"{i}.fq")).collect()
+    (tmp_path / "none.fq").write_text("")
+    assert read_fastq(spark, str(tmp_path / "none.fq")).collect() == []
+
+
 def test_leading_text_and_standard_input(spark, tmp_path):
     f = tmp_path / "j.fa"
     f.write_text("some words\nmore\n" + FASTA)
