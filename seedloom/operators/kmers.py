@@ -149,14 +149,17 @@ class PieceLayout:
         )
 
 
-def query_pieces(queries: DataFrame, layout: PieceLayout, spread: bool = False) -> DataFrame:
+def query_pieces(queries: DataFrame, layout: PieceLayout, spread: bool = False, tasks: int = 0) -> DataFrame:
     """``(seq_id[, name], piece, n_pieces, qlen, pstart, pseq)``; short queries stay whole.
 
     With ``spread`` the pieces of long queries are shuffled over the cluster, so that no
     task keeps a whole chromosome.  Short queries, the bulk, are not moved; the price is
     a second look at the input for the long ones.  A column ``len_bound``, if there is
-    one, is an upper bound of the length that costs less to compute.
+    one, is an upper bound of the length that costs less to compute.  With ``tasks``, all pieces are
+    dealt to so many tasks, which have fewer seeds each than the input's splits would.
     """
+    if tasks:
+        return _cut(queries, layout).repartition(tasks, "seq_id", "piece")
     if not spread:
         return _cut(queries, layout)
     size = F.col("len_bound") if "len_bound" in queries.columns else F.length("seq")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ BYTES_PER_INDEX_ROW = 96
 BROADCAST_LIMIT = 512 << 20
 # Rows of one k-mer, of either side, that meet in one cell of the shuffled join: 4 million pairs at most.
 ROWS_PER_CELL = 2_000
+# Seeds that one task is to group, or to sort (three longs each): about 200 MB, so that nothing is spilled.
+SEEDS_PER_TASK = 1 << 20
+SEEDS_PER_SORT = 1 << 22
+# No task gets less query than this, however many seeds a base has.
+BASES_PER_TASK = 1 << 17
 
 
 def keep_seed(k: int, interval: int) -> Column:
@@ -69,6 +76,19 @@ def _grid_join(q_kmers: DataFrame, r_kmers: DataFrame, per_cell: int = ROWS_PER_
     return next(sides).join(next(sides), ["kmer", "_row", "_col"]).drop("_row", "_col")
 
 
+def seed_tasks(queries: DataFrame, r_kmers: DataFrame, per_task: int = SEEDS_PER_TASK) -> int:
+    """Tasks over which ``queries`` are dealt, so that each has about ``per_task`` seeds.
+
+    All queries are measured.  A base is taken to start as many seeds as one of the references' own
+    k-mers does on average, which is more than in unrelated text.
+    """
+    size = F.col("len_bound") if "len_bound" in queries.columns else F.length("seq")
+    bases = queries.agg(F.sum(size.cast("long"))).first()[0] or 0
+    n = r_kmers.groupBy("kmer").agg(F.count("*").cast("double").alias("n"))
+    per_base = n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    return max(1, min(math.ceil(bases * per_base / per_task), math.ceil(bases / BASES_PER_TASK)))
+
+
 def seeds(
     q_kmers: DataFrame,
     r_kmers: DataFrame,

@@ -18,7 +18,7 @@ from ..operators.chains import greedy_chains
 from ..operators.extension import extend_trace_udf, extend_udf
 from ..operators.flanks import FLANK, filter_flanks, padded
 from ..operators.kmers import PieceLayout, both_strands, coded_kmers, query_kmers, query_pieces
-from ..operators.seeds import BROADCAST_LIMIT, BYTES_PER_INDEX_ROW, seeds
+from ..operators.seeds import BROADCAST_LIMIT, BYTES_PER_INDEX_ROW, SEEDS_PER_SORT, seed_tasks, seeds
 from ..profile import Profile
 from ..session import bound_arrow_batches
 from .index import Index
@@ -57,8 +57,13 @@ def layout_for(index: Index, pid: int, core: int | None = None, warm: int | None
 def seed_stage(queries: DataFrame, index: Index, pid: int, layout: PieceLayout, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Squashed seeds of one profile's references."""
     profile = index.profiles[pid]
-    kmers = query_kmers(query_pieces(queries, layout, spread=True), profile.k, coded=True)
-    table = coded_kmers(index.kmers.filter(F.col("pid") == pid).drop("pid"))
+    own = index.kmers.filter(F.col("pid") == pid).drop("pid")
+    # seeds are sorted where they are born: splits with too many of them are dealt out as text
+    broadcast = index.stats[pid]["max_kmers"] * BYTES_PER_INDEX_ROW <= limit
+    tasks = seed_tasks(queries, own, SEEDS_PER_SORT) if broadcast else 0
+    tasks = tasks if tasks > queries.rdd.getNumPartitions() else 0
+    kmers = query_kmers(query_pieces(queries, layout, spread=True, tasks=tasks), profile.k, coded=True)
+    table = coded_kmers(own)
     return seeds(kmers, table, profile.k, profile.squash_interval, index.stats[pid]["max_kmers"], limit=limit)
 
 

@@ -3,6 +3,7 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from seedloom import catalog
 
@@ -58,3 +59,26 @@ def test_default_k_chains_equal_their_sql(spark, gapped):
     assert order == sorted(want.columns)
     assert sorted(map(repr, got[order].itertuples(index=False, name=None))) == sorted(map(repr, want[order].itertuples(index=False, name=None)))
     assert got["n_chains"].sum() > 500
+
+
+@pytest.mark.parametrize("name", ["seed_join", "seed_squash", "seed_diagonals", "best_per_start", "paf_format"])
+def test_seeds_are_not_shuffled(spark, gapped, name):
+    """Documents are dealt out as text; nothing between the k-mer join and the first aggregates moves seeds."""
+    plan = catalog.queries()[name](spark, str(gapped))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.rindex("BroadcastHashJoin")]
+    assert "HashAggregate" in above and "Exchange" not in above.replace("BroadcastExchange", "")
+
+
+def test_chains_of_dealt_pieces(spark, gapped, monkeypatch):
+    """Where splits would have too many seeds to sort, pieces are dealt to more tasks, with the same chains."""
+    from seedloom.plans import scan as stages
+
+    rows = lambda: sorted(map(tuple, catalog.queries()["chain_greedy_default"](spark, str(gapped)).collect()))
+    want = rows()
+    docs, index = catalog.doc_sequences(spark, str(gapped)), catalog.index_of(spark, str(gapped), catalog.DEFAULT_PROFILE)
+    monkeypatch.setattr(stages, "SEEDS_PER_SORT", 500)
+    monkeypatch.setattr("seedloom.operators.seeds.BASES_PER_TASK", 100)
+    found = stages.seed_stage(docs, index, 0, stages.layout_for(index, 0))
+    most = max(found.withColumn("_p", F.spark_partition_id()).groupBy("_p").count().collect(), key=lambda r: r["count"])
+    assert found.rdd.getNumPartitions() > 16 and most["count"] < found.count() / 4
+    assert rows() == want
