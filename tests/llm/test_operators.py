@@ -158,6 +158,28 @@ def test_pieces_round_trip(docs, awkward):
         assert (r["text"] or "") == r["back"]
 
 
+def test_every_segmentation_is_written_out(spark):
+    rnd = random.Random(8)
+    words = ["unbelievable", "tokens", "naïve", "日本", "x▁y", "Ⴀ" * 3, "aGVsbG8gd29ybGQ" * 5]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(1, 9))) for _ in range(30)] + ["", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    coder = pieces.Encoder(pieces.Vocabulary(registry.PIECES), 4)
+    for r in pieces.segmentation_digest(df, registry.PIECES).collect():
+        ways = coder.n_best(texts[r["doc_id"]])
+        assert list(r["scores"]) == [s for s, _ in ways] and list(r["all_n_pieces"]) == [len(ids) for _, ids in ways]
+        assert list(r["all_ids_xxh64"]) == [pieces.xxhash.xxh64_hexdigest(np.array(ids, "<i4").tobytes()) for _, ids in ways]
+        assert r["round_trip"] and (r["n_pieces"], r["ids_xxh64"]) == ((len(ways[0][1]), r["all_ids_xxh64"][0]) if ways else (0, pieces.EMPTY_HASH))
+
+
+def test_pieces_of_many_chunks_equal_those_of_one():
+    rnd = random.Random(2)
+    v = pieces.Vocabulary(pieces={p: -rnd.randint(1, 9) for p in ["a", "b", "ab", "ba", "aa", "aab", "▁", "▁a", "▁ab", "▁▁", "abab"]})
+    chunks = list({"".join(rnd.choice("▁") for _ in range(rnd.randint(0, 2))) + "".join(rnd.choice("abcé😀") for _ in range(rnd.randint(1, 12))) for _ in range(400)})
+    score, loss, ids = v.best_of_many(chunks)
+    for i, c in enumerate(chunks):
+        assert (score[i], loss[i], np.frombuffer(ids[i], np.int32).tolist()) == v.best(c)
+
+
 def base_secrets(t):
     patterns = {
         "assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -574,6 +596,19 @@ def test_language_held_out_and_mixtures(spark, awkward):
     assert {r["lang_pred"] for r in language.identify(awkward, nothing).collect()} == {"und"}
 
 
+def test_language_floor_sees_every_document(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join("".join(rnd.choices("abcdefgh", k=4)) for _ in range(8)), "xx") for i in range(4_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(d)
+    # a rare document that no sample has to hold sets the lowest quantile
+    lowest = min(model.mixtures([t for _, t, _ in rows])[2])
+    for odd in ("zyxw qrst", "mnop zzzz"):
+        more = d.unionByName(spark.createDataFrame([(10_000 + i, odd + "wv"[i] * i, "xx") for i in range(2)], d.schema))
+        least = model.mixtures([odd, odd + "v"])[2].min()
+        assert least < lowest and abs(language.with_floor(more, model, tail=1e-9).floor - (least - 2.0)) < 1e-9
+
+
 def test_packing_rules(spark, docs):
     rows = [(i, random.Random(i).randint(0, 900), f"s{i % 3 if i % 2 else 0}", i // 4 if i % 5 else None) for i in range(500)]
     rows += [(7, 300, None, 3), (7, 300, None, 3), (None, 10, "s1", None), (900, None, "s1", 1), (901, 5_000, "s0", 1), (902, 1_000, "s0", 1)]
