@@ -170,16 +170,15 @@ def language(text: str, model: LanguageModel, penalty: float = 1.0) -> Column:
     return apply.asNondeterministic()(F.col(text))
 
 
-def with_floor(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 2_000, tail: float = 0.001, margin: float = 2.0) -> LanguageModel:
+def with_floor(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", tail: float = 0.001, margin: float = 2.0) -> LanguageModel:
     """The model with the log-likelihood per trigram under which a text is in none of its languages.
 
-    ``margin`` nats under the ``tail`` quantile of ``sample`` documents with a language, taken by another
-    hash of the id than those learned from (``sample`` bounds what is scored here, not what is judged).
+    ``margin`` nats under the ``tail`` quantile of all documents with an id, a letter and a language.  Each of them is
+    scored; a merged quantile summary per task is all that is shuffled (rank error 1e-5 of the rows).
     """
     known = docs.where(F.col(doc_id).isNotNull() & F.col(text).rlike("\\p{L}") & F.col(lang).isNotNull())
-    ids = known.select(doc_id).orderBy(F.xxhash64(F.col(doc_id), F.lit("floor")), doc_id).limit(sample).distinct()
-    found = known.join(F.broadcast(ids), doc_id, "left_semi").select(language(text, model)["nats"].alias("nats"))
-    low = found.agg(F.percentile_approx("nats", tail, 10_000)).first()[0]
+    found = known.select(language(text, model)["nats"].alias("nats"))
+    low = found.agg(F.percentile_approx("nats", tail, 100_000)).first()[0]
     return LanguageModel(model.languages, model.logs, -np.inf if low is None else low - margin)
 
 
