@@ -189,6 +189,7 @@ def _cut(queries: DataFrame, layout: PieceLayout) -> DataFrame:
 
 # Base codes of the numeric k-mer form: one decimal digit per base, zero past the end.
 _DIGITS = ("ACGTN", "12349")
+BASE_CODES = (1, 2, 3, 4)
 
 
 def coded_kmers(kmers: DataFrame) -> DataFrame:

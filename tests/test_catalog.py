@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seedloom import catalog
+from seedloom.operators.kmers import coded_kmers
+from seedloom.operators.seeds import seed_totals, seeds
 
 from .test_scan import mutate
 
@@ -82,3 +84,29 @@ def test_chains_of_dealt_pieces(spark, gapped, monkeypatch):
     most = max(found.withColumn("_p", F.spark_partition_id()).groupBy("_p").count().collect(), key=lambda r: r["count"])
     assert found.rdd.getNumPartitions() > 16 and most["count"] < found.count() / 4
     assert rows() == want
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_totals_equal_an_aggregate_over_seeds(spark, gapped, limit):
+    """Sums by k-mer before the join give what the seeds themselves give, broadcast or by the grid."""
+    docs, index = catalog.doc_sequences(spark, str(gapped)), catalog.index_of(spark, str(gapped), catalog.DEFAULT_PROFILE)
+    again = docs.withColumn("seq", F.concat("seq", F.lit("ACGTN"))).unionByName(docs.withColumn("seq_id", F.lit(None).cast("long")))
+    table = coded_kmers(index.kmers.drop("pid"))
+    table = table.unionByName(table.filter("rid < 2").withColumn("rid", F.lit(None).cast("int")))
+    kmers, rows = catalog.dealt_kmers(docs.unionByName(again), index), index.stats[0]["max_kmers"]
+    want = catalog._seed_summary(seeds(kmers, table, 4, 16, rows, limit=limit)).withColumnRenamed("doc_id", "seq_id")
+    got = seed_totals(kmers, table, 4, 16, rows, limit).select(*want.columns)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_default_k_seeds_are_summed_before_they_meet(spark, tmp_path):
+    """Two thousand million seeds of one letter, one by one, would take an hour."""
+    n_q, n_r = 60_000, 32_000
+    for name, key, n in (("documents", "doc_id", n_q), ("benchmark", "item_id", n_r)):
+        pd.DataFrame({key: [1], "text": ["a" * n]}).to_parquet(tmp_path / f"{name}.parquet")
+    (got,) = catalog.queries()["seed_squash_default"](spark, str(tmp_path)).collect()
+    kept = (n_q - 4) // 16 + 1  # query positions whose seeds all stay; the others keep the one at the end of the reference
+    assert (got["doc_id"], got["rid"], got["strand"]) == (1, 1, "+")
+    assert got["n_seeds"] == kept * (n_r - 3) + (n_q - 3 - kept)
+    assert (got["v_min"], got["v_max"]) == (-(n_q - 4), 2 * (n_r - 4))
