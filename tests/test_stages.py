@@ -1,12 +1,14 @@
 """Single stages against hand-made cases and the plain restatement."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seedloom.operators import chains as C
+from seedloom.operators import lockstep as L
 from seedloom.operators import overlaps as O
 from seedloom.operators import seeds as S
 from seedloom.operators import extension as X
@@ -422,3 +424,89 @@ def test_paf_round_trip(spark):
     assert parse_paf(bad, strict=False).count() == 0
     with pytest.raises(Exception, match="malformed"):
         parse_paf(bad).collect()
+
+
+# ------------------------------------------------------------- chains of lists of positions
+def walked(lanes, window, least):
+    """Chains of several groups at once, by ``lockstep``."""
+    key, bounds = [], []
+    for i, pts in enumerate(lanes):
+        mine = sorted((i << L.LANE) + ((2 * q - r + 1000) << L.R_BITS) + r for q, r in pts)
+        bounds.append((len(key), len(key), len(key) + len(mine), len(key) + len(mine)))
+        key += mine + [((i + 1) << L.LANE) - 1] * (-len(mine) % 64)
+    key = np.array(key)
+    lane, first, last, n = L.Stretches(L.Walk(key, window), bounds, 3 * 61 + 2 * window).run(least)
+
+    def place(at):
+        r = key[at] & ((1 << L.R_BITS) - 1)
+        return (((key[at] >> L.R_BITS) & ((1 << L.U_BITS) - 1)) - 1000 + r) >> 1, r
+
+    (qa, ra), (qb, rb) = place(first), place(last)
+    rows = zip(lane.tolist(), qa.tolist(), ra.tolist(), (qb - qa + 5).tolist(), (rb - ra + 5).tolist(), n.tolist())
+    return [sorted(x[1:] for x in mine) for mine in _by_lane(rows, len(lanes))]
+
+
+def _by_lane(rows, n):
+    out = [[] for _ in range(n)]
+    for x in rows:
+        out[x[0]].append(x)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_walks_of_stretches_equal_the_single_walk(seed, monkeypatch):
+    """Sparse and very dense groups, some with equal seeds, cut into stretches that rarely agree at once."""
+    rng = random.Random(seed)
+    stretch, replay = rng.choice([(2048, 512), (64, 8), (17, 3), (40, 0)])
+    monkeypatch.setattr(L, "STRETCH", stretch)
+    monkeypatch.setattr(L, "REPLAY", replay)
+    lanes = [[(rng.randint(0, size), rng.randint(0, 60)) for _ in range(rng.randint(1, 900))] for size in (20, 40, 150, 400)]
+    for window in (4, 32, 63):
+        want = [sorted(linked(pts, window, 3)) for pts in lanes]
+        assert walked(lanes, window, 3) == want
+        assert sum(map(len, want)) > 20
+
+
+def test_lists_equal_rows(spark, monkeypatch):
+    """Both forms of the seeds give the same chains; ids that are null or twice, steps that hold few seeds."""
+    from seedloom.plans import scan as stages
+
+    rng = random.Random(4)
+    rand = lambda n: "".join(rng.choice("AACGT") for _ in range(n))
+    refs = [(i, "r", rand(rng.randint(30, 90))) for i in range(24)]
+    index = build_index(spark.createDataFrame(refs, "rid int, name string, seq string"), DEFAULT_PROFILE)
+    texts = [(i // 2, "q", rand(rng.choice([0, 3, 40, 900]))) for i in range(24)]
+    q = spark.createDataFrame(texts, "seq_id long, name string, seq string")
+    layout = PieceLayout.of(90, DEFAULT_PROFILE, core=300, warm=200)
+    rows = lambda: sorted(map(tuple, stages.chain_stage(q, index, 0, layout).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(stages, "SEEDS_FOR_LISTS", 10**9)
+        assert stages.list_stage(q, index, 0, layout) is None
+        want = rows()
+    assert stages.list_stage(q, index, 0, layout) is not None
+    assert rows() == want and len(want) > 300
+    # a few slots a step; groups that no step holds
+    monkeypatch.setattr(L, "SEEDS_PER_STEP", 300)
+    assert rows() == want
+    null = q.withColumn("seq_id", F.lit(None).cast("long")).limit(1).unionByName(q.limit(0))
+    assert {r["seq_id"] for r in stages.chain_stage(null, index, 0, layout).collect()} <= {None}
+    # the list form meets every seed once
+    kmers = stages.seed_stage(q, index, 0, layout).count()
+    lists = stages.list_stage(q, index, 0, layout).collect()
+    met = sum(1 for x in lists for a in x["q"] for b in x["r"] if not a & 7 or a & 7 != b & 7)
+    assert met == kmers
+
+
+def test_many_seeds_are_chained_in_time(spark):
+    """Thirty million seeds, which took minutes one by one."""
+    rng = random.Random(5)
+    rand = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    refs = spark.createDataFrame([(i, "r", rand(250)) for i in range(100)], "rid int, name string, seq string")
+    index = build_index(refs, DEFAULT_PROFILE)
+    q = spark.createDataFrame([(i, "q", rand(3000)) for i in range(64)], "seq_id long, name string, seq string")
+    from seedloom.plans.scan import chain_stage
+
+    layout = PieceLayout.of(250, DEFAULT_PROFILE)
+    began = time.time()
+    assert chain_stage(q, index, 0, layout).count() > 200_000
+    assert time.time() - began < 60
