@@ -208,7 +208,8 @@ def query_kmers(pieces: DataFrame, k: int, owned: PieceLayout | None = None, cod
     ``q_next`` is empty only at the true end.  Neighbouring pieces overlap; with ``owned``
     (their layout) each piece lists only the k-mers of its own core, so that every k-mer
     of the query appears once.  ``coded`` gives numbers instead of text (a k-mer and its
-    following base come from one slice, and a join on a number probes faster).
+    following base come from one slice, and a join on a number probes faster).  A column ``wanted`` of the
+    pieces, if there is one, goes along.
     """
     plen = F.length("pseq")
     at_end = F.col("pstart") + plen == F.col("qlen")
@@ -216,22 +217,24 @@ def query_kmers(pieces: DataFrame, k: int, owned: PieceLayout | None = None, cod
     last = plen - k - F.when(at_end, 0).otherwise(1)
     if owned is not None:
         core_start = F.col("piece") * owned.core - F.col("pstart")
-        first, last = core_start, F.least(last, core_start + owned.core - 1)
+        # a stretch of a piece may begin behind the start of the core
+        first, last = F.greatest(first, core_start), F.least(last, core_start + owned.core - 1)
     # a NULL array explodes to nothing; a filter here would be pushed below the text work and repeat it
     offsets = F.when(last >= first, F.sequence(first, last))
     text = F.col("pseq")
     if coded:
         text = F.translate(F.concat(text.cast("string"), F.lit("0")), *_DIGITS).cast("binary")
-    keep = ["seq_id", "piece", "n_pieces", "qlen", "pstart"]
+    along = [c for c in ("wanted",) if c in pieces.columns]
+    keep = ["seq_id", "piece", "n_pieces", "qlen", "pstart", *along]
     # the text is prepared in a projection of its own, below the explode, once per piece
     ready = pieces.select(*keep, text.alias("_t"), offsets.alias("_o"))
     pos = ready.select(*keep, "_t", F.explode("_o").alias("_i"))
     qpos = (F.col("pstart") + F.col("_i")).alias("qpos")
     if coded:
         both = F.substring(F.col("_t"), F.col("_i") + 1, F.lit(k + 1)).cast("string").try_cast("long")
-        one = pos.select("seq_id", "piece", "n_pieces", "qlen", qpos, both.alias("_c"))
+        one = pos.select("seq_id", "piece", "n_pieces", "qlen", *along, qpos, both.alias("_c"))
         return one.select(
-            "seq_id", "piece", "n_pieces", "qlen", F.expr("_c div 10").alias("kmer"), "qpos",
+            "seq_id", "piece", "n_pieces", "qlen", *along, F.expr("_c div 10").alias("kmer"), "qpos",
             (F.col("_c") % 10).cast("int").alias("q_next"),
         )
     return pos.select(
@@ -239,6 +242,7 @@ def query_kmers(pieces: DataFrame, k: int, owned: PieceLayout | None = None, cod
         "piece",
         "n_pieces",
         "qlen",
+        *along,
         F.substring(F.col("_t"), F.col("_i") + 1, F.lit(k)).cast("string").alias("kmer"),
         qpos,
         F.substring(F.col("_t"), F.col("_i") + k + 1, F.lit(1)).cast("string").alias("q_next"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import rotate_u, rotate_v
 from .kmers import BASE_CODES
+from .sieve import wanted_seed, with_slot_bit
 
 # A hashed build-side row of the k-mer index costs about this much in an executor.
 BYTES_PER_INDEX_ROW = 96
@@ -108,8 +109,14 @@ def seeds(
     squash: bool = True,
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """``(seq_id, piece, n_pieces, qlen, rid, strand, qpos, rpos, u, v)``."""
-    hits = join_kmers(q_kmers, r_kmers, n_index_rows, limit)
+    """``(seq_id, piece, n_pieces, qlen, rid, strand, qpos, rpos, u, v)``.
+
+    K-mers of stretches that were sieved give the seeds on the references and strands ``wanted`` only.
+    """
+    sieved = "wanted" in q_kmers.columns
+    hits = join_kmers(q_kmers, with_slot_bit(r_kmers) if sieved else r_kmers, n_index_rows, limit)
+    if sieved:
+        hits = hits.filter(wanted_seed())
     if squash:
         hits = hits.filter(keep_seed(k, interval))
     q, r = F.col("qpos").cast("long"), F.col("rpos").cast("long")
