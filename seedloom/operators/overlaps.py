@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Positions per bin.
 WIDTH = 1 << 12
 
@@ -48,8 +50,10 @@ def overlap_counts(rows: DataFrame, key: str, start: str = "qstart", end: str =
     No pair is made.  What overlaps ``[s, e)`` starts before ``e`` and does not end by ``s``, so two running
     counts per position answer it.  Rows are first counted by position, then summed within bins
     and over the totals of the bins (a two-level scan), so a read with any number of hits is
-    spread over its bins.
+    spread over its bins.  The rows and the scan, which are used several times, are written to the
+    checkpoint folder when this is called.
     """
+    rows = stored(rows)
     real = _real(rows, key, start, end)
     ends = F.array(F.struct(F.col(start).cast("long").alias("pos"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col(end).cast("long").alias("pos"), F.lit(0).alias("s"), F.lit(1).alias("e")))
     events = real.select(F.col(key).alias("_key"), F.explode(ends).alias("_x")).groupBy("_key", F.col("_x.pos").alias("_pos"))
@@ -63,6 +67,7 @@ def overlap_counts(rows: DataFrame, key: str, start: str = "qstart", end: str =
         (F.col("_ts") + F.sum("_s").over(inner) - F.col("_s")).alias("_started"),  # before this position
         (F.col("_te") + F.sum("_e").over(inner)).alias("_ended"),  # up to this position
     )
+    scanned = stored(scanned)
     to_end = scanned.select(F.col("_key").alias("_k1"), F.col("_pos").alias("_p1"), "_started")
     to_start = scanned.select(F.col("_key").alias("_k2"), F.col("_pos").alias("_p2"), "_ended")
     met = rows.join(to_end, (F.col(key) == F.col("_k1")) & (F.col(end) == F.col("_p1")), "left")
