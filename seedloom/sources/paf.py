@@ -52,33 +52,37 @@ def parse_paf(lines: DataFrame, col: str = "value", standard: bool = False, stri
     dropped with ``strict=False``.
     """
     shift = 0 if standard else 1
-    f = F.split(F.col(col), "\t")
-    good = (F.size(f) >= 12) & F.get(f, F.lit(4)).isin("+", "-")
-    rows = lines.filter(F.length(F.trim(F.col(col))) > 0)
+    # a line is made and split once, below the explode, not for each check and column
+    filled = F.when(F.length(F.trim(F.col(col))) > 0, F.array(F.split(F.col(col), "\t")))
+    rows = lines.select(F.explode(filled).alias("_f"))
+    good = (F.size("_f") >= 12) & F.get("_f", F.lit(4)).isin("+", "-")
     if strict:
-        message = F.concat(F.lit("malformed alignment row: "), F.col(col))
+        message = F.concat(F.lit("malformed alignment row: "), F.array_join("_f", "\t"))
         rows = rows.filter(F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
     else:
         rows = rows.filter(good)
 
+    def field(i: int) -> Column:
+        return F.get("_f", F.lit(i))
+
     def num(i: int) -> Column:
-        return F.get(f, F.lit(i)).cast("long")
+        return field(i).cast("long")
 
     def tag(name: str) -> Column:
-        text = F.regexp_extract(F.col(col), rf"(?:^|\t){name}:([^\t]*)", 1)
-        return F.when(text != "", text)
+        first = F.get(F.filter("_f", lambda x: x.startswith(f"{name}:")), F.lit(0))
+        return F.nullif(F.substr(first, F.lit(len(name) + 2)), F.lit(""))
 
     return rows.select(
-        F.get(f, F.lit(0)).alias("qname"),
+        field(0).alias("qname"),
         num(1).alias("qlen"),
         num(2).alias("qstart"),
         (num(3) + shift).alias("qend"),
-        F.get(f, F.lit(4)).alias("strand"),
-        F.get(f, F.lit(5)).alias("rname"),
+        field(4).alias("strand"),
+        field(5).alias("rname"),
         num(6).alias("rlen"),
         num(7).alias("rstart"),
         (num(8) + shift).alias("rend"),
-        F.expr(f"try_cast(split({col}, '\\t')[9] AS INT)").alias("matches"),
+        field(9).try_cast("int").alias("matches"),
         num(10).alias("block_len"),
         num(11).cast("int").alias("mapq"),
         tag("AS:i").cast("int").alias("score"),
