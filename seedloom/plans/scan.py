@@ -28,6 +28,7 @@ from ..operators.seeds import (
     seeds,
     seeds_per_base,
 )
+from ..operators.sieve import KmerTable, in_runs
 from ..profile import Profile
 from ..session import bound_arrow_batches
 from .index import Index
@@ -67,16 +68,24 @@ def layout_for(index: Index, pid: int, core: int | None = None, warm: int | None
     return PieceLayout.of(index.stats[pid]["max_rlen"], index.profiles[pid], core, warm)
 
 
-def seed_stage(queries: DataFrame, index: Index, pid: int, layout: PieceLayout, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Squashed seeds of one profile's references."""
+def seed_stage(
+    queries: DataFrame, index: Index, pid: int, layout: PieceLayout, limit: int = BROADCAST_LIMIT, sieve: bool = False
+) -> DataFrame:
+    """Squashed seeds of one profile's references.
+
+    With ``sieve`` only those that may be part of a chain: runs with fewer seeds than a chain may lack some or all.
+    """
     profile = index.profiles[pid]
     own = index.kmers.filter(F.col("pid") == pid).drop("pid")
     # seeds are sorted where they are born: splits with too many of them are dealt out as text
     broadcast = index.stats[pid]["max_kmers"] * BYTES_PER_INDEX_ROW <= limit
     tasks = seed_tasks(queries, own, SEEDS_PER_SORT) if broadcast else 0
     tasks = tasks if tasks > queries.rdd.getNumPartitions() else 0
-    kmers = query_kmers(query_pieces(queries, layout, spread=True, tasks=tasks), profile.k, coded=True)
-    table = coded_kmers(own)
+    pieces, table = query_pieces(queries, layout, spread=True, tasks=tasks), coded_kmers(own)
+    if sieve and broadcast:
+        found = KmerTable.of(table, profile.k)
+        pieces = in_runs(pieces, found, profile.min_seeds, profile.window, profile.squash_interval)
+    kmers = query_kmers(pieces, profile.k, coded=True)
     return seeds(kmers, table, profile.k, profile.squash_interval, index.stats[pid]["max_kmers"], limit=limit)
 
 
@@ -98,9 +107,9 @@ def list_stage(queries: DataFrame, index: Index, pid: int, layout: PieceLayout,
 
 
 def chain_stage(queries: DataFrame, index: Index, pid: int, layout: PieceLayout, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    found = seed_stage(queries, index, pid, layout, limit)
     co_located = index.stats[pid]["max_kmers"] * BYTES_PER_INDEX_ROW <= limit
     lists = list_stage(queries, index, pid, layout, limit)
+    found = seed_stage(queries, index, pid, layout, limit, sieve=lists is None)
     return greedy_chains(found, index.profiles[pid], layout, co_located, lists)
 
 
