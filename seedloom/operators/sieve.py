@@ -26,6 +26,8 @@ BASES_PER_STEP = 1 << 17
 SEEDS_PER_STEP = 1 << 22
 # Stretches that are no farther apart are one.
 JOINED = 16
+# What copies of one piece share.
+UNIT = ["seq_id", "piece"]
 # Bits of ``wanted``: a reference and strand has the one of its number modulo this.
 SLOT_BITS = 512
 _NONE = 4  # no base, or none that can be read
@@ -83,15 +85,42 @@ class KmerTable:
         return cls(k, first, count, slot.astype(np.int64), bit, rpos[order].astype(np.int64), r_next[order], longest)
 
 
+def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all rows in one array, and where each row starts and ends."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends[:-1] - ends[0], ends[1:] - ends[0]
+
+
+def kmer_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Base codes of all letters, and the codes of the k-mers that begin there; -1 where none does."""
+    base = _CODES[data]
+    code = np.full(len(base), -1, np.int32)
+    n = len(code) - k + 1
+    if n > 0:
+        whole = (base & 3).astype(np.int32)[:n].copy()
+        for j in range(1, k):
+            whole *= 4
+            whole += base[j : j + n] & 3
+        code[:n] = whole
+    for j in range(1, k):
+        at = end - j
+        code[at[at >= start]] = -1
+    unread = np.flatnonzero(base == _NONE)
+    if len(unread):
+        step = np.zeros(len(code) + 1, np.int32)
+        np.add.at(step, np.maximum(unread - k + 1, 0), 1)
+        np.add.at(step, unread + 1, -1)
+        code[np.cumsum(step)[:-1] > 0] = -1
+    return base, code
+
+
 class Pieces:
     """Rows of one step: bases of all pieces in one array, and where each stands."""
 
     def __init__(self, rows: pa.RecordBatch, unit: np.ndarray, table: KmerTable, apart: int):
         self.rows, self.table = rows, table
-        column = rows.column("pseq")
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        self.data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-        self.start, self.end = ends[:-1] - ends[0], ends[1:] - ends[0]
+        self.data, self.start, self.end = texts(rows.column("pseq"))
         self.size = self.end - self.start
         self.pstart, self.qlen = (rows.column(c).to_numpy().astype(np.int64) for c in ("pstart", "qlen"))
         # units follow each other on one line, farther apart than anything reaches; copies lie on each other
@@ -104,27 +133,7 @@ class Pieces:
 
     def kmers(self) -> np.ndarray:
         """Codes of the k-mers of all rows, by place; -1 where none begins."""
-        k = self.table.k
-        self.base = _CODES[self.data]
-        code = np.full(len(self.base), -1, np.int32)
-        n = len(code) - k + 1
-        if n > 0:
-            whole = (self.base & 3).astype(np.int32)[:n].copy()
-            for j in range(1, k):
-                whole *= 4
-                whole += self.base[j : j + n] & 3
-            code[:n] = whole
-        bad = np.zeros(len(code) + 1, np.int32)
-        for j in range(1, k):
-            at = self.end - j
-            bad[at[at >= self.start]] = 1
-        unread = np.flatnonzero(self.base == _NONE)
-        if len(unread):
-            step = np.zeros(len(code) + k + 1, np.int32)
-            np.add.at(step, np.maximum(unread - k + 1, 0), 1)
-            np.add.at(step, unread + 1, -1)
-            bad[: len(code)] |= np.cumsum(step)[: len(code)] > 0
-        code[bad[: len(code)] > 0] = -1
+        self.base, code = kmer_codes(self.data, self.start, self.end, self.table.k)
         return code
 
     def pairs(self, most: int) -> bool:
@@ -246,10 +255,10 @@ def _step(rows: pa.RecordBatch, unit: np.ndarray, table: KmerTable, apart: int,
             yield from _step(rows.slice(part.start, part.stop - part.start), unit[part], table, apart, wanted, most)
 
 
-def _units(rows: pa.RecordBatch) -> np.ndarray:
-    """Number of the (query, piece) of each row, in the order of the rows; copies are one."""
+def numbered(rows: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Number of the value of ``columns`` that each row has, in the order of the rows; null is a value."""
     new = np.zeros(rows.num_rows, bool)
-    for c in ("seq_id", "piece"):
+    for c in columns:
         column = rows.column(c)
         none = column.is_null().to_numpy(zero_copy_only=False)
         plain = pc.fill_null(column, 0).to_numpy()
@@ -278,21 +287,21 @@ def _stream(table, apart: int, wanted: Callable, bases: int, most: int) -> Calla
             rows = batch if held is None else pa.concat_batches([held, batch])
             if not rows.num_rows:
                 continue
-            unit = _units(rows)
+            unit = numbered(rows, UNIT)
             last = int(np.searchsorted(unit, unit[-1]))
             if last:
                 yield from steps(rows.slice(0, last), unit[:last])
             # copies of the last piece may follow in the next batch
             held = rows.slice(last)
         if held is not None:
-            yield from steps(held, _units(held))
+            yield from steps(held, numbered(held, UNIT))
 
     return run
 
 
 def _sieved(pieces: DataFrame, table: KmerTable, apart: int, wanted: Callable) -> DataFrame:
     spark = pieces.sparkSession
-    ordered = pieces.sortWithinPartitions("seq_id", "piece")
+    ordered = pieces.sortWithinPartitions(*UNIT)
     schema = T.StructType([*ordered.schema, T.StructField("wanted", T.ArrayType(T.LongType()))])
     step = _stream(spark.sparkContext.broadcast(table), apart, wanted, BASES_PER_STEP, SEEDS_PER_STEP)
     return ordered.mapInArrow(step, schema)
