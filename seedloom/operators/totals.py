@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..session import bound_arrow_batches
 from .kmers import BASE_CODES, PieceLayout
 from .sieve import _NONE, kmer_codes, numbered, texts
 
@@ -207,6 +208,7 @@ def multiplied(pieces: DataFrame, groups: Groups, k: int, interval: int, layout:
 
     All pieces of a text must share a partition.
     """
+    bound_arrow_batches(pieces.sparkSession)
     context = pieces.sparkSession.sparkContext
     kind = pieces.schema["seq_id"].dataType.simpleString()
     sums = ", ".join(f"{c} long" for c in ("n_seeds", "u_sum", "v_min", "v_max", "q_sum", "r_sum"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seedloom import catalog
 from seedloom.operators import sieve as V
 from seedloom.operators.kmers import PieceLayout, coded_kmers, query_kmers, query_pieces
-from seedloom.operators.seeds import seeds
+from seedloom.operators.seeds import diagonal_histogram, seeds
 from seedloom.plans import scan as stages
 from seedloom.plans.index import build_index
 from seedloom.profile import DEFAULT_PROFILE
@@ -101,3 +101,23 @@ def test_spans_and_lines_are_made_once(spark, tmp_path):
     for name in ("alignment_overlaps", "overlap_pairs", "output_order"):
         assert "MapInArrow" not in plan(name), name
     assert plan("paf_parse").count("format_string") == 1
+
+
+@pytest.mark.parametrize("seed,k,letters,most", [(1, 9, "ACGT", 1 << 22), (3, 5, "AACGT", 2_500)])
+def test_diagonals_counted_as_arrays(spark, monkeypatch, seed, k, letters, most):
+    """Every diagonal once, whether its piece is counted as arrays or has too many seeds for that."""
+    index, docs, p = case(spark, seed, k, letters)
+    table = coded_kmers(index.kmers.drop("pid"))
+    table = table.unionByName(table.filter("rid < 2").withColumn("rid", F.lit(None).cast("int")))
+    monkeypatch.setattr(V, "SEEDS_PER_STEP", most)
+    for core in (None, 320):
+        layout = PieceLayout.of(120, p, core=core, warm=50)
+        pieces = query_pieces(docs, layout)
+        found = lambda kmers: seeds(kmers, table, k, p.squash_interval, 10**4, squash=False)
+        want = diagonal_histogram(found(query_kmers(pieces, k, owned=layout, coded=True)))
+        counts, others = V.diagonal_counts(pieces, V.KmerTable.of(table, k), layout)
+        rest = diagonal_histogram(found(query_kmers(others, k, coded=True)).filter(V.own_diagonal(layout)))
+        got = rest.unionByName(counts)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert counts.count() > 300 and (others.count() > 0) == (most < 1 << 22)
