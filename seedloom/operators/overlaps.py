@@ -50,14 +50,14 @@ def overlap_counts(rows: DataFrame, key: str, start: str = "qstart", end: str =
     No pair is made.  What overlaps ``[s, e)`` starts before ``e`` and does not end by ``s``, so two running
     counts per position answer it.  Rows are first counted by position, then summed within bins
     and over the totals of the bins (a two-level scan), so a read with any number of hits is
-    spread over its bins.  The rows and the scan, which are used several times, are written to the
+    spread over its bins.  The rows, the counts and the scan, which are used several times, are written to the
     checkpoint folder when this is called.
     """
     rows = stored(rows)
     real = _real(rows, key, start, end)
     ends = F.array(F.struct(F.col(start).cast("long").alias("pos"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col(end).cast("long").alias("pos"), F.lit(0).alias("s"), F.lit(1).alias("e")))
     events = real.select(F.col(key).alias("_key"), F.explode(ends).alias("_x")).groupBy("_key", F.col("_x.pos").alias("_pos"))
-    events = events.agg(F.sum("_x.s").alias("_s"), F.sum("_x.e").alias("_e")).withColumn("_bin", _bin(F.col("_pos"), width))
+    events = stored(events.agg(F.sum("_x.s").alias("_s"), F.sum("_x.e").alias("_e")).withColumn("_bin", _bin(F.col("_pos"), width)))
     before = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = events.groupBy("_key", "_bin").agg(F.sum("_s").alias("_ts"), F.sum("_e").alias("_te"))
     totals = totals.select("_key", "_bin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_ts", "_te")])

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -152,19 +153,41 @@ class Pieces:
             return False
         self.hit = hit
         self.row = np.searchsorted(self.end, hit, "right")
-        before = np.cumsum(n) - n
-        index = np.repeat(t.first[code[hit]] - before, n)
-        index += np.arange(total)
-        self.of, self.index = np.repeat(np.arange(len(hit)), n), index
-        self.slot, self.rpos = t.slot[index], t.rpos[index]
-        self.place = (hit + self.shift[self.row])[self.of]
+        self.n, self.before = n, np.cumsum(n) - n
+        self.index = np.repeat(t.first[code[hit]] - self.before, n)
+        self.index += np.arange(total)
+        self.at = hit + self.shift[self.row]
         return True
 
+    # of each seed; what is not asked for is not made
+    @cached_property
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.hit)), self.n)
+
+    @cached_property
+    def slot(self) -> np.ndarray:
+        return self.table.slot[self.index]
+
+    @cached_property
+    def rpos(self) -> np.ndarray:
+        return self.table.rpos[self.index]
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        return np.repeat(self.at, self.n)
+
+    def diagonals(self) -> np.ndarray:
+        """A number for the slot and diagonal of each seed."""
+        t = self.table
+        key = (t.slot * self.line - t.rpos + t.longest)[self.index]
+        key += self.place
+        return key
+
     def stretches(self, wanted: np.ndarray) -> pa.RecordBatch:
         """The rows cut down to the stretches around the seeds of ``wanted``."""
         k = self.table.k
         mark = np.zeros(len(self.data), bool)
-        where = self.hit[self.of[wanted]]
+        where = self.hit[np.searchsorted(self.before, wanted, "right") - 1]
         mark[where] = True
         at = np.flatnonzero(mark)
         row = np.searchsorted(self.end, at, "right")
@@ -195,7 +218,9 @@ def _words(flags: np.ndarray) -> pa.Array:
 def _crowded(key: np.ndarray, least: int) -> np.ndarray:
     """Which keys are given ``least`` times."""
     bits = max(10, int(2 * len(key)).bit_length())
-    bucket = ((key.astype(np.uint64) * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+    bucket = key.view(np.uint64) * _SPREAD
+    bucket >>= np.uint64(64 - bits)
+    bucket = bucket.view(np.int64)
     some = np.flatnonzero(np.bincount(bucket, minlength=1 << bits)[bucket] >= least)
     # buckets may hold several keys; what is left is few enough to be told apart
     _, which, n = np.unique(key[some], return_inverse=True, return_counts=True)
@@ -204,7 +229,7 @@ def _crowded(key: np.ndarray, least: int) -> np.ndarray:
 
 def _of_diagonals(least: int) -> Callable[[Pieces], np.ndarray]:
     def wanted(p: Pieces) -> np.ndarray:
-        return _crowded(p.slot * p.line + (p.place - p.rpos + p.table.longest), least)
+        return _crowded(p.diagonals(), least)
 
     return wanted
 
@@ -221,7 +246,7 @@ def _of_runs(least: int, window: int, interval: int) -> Callable[[Pieces], np.nd
         q = p.hit - p.start[p.row] + p.pstart[p.row]
         stays = (p.qlen[p.row] - (q + t.k)) % interval == 0
         q_next[stays] = _NONE
-        follows = q_next[p.of]
+        follows = np.repeat(q_next, p.n)
         kept = np.flatnonzero((follows == _NONE) | (follows != t.r_next[p.index]))
         u = 2 * p.place[kept] - p.rpos[kept] + t.longest
         # seeds of a run lie in one cell or two neighbours
@@ -264,7 +289,7 @@ def _histogram(core: int) -> tuple[Callable, Callable]:
         row, t = p.row[p.of], p.table
         diagonal = p.place - p.shift[row] - p.start[row] + p.pstart[row] - p.rpos
         own = np.maximum(diagonal // core, 0) == p.rows.column("piece").to_numpy()[row]
-        key, n = np.unique((p.slot * p.line + (p.place - p.rpos + t.longest))[own], return_counts=True)
+        key, n = np.unique(p.diagonals()[own], return_counts=True)
         slot, at = key // p.line, key % p.line - t.longest
         unit = np.searchsorted(p.begin - t.longest, at, "right") - 1
         value = t.slots[slot]
